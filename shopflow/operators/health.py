@@ -1,0 +1,124 @@
+"""Circuit-breaker health transitions per instance from its call outcomes.
+
+States follow the count-based breaker the shop configures: CLOSED keeps the
+last N outcomes and opens at a failure rate >= threshold once ``min_calls``
+calls are in the ring; OPEN refuses calls (they are not recorded) and turns
+HALF_OPEN by itself after ``wait_s``; HALF_OPEN judges a fresh ring of
+``half_open_calls`` calls and closes or opens again.
+
+A breaker is a sequential state machine, so each instance is one ordered scan:
+rows are hash-partitioned by instance, sorted, and scanned by ``mapInPandas``
+with one small state per instance carried across Arrow batches (memory does not
+grow with the number of calls; parallelism is the number of instances).
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from dataclasses import dataclass, field
+from datetime import timedelta
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shopflow.functions import constants as C
+
+CLOSED, OPEN, HALF_OPEN = "CLOSED", "OPEN", "HALF_OPEN"
+
+TRANSITION_SCHEMA = ("instance string, ts timestamp_ntz, event_id bigint, "
+                     "from_state string, to_state string, failure_rate double")
+
+
+@dataclass(frozen=True)
+class BreakerConfig:
+    window_calls: int = C.INVENTORY_WINDOW
+    min_calls: int = C.MIN_CALLS
+    threshold: float = C.FAILURE_RATE_THRESHOLD
+    wait_s: float = C.OPEN_WAIT_SECONDS
+    half_open_calls: int = C.HALF_OPEN_CALLS
+
+
+@dataclass
+class Breaker:
+    cfg: BreakerConfig
+    state: str = CLOSED
+    ring: deque = field(default_factory=deque)
+    opened_at: object = None
+
+    def _open(self, ts, event_id, rate, out, instance):
+        out.append((instance, ts, event_id, self.state, OPEN, rate))
+        self.state, self.opened_at, self.ring = OPEN, ts, deque()
+
+    def due_half_open(self):
+        return self.opened_at + timedelta(seconds=self.cfg.wait_s)
+
+    def step(self, instance, ts, event_id, failed, out):
+        """Feed one call; append transitions (instance, ts, event_id, from, to, rate)."""
+        if self.state == OPEN:
+            due = self.due_half_open()
+            if ts < due:
+                return                      # refused, not recorded
+            out.append((instance, due, None, OPEN, HALF_OPEN, None))
+            self.state, self.ring = HALF_OPEN, deque()
+        self.ring.append(bool(failed))
+        if self.state == CLOSED:
+            if len(self.ring) > self.cfg.window_calls:
+                self.ring.popleft()
+            n = len(self.ring)
+            if n >= self.cfg.min_calls:
+                rate = sum(self.ring) / n
+                if rate >= self.cfg.threshold:
+                    self._open(ts, event_id, rate, out, instance)
+        else:                               # HALF_OPEN
+            n = len(self.ring)
+            if n >= self.cfg.half_open_calls:
+                rate = sum(self.ring) / n
+                if rate >= self.cfg.threshold:
+                    self._open(ts, event_id, rate, out, instance)
+                else:
+                    out.append((instance, ts, event_id, HALF_OPEN, CLOSED, rate))
+                    self.state, self.ring = CLOSED, deque()
+
+    def finish(self, instance, out):
+        """The automatic OPEN -> HALF_OPEN timer still fires after the last call."""
+        if self.state == OPEN:
+            out.append((instance, self.due_half_open(), None, OPEN, HALF_OPEN, None))
+
+
+def _scan(cfg: BreakerConfig):
+    cols = ["instance", "ts", "event_id", "from_state", "to_state", "failure_rate"]
+
+    def run(batches):
+        current, breaker = None, None
+        for pdf in batches:
+            out: list[tuple] = []
+            inst = pdf["instance"].to_numpy()
+            ts = pdf["ts"].to_list()
+            eid = pdf["event_id"].to_numpy()
+            failed = pdf["failed"].to_numpy()
+            for i in range(len(pdf)):
+                if inst[i] != current:
+                    if breaker is not None:
+                        breaker.finish(current, out)
+                    current, breaker = inst[i], Breaker(cfg)
+                breaker.step(current, ts[i], int(eid[i]), failed[i], out)
+            if out:
+                yield pd.DataFrame(out, columns=cols).astype({"event_id": "Int64"})
+        if breaker is not None:
+            tail: list[tuple] = []
+            breaker.finish(current, tail)
+            if tail:
+                yield pd.DataFrame(tail, columns=cols).astype({"event_id": "Int64"})
+
+    return run
+
+
+def health_transitions(calls: DataFrame, cfg: BreakerConfig = BreakerConfig(),
+                       failed: str = "failed", num_partitions: int | None = None) -> DataFrame:
+    """Transitions of every instance's breaker, in call order."""
+    n = num_partitions or int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (calls.select("instance", "ts", "event_id", F.col(failed).alias("failed"))
+               .repartition(n, "instance")
+               .sortWithinPartitions("instance", "ts", "event_id"))
+    return ordered.mapInPandas(_scan(cfg), TRANSITION_SCHEMA)

@@ -12,7 +12,13 @@ groups rows); its running sum is a window over that small frame only, and it is
 joined back (broadcast by the size check when it fits).
 
 ``order_cols`` must make the order total inside a group (add a unique id as
-the last column); positions are then deterministic across retries.
+the last column).
+
+The range bounds are sampled anew by every execution of a range exchange, so
+partition ids of two branches (or of a recomputation after a lost executor)
+need not agree. The numbered frame is therefore checkpointed once to the shared
+checkpoint folder and both the counts and the join read that copy; this also
+cuts the lineage of the rows being numbered.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopflow.sources.storage import shared_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
 
 
@@ -40,6 +48,8 @@ def position_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
          .withColumn("_mid", F.monotonically_increasing_id())
          .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
          .withColumn("_loc", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
+    shared_dir(df.sparkSession)
+    r = r.checkpoint(eager=True)
     stats = r.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"),
                                                 F.min("_loc").alias("_first"))
     earlier = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(

@@ -198,3 +198,356 @@ def q_order_request_decode(spark, sf_dir):
         F.col("user_details.email").alias("email"),
         F.col("user_details.first_name").alias("first_name"),
         F.col("user_details.last_name").alias("last_name"), "requested_at")
+
+
+# ---------------------------------------------------------------- catalogue --
+
+from shopflow.operators import catalog as CAT  # noqa: E402
+from shopflow.operators import decode as D  # noqa: E402
+from shopflow.operators.notify import render_notifications, render_sql  # noqa: E402
+from shopflow.sources import sinks  # noqa: E402
+from shopflow.sources.storage import run_dir  # noqa: E402
+
+PRODUCT_ID = uuid_from_key_sql("'product:' || id")
+
+
+@query("product_scan", _with(W_PROD) + "SELECT id, name, description, price FROM products")
+def q_product_scan(spark, sf_dir):
+    return fx.products(spark, sf_dir)
+
+
+@query("product_response", _with(W_PROD) + "SELECT id, name, description, price FROM products")
+def q_product_response(spark, sf_dir):
+    return CAT.product_response(fx.products(spark, sf_dir))
+
+
+@query("product_request_decode", _with(W_PROD) + """
+SELECT id AS request_id, name, description, price FROM products""")
+def q_product_request_decode(spark, sf_dir):
+    return D.decode_product_requests(fx.product_requests_json(spark, sf_dir))
+
+
+@query("product_build", _with(W_PROD) + f"""
+SELECT {PRODUCT_ID} AS id, name, description, price FROM products""")
+def q_product_build(spark, sf_dir):
+    return CAT.build_products(D.decode_product_requests(fx.product_requests_json(spark, sf_dir)))
+
+
+@query("product_append", _with(W_PROD) + f"""
+SELECT {PRODUCT_ID} AS id, name, description, price FROM products""")
+def q_product_append(spark, sf_dir):
+    path = run_dir(spark, "products")
+    built = CAT.build_products(D.decode_product_requests(fx.product_requests_json(spark, sf_dir)))
+    sinks.append(built, path)
+    return sinks.read_sink(spark, path)
+
+
+@query("order_append", _with(W_INV, W_REQ, W_ACC) + f"""
+SELECT {ORDER_NO} AS order_number, request_id, sku_code,
+       {line_total_sql('price', 'quantity')} AS price, quantity, TIMESTAMP '{AS_OF}' AS order_date
+FROM accepted""")
+def q_order_append(spark, sf_dir):
+    path = run_dir(spark, "orders")
+    orders = O.build_orders(O.accepted_requests(spark, sf_dir),
+                            as_of=F.lit(AS_OF).cast("timestamp_ntz"))
+    sinks.append(orders, path)
+    return sinks.read_sink(spark, path)
+
+
+# ------------------------------------------------------------------ events --
+
+W_EVENTS = ("ev AS (SELECT " + ORDER_NO + " AS order_number, email, first_name, last_name "
+            "FROM accepted)")
+EVENT_JSON_SQL = ("'{\"orderNumber\":\"' || order_number || '\",\"email\":\"' || email || "
+                  "'\",\"firstName\":\"' || first_name || '\",\"lastName\":\"' || last_name || '\"}'")
+W_EVJSON = (f"evjson AS (SELECT order_number, email, first_name, last_name, "
+            f"CASE WHEN order_number LIKE '0%' THEN substr(j, 1, length(j) - 5) ELSE j END AS value, "
+            f"order_number LIKE '0%' AS quarantined "
+            f"FROM (SELECT *, {EVENT_JSON_SQL} AS j FROM ev))")
+
+
+@query("event_publish", _with(W_INV, W_REQ, W_ACC, W_EVENTS) + f"""
+SELECT {EVENT_JSON_SQL} AS value FROM ev""")
+def q_event_publish(spark, sf_dir):
+    from shopflow.streaming.notify_stream import publish_events
+    topic = run_dir(spark, "topic")
+    ev = O.build_events(O.accepted_requests(spark, sf_dir))
+    publish_events(ev.select(fx.event_json_value(F.col("order_number"), F.col("email"),
+                                                 F.col("first_name"), F.col("last_name"))
+                             .alias("value")), topic)
+    return sinks.read_sink(spark, topic).select("value")
+
+
+@query("event_decode_quarantine", _with(W_INV, W_REQ, W_ACC, W_EVENTS, W_EVJSON) + """
+SELECT value,
+       CASE WHEN quarantined THEN NULL ELSE order_number END AS order_number,
+       CASE WHEN quarantined THEN NULL ELSE email END AS email,
+       CASE WHEN quarantined THEN NULL ELSE first_name END AS first_name,
+       CASE WHEN quarantined THEN NULL ELSE last_name END AS last_name,
+       quarantined
+FROM evjson""")
+def q_event_decode_quarantine(spark, sf_dir):
+    return D.decode_events(fx.events_json(spark, sf_dir))
+
+
+@query("notification_render", _with(W_INV, W_REQ, W_ACC, W_EVENTS) + render_sql("ev"))
+def q_notification_render(spark, sf_dir):
+    return render_notifications(O.build_events(O.accepted_requests(spark, sf_dir)))
+
+
+@query("event_stream_source", _with(W_INV, W_REQ, W_ACC, W_EVENTS, W_EVJSON) + """
+SELECT value FROM evjson""")
+def q_event_stream_source(spark, sf_dir):
+    from shopflow.streaming.notify_stream import publish_events, run_source_only
+    base = run_dir(spark, "event-source")
+    publish_events(fx.events_json(spark, sf_dir), f"{base}/topic")
+    run_source_only(spark, f"{base}/topic", f"{base}/out", f"{base}/_checkpoint")
+    return sinks.read_sink(spark, f"{base}/out", "value string")
+
+
+@query("notification_outbox", _with(W_INV, W_REQ, W_ACC, W_EVENTS, W_EVJSON) + render_sql(
+    "(SELECT * FROM evjson WHERE NOT quarantined)"))
+def q_notification_outbox(spark, sf_dir):
+    from shopflow.streaming.notify_stream import publish_events, run_notify_stream
+    base = run_dir(spark, "notify")
+    publish_events(fx.events_json(spark, sf_dir), f"{base}/topic")
+    paths = run_notify_stream(spark, f"{base}/topic")
+    return sinks.read_sink(spark, paths.outbox).drop("batch_id")
+
+
+# ------------------------------------------------------------------ streams --
+
+@query("orders_in_stock_stream", _with(W_INV, W_REQ, W_ACC) + f"""
+SELECT {ORDER_NO} AS order_number, request_id, sku_code,
+       {line_total_sql('price', 'quantity')} AS price, quantity FROM accepted""")
+def q_orders_in_stock_stream(spark, sf_dir):
+    from shopflow.streaming.orders_stream import run_order_stream
+    paths = run_order_stream(spark, sf_dir)
+    return sinks.read_sink(spark, paths.orders).select(
+        "order_number", "request_id", "sku_code", "price", "quantity")
+
+
+@query("order_and_event_sinks", _with(W_INV, W_REQ, W_ACC) + f"""
+SELECT 'orders' AS sink, {ORDER_NO} AS order_number FROM accepted
+UNION ALL
+SELECT 'events' AS sink, {ORDER_NO} AS order_number FROM accepted""")
+def q_order_and_event_sinks(spark, sf_dir):
+    from shopflow.streaming.orders_stream import run_order_stream
+    paths = run_order_stream(spark, sf_dir)
+    orders = sinks.read_sink(spark, paths.orders).select(F.lit("orders").alias("sink"), "order_number")
+    events = sinks.read_sink(spark, paths.events).select(F.lit("events").alias("sink"), "order_number")
+    return orders.unionByName(events)
+
+
+# ---------------------------------------------------------------- telemetry --
+
+from shopflow.functions import constants as C  # noqa: E402
+from shopflow.operators import health as H  # noqa: E402
+from shopflow.operators import telemetry as TL  # noqa: E402
+
+W_ACCESS = f"access AS ({fx.ACCESS_LOG_SQL})"
+W_ROUTES = f"routes AS ({fx.ROUTES_SQL})"
+W_ROUTED = ("routed AS (SELECT a.*, r.route_id, r.target_uri FROM access a LEFT JOIN routes r "
+            "ON a.path = r.route_path AND (r.route_method IS NULL OR r.route_method = a.method))")
+W_CALLS = f"calls AS ({fx.CALLS_SQL})"
+W_TARGETS = f"targets AS ({fx.TARGETS_SQL})"
+W_SPANS = f"spans AS ({fx.SPANS_SQL})"
+W_LOGS = f"logs AS ({fx.LOG_LINES_SQL})"
+W_TRIPLE = f"triple AS ({fx.LOG_LINES_TRIPLE_SQL})"
+_PAT = C.LOG_LINE_PATTERN
+W_PARSED = (f"parsed AS (SELECT event_id, application, host, level, line, "
+            f"strptime(regexp_extract(line, '{_PAT}', 1), '%Y-%m-%d %H:%M:%S') AS ts, "
+            f"regexp_extract(line, '{_PAT}', 2) AS thread, "
+            f"regexp_extract(line, '{_PAT}', 3) AS logger, "
+            f"NULLIF(regexp_extract(line, '{_PAT}', 4), '') AS trace_id, "
+            f"NULLIF(regexp_extract(line, '{_PAT}', 5), '') AS span_id, "
+            f"regexp_extract(line, '{_PAT}', 6) AS message FROM logs)")
+
+
+def _routed(spark, sf_dir):
+    return TL.classify_routes(fx.access_log(spark, sf_dir), fx.routes(spark))
+
+
+@query("route_classify", _with(W_ACCESS, W_ROUTES, W_ROUTED) + """
+SELECT event_id, method, path, route_id, target_uri FROM routed""")
+def q_route_classify(spark, sf_dir):
+    return _routed(spark, sf_dir).select("event_id", "method", "path", "route_id", "target_uri")
+
+
+@query("path_rewrite", _with(W_ACCESS, W_ROUTES, W_ROUTED) + f"""
+SELECT event_id, route_id,
+       CASE WHEN route_id IS NULL THEN NULL WHEN route_id LIKE '%{C.SWAGGER_ROUTE_SUFFIX}'
+            THEN '{C.DOCS_PATH}' ELSE path END AS forward_path
+FROM routed""")
+def q_path_rewrite(spark, sf_dir):
+    return TL.rewrite_path(_routed(spark, sf_dir)).select("event_id", "route_id", "forward_path")
+
+
+@query("fallback_response", _with(W_ACCESS, W_ROUTES, W_ROUTED) + f"""
+SELECT event_id, route_id,
+       CASE WHEN route_id IS NULL THEN 404 WHEN NOT ok THEN 503 ELSE status END AS status,
+       CASE WHEN route_id IS NOT NULL AND NOT ok THEN '{C.SERVICE_UNAVAILABLE_TEXT}' END AS body
+FROM routed""")
+def q_fallback_response(spark, sf_dir):
+    return TL.fallback_response(_routed(spark, sf_dir)).select("event_id", "route_id", "status", "body")
+
+
+def _calls_failed(spark, sf_dir, time_limit):
+    c = fx.calls(spark, sf_dir)
+    return c.withColumn("failed", TL.failed_call(F.col("error"), F.col("duration_s"), time_limit))
+
+
+@query("call_outcome", _with(W_CALLS) + f"""
+SELECT event_id, instance,
+       coalesce(error, false) OR coalesce(duration_s > {C.CALL_TIME_LIMIT_S}, false) AS failed
+FROM calls""")
+def q_call_outcome(spark, sf_dir):
+    return _calls_failed(spark, sf_dir, C.CALL_TIME_LIMIT_S).select("event_id", "instance", "failed")
+
+
+def _failure_rate_sql(n: int, failed_sql: str) -> str:
+    return _with(W_CALLS) + f"""
+SELECT event_id, instance, n_calls, n_failed,
+       CAST(n_failed AS DOUBLE) / n_calls AS failure_rate,
+       n_calls >= {C.MIN_CALLS} AND CAST(n_failed AS DOUBLE) / n_calls >= {C.FAILURE_RATE_THRESHOLD} AS flagged
+FROM (SELECT event_id, instance,
+             count(*) OVER w AS n_calls,
+             CAST(sum(CAST({failed_sql} AS BIGINT)) OVER w AS BIGINT) AS n_failed
+      FROM calls
+      WINDOW w AS (PARTITION BY instance ORDER BY ts, event_id
+                   ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))"""
+
+
+# Inventory client: no time limiter is applied to its calls -> errors only.
+@query("failure_rate_5", _failure_rate_sql(C.INVENTORY_WINDOW, "coalesce(error, false)"))
+def q_failure_rate_5(spark, sf_dir):
+    c = _calls_failed(spark, sf_dir, None)
+    return TL.failure_rate(c, C.INVENTORY_WINDOW).select(
+        "event_id", "instance", "n_calls", "n_failed", "failure_rate", "flagged")
+
+
+# Gateway default: its 3 s time limiter turns slow calls into failures.
+@query("failure_rate_10", _failure_rate_sql(
+    C.GATEWAY_WINDOW, f"(coalesce(error, false) OR coalesce(duration_s > {C.CALL_TIME_LIMIT_S}, false))"))
+def q_failure_rate_10(spark, sf_dir):
+    c = _calls_failed(spark, sf_dir, C.CALL_TIME_LIMIT_S)
+    return TL.failure_rate(c, C.GATEWAY_WINDOW).select(
+        "event_id", "instance", "n_calls", "n_failed", "failure_rate", "flagged")
+
+
+@query("health_transitions")
+def q_health_transitions(spark, sf_dir):
+    return H.health_transitions(_calls_failed(spark, sf_dir, None), H.BreakerConfig())
+
+
+@query("target_labels", _with(W_CALLS, W_TARGETS) + """
+SELECT t.target, t.application, c.event_id FROM targets t LEFT JOIN calls c ON t.target = c.target""")
+def q_target_labels(spark, sf_dir):
+    return TL.targets_with_samples(fx.calls(spark, sf_dir), fx.targets(spark)).select(
+        "target", "application", "event_id")
+
+
+def _rollup_sql(interval_sql: str, closed_before: str | None = None) -> str:
+    where = f"WHERE window_end <= {closed_before}" if closed_before else ""
+    return _with(W_CALLS, W_TARGETS) + f"""
+SELECT * FROM (
+  SELECT time_bucket(INTERVAL '{interval_sql}', c.ts) AS window_start,
+         time_bucket(INTERVAL '{interval_sql}', c.ts) + INTERVAL '{interval_sql}' AS window_end,
+         t.application, count(*) AS samples,
+         CAST(sum(CAST(c.duration_s AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS total_duration_s,
+         max(c.duration_s) AS max_duration_s
+  FROM calls c JOIN targets t ON c.target = t.target
+  GROUP BY 1, 2, 3) {where}"""
+
+
+@query("interval_rollup", _rollup_sql(C.SCRAPE_INTERVAL))
+def q_interval_rollup(spark, sf_dir):
+    return TL.rollup(TL.label_samples(fx.calls(spark, sf_dir), fx.targets(spark)), C.SCRAPE_INTERVAL)
+
+
+STREAM_DELAY = "10 seconds"
+
+
+@query("interval_rollup_stream", _rollup_sql(
+    C.SCRAPE_INTERVAL, f"(SELECT max(ts) FROM events) - INTERVAL '{STREAM_DELAY}'"))
+def q_interval_rollup_stream(spark, sf_dir):
+    from shopflow.streaming.rollup_stream import run_rollup_stream
+    out = run_rollup_stream(spark, sf_dir, C.SCRAPE_INTERVAL, STREAM_DELAY)
+    return sinks.read_sink(spark, out)
+
+
+BOUNDS_SQL = TL.bucket_bound_sql("duration_s", TL.DEFAULT_BOUNDS)
+
+
+@query("duration_histogram", _with(W_SPANS) + f"""
+SELECT *, CAST(sum(samples) OVER (PARTITION BY application ORDER BY le
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative
+FROM (SELECT application, {BOUNDS_SQL} AS le, count(*) AS samples,
+             CAST(sum(CAST(duration_s AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS sum_s,
+             max(duration_s) AS max_s, arg_max(trace_id, event_id) AS exemplar_trace_id
+      FROM spans GROUP BY 1, 2)""")
+def q_duration_histogram(spark, sf_dir):
+    return TL.duration_histogram(fx.spans(spark, sf_dir))
+
+
+@query("trace_sample", _with(W_SPANS) + "SELECT event_id, trace_id FROM ("
+       + TL.trace_sample_sql("spans") + ")")
+def q_trace_sample(spark, sf_dir):
+    return TL.trace_sample(fx.spans(spark, sf_dir)).select("event_id", "trace_id")
+
+
+@query("log_parse", _with(W_LOGS, W_PARSED) + """
+SELECT event_id, ts, thread, logger, trace_id, span_id, message FROM parsed""")
+def q_log_parse(spark, sf_dir):
+    return TL.parse_log_lines(fx.log_lines(spark, sf_dir)).select(
+        "event_id", "ts", "thread", "logger", "trace_id", "span_id", "message")
+
+
+@query("log_trace_id", _with(W_TRIPLE) + f"""
+SELECT event_id, NULLIF(regexp_extract(line, '{C.TRACE_ID_MATCHER}', 1), '') AS trace_id FROM triple""")
+def q_log_trace_id(spark, sf_dir):
+    return TL.extract_trace_id(fx.log_lines_triple(spark, sf_dir)).select("event_id", "trace_id")
+
+
+@query("log_labels", _with(W_LOGS) + """
+SELECT event_id, labels,
+       regexp_extract(labels, '(?:^|,)application=([^,]*)', 1) AS label_application,
+       regexp_extract(labels, '(?:^|,)host=([^,]*)', 1) AS label_host,
+       regexp_extract(labels, '(?:^|,)level=([^,]*)', 1) AS label_level
+FROM (SELECT event_id, 'application=' || application || ',host=' || host || ',level=' || level AS labels
+      FROM logs)""")
+def q_log_labels(spark, sf_dir):
+    logs = fx.log_lines(spark, sf_dir)
+    labelled = logs.withColumn("labels", TL.label_string(logs))
+    m = TL.parse_labels(F.col("labels"))
+    return labelled.select("event_id", "labels",
+                           m["application"].alias("label_application"),
+                           m["host"].alias("label_host"), m["level"].alias("label_level"))
+
+
+@query("log_level_filter", _with(W_LOGS) + """
+SELECT event_id, application, level FROM logs WHERE level IN ('INFO', 'WARN', 'ERROR')""")
+def q_log_level_filter(spark, sf_dir):
+    logs = fx.log_lines(spark, sf_dir)
+    return logs.where(TL.level_at_least(F.col("level"))).select("event_id", "application", "level")
+
+
+@query("log_sort_by_time", _with(W_LOGS, W_PARSED) + """
+SELECT event_id, application, host, level, ts,
+       row_number() OVER (PARTITION BY application, host, level ORDER BY ts, event_id) AS position
+FROM parsed""")
+def q_log_sort_by_time(spark, sf_dir):
+    parsed = TL.parse_log_lines(fx.log_lines(spark, sf_dir)).select(
+        "event_id", "application", "host", "level", "ts")
+    return TL.position_in_label_set(parsed)
+
+
+@query("trace_log_join", _with(W_SPANS, W_LOGS, W_PARSED) + """
+SELECT p.trace_id, p.event_id, s.n_spans, s.trace_start
+FROM parsed p JOIN (SELECT trace_id, count(*) AS n_spans, min(ts) AS trace_start FROM spans
+                    WHERE trace_id IS NOT NULL AND trace_id <> '' GROUP BY trace_id) s
+  ON p.trace_id = s.trace_id""")
+def q_trace_log_join(spark, sf_dir):
+    logs = TL.parse_log_lines(fx.log_lines(spark, sf_dir)).select("event_id", "trace_id")
+    return TL.traces_to_logs(fx.spans(spark, sf_dir), logs).select(
+        "trace_id", "event_id", "n_spans", "trace_start")

@@ -145,7 +145,11 @@ def requests_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------- calls ----
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    return calls_from_events(read_table(spark, sf_dir, "events"))
+
+
+def calls_from_events(ev: DataFrame) -> DataFrame:
+    """Call outcomes per instance (works on batch and streaming frames)."""
     return ev.select(
         F.concat(F.lit("inst_"), (F.col("user_id") % 5).cast("string")).alias("instance"),
         F.concat(F.lit("svc-"), (F.col("user_id") % 4).cast("string")).alias("target"),
