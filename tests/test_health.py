@@ -1,0 +1,54 @@
+"""T03 breaker transitions against hand-made call sequences."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from shopflow.operators.health import BreakerConfig, health_transitions
+
+SCHEMA = "instance string, event_id bigint, ts timestamp_ntz, failed boolean"
+T0 = datetime(2024, 1, 1)
+
+
+def _run(spark, seq, cfg=BreakerConfig()):
+    rows = [("i", k, T0 + timedelta(seconds=s), f) for k, (s, f) in enumerate(seq)]
+    out = health_transitions(spark.createDataFrame(rows, SCHEMA), cfg).orderBy("ts").collect()
+    return [(r.from_state, r.to_state, r.event_id, (r.ts - T0).total_seconds()) for r in out]
+
+
+def test_open_half_open_closed(spark):
+    seq = [(0, True), (1, True), (2, True), (3, False), (4, False),   # 3/5 failed -> open at call 4
+           (6, True),                                                 # refused while open
+           (10, False), (11, False), (12, False)]                     # half-open at 9, 3 good -> closed
+    assert _run(spark, seq) == [
+        ("CLOSED", "OPEN", 4, 4.0),
+        ("OPEN", "HALF_OPEN", None, 9.0),
+        ("HALF_OPEN", "CLOSED", 8, 12.0),
+    ]
+
+
+def test_half_open_fails_again(spark):
+    seq = [(0, True)] * 0 + [(k, True) for k in range(5)] + [(20, True), (21, True), (22, False)]
+    assert _run(spark, seq) == [
+        ("CLOSED", "OPEN", 4, 4.0),
+        ("OPEN", "HALF_OPEN", None, 9.0),
+        ("HALF_OPEN", "OPEN", 7, 22.0),
+        ("OPEN", "HALF_OPEN", None, 27.0),       # the timer fires after the last call too
+    ]
+
+
+def test_below_minimum_calls_stays_closed(spark):
+    assert _run(spark, [(k, True) for k in range(4)]) == []
+
+
+def test_window_of_ten(spark):
+    seq = [(k, k % 2 == 0) for k in range(10)]   # 5 of the first 5..10 failed -> open at call 4 (3/5)
+    got = _run(spark, seq, BreakerConfig(window_calls=10))
+    assert got[0] == ("CLOSED", "OPEN", 4, 4.0)
+
+
+def test_instances_are_independent(spark):
+    rows = [("a", k, T0 + timedelta(seconds=k), True) for k in range(5)] + \
+           [("b", 100 + k, T0 + timedelta(seconds=k), False) for k in range(5)]
+    out = health_transitions(spark.createDataFrame(rows, SCHEMA), BreakerConfig()).collect()
+    assert {(r.instance, r.to_state) for r in out} == {("a", "OPEN"), ("a", "HALF_OPEN")}

@@ -1,0 +1,29 @@
+"""Event decoding, quarantine and message rendering."""
+
+from __future__ import annotations
+
+from shopflow.operators import decode as D
+from shopflow.operators.notify import render_notifications
+
+
+def test_markup_is_escaped(spark):
+    ev = spark.createDataFrame([("n<1>", "x@example.com", "<b>&\"'", "O'Neil")],
+                               "order_number string, email string, first_name string, last_name string")
+    m = render_notifications(ev).collect()[0]
+    assert "&lt;b&gt;&amp;&quot;&#39;" in m.html_body
+    assert "O&#39;Neil" in m.html_body
+    assert "n&lt;1&gt;" in m.html_body
+    assert m.subject == "\U0001F389 Order Confirmed | n<1>"
+    assert m.to_email == "x@example.com"
+
+
+def test_bad_bodies_are_quarantined(spark):
+    bodies = spark.createDataFrame([
+        ('{"orderNumber":"1","email":"e","firstName":"f","lastName":"l"}',),
+        ('{"orderNumber":"2","email":"e","firstName":"f","lastNa',),
+        ('{"orderNumber":"3","email":"e","firstName":"f"}',),
+        ("not json",),
+    ], "value string")
+    d = D.decode_events(bodies)
+    assert [r.order_number for r in D.good_events(d).collect()] == ["1"]
+    assert D.dead_letters(d).count() == 3

@@ -1,0 +1,52 @@
+"""Physical plan checks: pushdown, pruning, join strategy, no single-task steps."""
+
+from __future__ import annotations
+
+import __spark_entry__ as E
+from tests.conftest import MEDIUM
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _formatted(df) -> str:
+    import io
+    from contextlib import redirect_stdout
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+def test_semi_join_on_stock_is_broadcast(spark):
+    p = _formatted(E.queries()["orders_in_stock"](spark, MEDIUM))
+    assert "BroadcastHashJoin" in p and "LeftSemi" in p
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    p = _formatted(E.queries()["stock_predicate"](spark, MEDIUM))
+    assert "EqualTo(p_size,28)" in p
+    p = _formatted(E.queries()["product_response"](spark, MEDIUM))
+    assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string,p_retailprice:double>" in p
+    p = _formatted(E.queries()["orders_in_stock"](spark, MEDIUM))
+    assert "l_shipdate" not in p and "l_returnflag" not in p
+
+
+def test_no_cartesian_and_python_only_in_health(spark):
+    qs = E.queries()
+    skip = {"orders_in_stock_stream", "order_and_event_sinks", "notification_outbox",
+            "event_stream_source", "interval_rollup_stream", "product_append", "order_append",
+            "event_publish"}
+    for name, fn in qs.items():
+        if name in skip:
+            continue
+        p = _formatted(fn(spark, MEDIUM))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+        if name != "health_transitions":
+            assert "ArrowEvalPython" not in p and "MapInPandas" not in p and "BatchEvalPython" not in p, name
+
+
+def test_surrogate_ids_have_no_single_partition_exchange(spark):
+    p = _formatted(E.queries()["order_surrogate_id"](spark, MEDIUM))
+    assert "SinglePartition" not in p.split("(")[0] or "Exchange SinglePartition" not in p
