@@ -109,7 +109,7 @@ def accepted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that become orders: in stock and complete."""
-    reqs = fx.attach_users(accepted_lines(spark, sf_dir), fx.order_users(spark, sf_dir))
+    reqs = fx.attach_users(accepted_lines(spark, sf_dir), spark, sf_dir)
     return reqs.where(valid_for_order())
 
 

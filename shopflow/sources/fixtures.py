@@ -88,15 +88,21 @@ FROM lineitem"""
 
 def order_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order key -> request time and the customer as user details."""
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return _users_of(read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_key"), "o_custkey", "o_orderdate"), spark, sf_dir)
+
+
+def _users_of(keyed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     first = F.substring_index("c_name", "#", 1)
     last = F.substring_index("c_name", "#", -1)
-    return (orders.join(customer, orders.o_custkey == customer.c_custkey)
-            .select(F.col("o_orderkey").alias("order_key"),
-                    F.col("o_orderdate").alias("requested_at"),
-                    F.lower(F.concat(first, F.lit("."), last, F.lit("@example.com"))).alias("email"),
-                    first.alias("first_name"), last.alias("last_name")))
+    return (keyed.join(customer, keyed.o_custkey == customer.c_custkey, "left")
+            .withColumn("_has_user", F.col("c_custkey").isNotNull())
+            .withColumn("user_details", F.when(F.col("_has_user"), F.struct(
+                F.lower(F.concat(first, F.lit("."), last, F.lit("@example.com"))).alias("email"),
+                first.alias("first_name"), last.alias("last_name"))))
+            .withColumnRenamed("o_orderdate", "requested_at")
+            .drop("o_custkey", "c_custkey", "c_name", "_has_user"))
 
 
 ORDER_USERS_SQL = """
@@ -106,20 +112,22 @@ SELECT o_orderkey AS order_key, o_orderdate AS requested_at,
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
-def attach_users(lines: DataFrame, users: DataFrame) -> DataFrame:
-    """Line requests + user details struct (the order request record). A line
-    without a known user keeps a null struct, which the contract check rejects."""
-    u = users.withColumn("_has_user", F.lit(True))
-    return (lines.join(u, "order_key", "left")
-            .select("request_id", "sku_code", "price", "quantity",
-                    F.when(F.col("_has_user"), F.struct("email", "first_name", "last_name"))
-                     .alias("user_details"),
-                    "requested_at"))
+def attach_users(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line requests + user details struct (the order request record).
+
+    Lines are joined to orders on the order key first and only then to the
+    customer, so orders are shuffled once (by order key) and the customer join
+    sees just the requested rows. A line without a known order or customer
+    keeps a null struct, which the contract check rejects.
+    """
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    keyed = lines.join(orders, lines.order_key == orders.o_orderkey, "left").drop("o_orderkey")
+    return _users_of(keyed, spark, sf_dir).select(
+        "request_id", "sku_code", "price", "quantity", "user_details", "requested_at")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_users(line_requests(read_table(spark, sf_dir, "lineitem")),
-                        order_users(spark, sf_dir))
+    return attach_users(line_requests(read_table(spark, sf_dir, "lineitem")), spark, sf_dir)
 
 
 REQUESTS_FLAT_SQL = f"""
