@@ -70,13 +70,14 @@ def failure_rate(calls: DataFrame, window_calls: int, min_calls: int = C.MIN_CAL
     previous block's last ``window_calls - 1`` calls; the window then runs per
     (instance, block), so a hot instance is spread over many tasks.
     """
-    pos = position_within(calls, ["instance"], ["ts", "event_id"], num_partitions=num_partitions)
+    slim = calls.select("instance", "ts", "event_id", F.col(failed).alias("_failed"))
+    pos = position_within(slim, ["instance"], ["ts", "event_id"], num_partitions=num_partitions)
     b = blocked(pos, "position", block_rows, window_calls - 1)
     w = (Window.partitionBy("instance", "_block").orderBy("position")
          .rowsBetween(-(window_calls - 1), 0))
     out = (b.withColumn("n_calls", F.count(F.lit(1)).over(w))
-            .withColumn("n_failed", F.sum(F.col(failed).cast("long")).over(w))
-            .where(~F.col("_carry")).drop("_block", "_carry"))
+            .withColumn("n_failed", F.sum(F.col("_failed").cast("long")).over(w))
+            .where(~F.col("_carry")).drop("_block", "_carry", "_failed"))
     rate = F.col("n_failed").cast("double") / F.col("n_calls")
     return out.withColumns({
         "failure_rate": rate,
@@ -220,8 +221,8 @@ def position_in_label_set(logs: DataFrame, labels: list[str] = LABEL_KEYS) -> Da
 def traces_to_logs(spans: DataFrame, logs: DataFrame) -> DataFrame:
     """The log lines of each trace. Spans are first reduced to one row
     per trace, so the join emits one row per log line, never span x log pairs."""
-    per_trace = (spans.where(F.col("trace_id").isNotNull() & (F.col("trace_id") != ""))
+    per_trace = (spans.where(F.col("trace_id") != "")
                  .groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"),
                                           F.min("ts").alias("trace_start")))
-    lines = logs.where(F.col("trace_id").isNotNull() & (F.col("trace_id") != ""))
-    return lines.join(per_trace, "trace_id")
+    # Empty ids are null after parsing (``nullif``); the equi-join drops them.
+    return logs.join(per_trace, "trace_id")
