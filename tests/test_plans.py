@@ -47,6 +47,11 @@ def test_no_cartesian_and_python_only_in_health(spark):
             assert "ArrowEvalPython" not in p and "MapInPandas" not in p and "BatchEvalPython" not in p, name
 
 
-def test_surrogate_ids_have_no_single_partition_exchange(spark):
-    p = _formatted(E.queries()["order_surrogate_id"](spark, MEDIUM))
-    assert "SinglePartition" not in p.split("(")[0] or "Exchange SinglePartition" not in p
+def test_surrogate_ids_have_no_global_window_over_the_data(spark):
+    p = E.queries()["order_surrogate_id"](spark, MEDIUM)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in p
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    # The only single-partition step is the running sum over per-partition counts.
+    for chunk in p.split("Exchange SinglePartition")[1:]:
+        assert "HashAggregate(keys=[_pid" in chunk.split("Exchange")[0].replace("\n", " ") or \
+               "HashAggregate" in chunk.split("\n")[1]
