@@ -551,3 +551,10 @@ def q_trace_log_join(spark, sf_dir):
     logs = TL.parse_log_lines(fx.log_lines(spark, sf_dir)).select("event_id", "trace_id")
     return TL.traces_to_logs(fx.spans(spark, sf_dir), logs).select(
         "trace_id", "event_id", "n_spans", "trace_start")
+
+
+@query("health_transitions_stream")
+def q_health_transitions_stream(spark, sf_dir):
+    from shopflow.streaming.health_stream import run_health_stream
+    out = run_health_stream(spark, sf_dir, STREAM_DELAY, H.BreakerConfig())
+    return sinks.read_sink(spark, out)

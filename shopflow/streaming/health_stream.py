@@ -1,0 +1,116 @@
+"""T03 as a stream: breaker transitions per instance with state and a timer.
+
+``transformWithStateInPandas`` keeps one small breaker state per instance in
+the state store (RocksDB) and uses an event-time timer for the automatic
+OPEN -> HALF_OPEN move, so the move is emitted even when the instance makes no
+further call. The step function is the batch job's (operators.health).
+
+Calls of an instance are processed in event-time order inside a micro-batch;
+calls later than the watermark are dropped by Spark, calls that arrive after a
+newer call of the same instance was already processed are taken as they come.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from shopflow.operators import telemetry as TL
+from shopflow.operators.health import HALF_OPEN, OPEN, Breaker, BreakerConfig
+from shopflow.sources import fixtures as fx
+from shopflow.sources.storage import run_dir
+from shopflow.sources.tables import read_table
+
+STATE_SCHEMA = "state string, opened_at_us long, ring string"
+STREAM_OUTPUT = ("instance string, ts timestamp, event_id long, from_state string, "
+                 "to_state string, failure_rate double")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COLS = ["instance", "ts", "event_id", "from_state", "to_state", "failure_rate"]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLS).astype({"event_id": "Int64"})
+
+
+class BreakerProcessor(StatefulProcessor):
+    def __init__(self, cfg: BreakerConfig):
+        self.cfg = cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.saved = handle.getValueState("breaker", STATE_SCHEMA)
+
+    def _load(self) -> Breaker:
+        b = Breaker(self.cfg)
+        if self.saved.exists():
+            state, opened_us, ring = self.saved.get()
+            b.state = state
+            b.opened_at = pd.Timestamp(opened_us, unit="us") if opened_us is not None else None
+            b.ring = deque(c == "1" for c in (ring or ""))
+        return b
+
+    def _store(self, b: Breaker) -> None:
+        opened = int(b.opened_at.value // 1000) if b.opened_at is not None else None
+        self.saved.update((b.state, opened, "".join("1" if x else "0" for x in b.ring)))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if b.state == OPEN:
+            self.handle.registerTimer(int(b.due_half_open().value // 1_000_000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        instance = key[0]
+        calls = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
+        b = self._load()
+        out: list[tuple] = []
+        for ts, eid, failed in zip(calls["ts"], calls["event_id"], calls["failed"]):
+            b.step(instance, pd.Timestamp(ts), int(eid), bool(failed), out)
+        self._store(b)
+        if out:
+            yield _frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        b = self._load()
+        if b.state != OPEN:
+            return
+        due = b.due_half_open()
+        b.state, b.ring = HALF_OPEN, deque()
+        self._store(b)
+        yield _frame([(key[0], due, None, OPEN, HALF_OPEN, None)])
+
+    def close(self) -> None:
+        pass
+
+
+def health_transitions_stream(calls: DataFrame, delay: str,
+                              cfg: BreakerConfig = BreakerConfig()) -> DataFrame:
+    """Streaming transitions; ``calls`` has instance, ts (timestamp), event_id, failed."""
+    return (calls.select("instance", "ts", "event_id", "failed")
+            .withWatermark("ts", delay)
+            .groupBy("instance")
+            .transformWithStateInPandas(BreakerProcessor(cfg), STREAM_OUTPUT, "Append", "EventTime"))
+
+
+def run_health_stream(spark: SparkSession, sf_dir: str, delay: str,
+                      cfg: BreakerConfig = BreakerConfig(), time_limit_s=None) -> str:
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    base = run_dir(spark, "health-stream")
+    schema = read_table(spark, sf_dir, "events").schema
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+          .parquet(sf_dir))
+    calls = fx.calls_from_events(ev).withColumns({
+        "ts": F.col("ts").cast("timestamp"),
+        "failed": TL.failed_call(F.col("error"), F.col("duration_s"), time_limit_s)})
+    out = health_transitions_stream(calls, delay, cfg).withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    q = (out.writeStream.outputMode("append").format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return f"{base}/out"

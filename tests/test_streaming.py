@@ -47,3 +47,15 @@ def test_notify_stream_outbox(spark):
     assert outbox.count() + dead.count() == ev.count()
     assert outbox.groupBy("order_number").count().where("count > 1").count() == 0
     assert dead.where(F.col("value").startswith('{"orderNumber":"0')).count() == dead.count()
+
+
+def test_health_stream_equals_batch(spark):
+    from shopflow.operators import telemetry as TL
+    from shopflow.operators.health import BreakerConfig, health_transitions
+    from shopflow.streaming.health_stream import run_health_stream
+    out = sinks.read_sink(spark, run_health_stream(spark, SMALL, "10 seconds"))
+    calls = fx.calls(spark, SMALL).withColumn(
+        "failed", TL.failed_call(F.col("error"), F.col("duration_s"), None))
+    batch = health_transitions(calls, BreakerConfig())
+    assert out.count() == batch.count() > 0
+    assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
