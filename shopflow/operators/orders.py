@@ -88,6 +88,25 @@ def with_outcome(flagged: DataFrame) -> DataFrame:
          .when(~valid_for_order(), F.lit(INVALID)).otherwise(F.lit(ACCEPTED)))
 
 
+def request_outcomes(lines: DataFrame, inventory: DataFrame, spark: SparkSession,
+                     sf_dir: str) -> DataFrame:
+    """F02/F03 over whole request tables, shuffling only what needs user data.
+
+    The stock answer comes from the (broadcast or shuffled) join to distinct
+    stock keys; only in-stock lines are joined to orders and customers for the
+    contract check, the rest is OUT_OF_STOCK as it stands. Columns: the line
+    columns + in_stock, user_details (null when out of stock), outcome.
+    """
+    flagged = with_stock_flag(lines, inventory)
+    held = fx.attach_users(flagged.where(F.col("in_stock")), spark, sf_dir) \
+        .withColumn("in_stock", F.lit(True))
+    rest = flagged.where(~F.col("in_stock")).select(
+        "request_id", "sku_code", "price", "quantity",
+        F.lit(None).cast(held.schema["user_details"].dataType).alias("user_details"),
+        F.lit(None).cast("timestamp_ntz").alias("requested_at"), "in_stock")
+    return with_outcome(held.unionByName(rest))
+
+
 def order_response(outcomes: DataFrame) -> DataFrame:
     """201 + fixed text, or the error text carrying the SKU (no blank
     between SKU and "is", as the shop writes it)."""
@@ -102,9 +121,10 @@ def order_response(outcomes: DataFrame) -> DataFrame:
 
 
 def accepted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line requests in stock; filtered before any customer column is joined."""
-    lines = fx.line_requests(read_table(spark, sf_dir, "lineitem"))
-    return in_stock(lines, fx.inventory(spark, sf_dir))
+    """Line requests in stock; filtered before any customer column is joined
+    and before the request columns are built."""
+    keys = fx.line_keys(read_table(spark, sf_dir, "lineitem"))
+    return fx.finish_line_requests(in_stock(keys, fx.inventory(spark, sf_dir)))
 
 
 def accepted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = O.with_stock_flag(fx.requests(spark, sf_dir), fx.inventory(spark, sf_dir))
-    return O.with_outcome(flagged)
+    return O.request_outcomes(_lines(spark, sf_dir), fx.inventory(spark, sf_dir), spark, sf_dir)
 
 
 # ------------------------------------------------------------- stock/orders --

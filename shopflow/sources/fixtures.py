@@ -63,19 +63,34 @@ FROM part"""
 
 # ----------------------------------------------------------------- requests --
 
-def line_requests(lineitem: DataFrame) -> DataFrame:
-    """The per-line part of an order request (no customer columns)."""
+def line_keys(lineitem: DataFrame) -> DataFrame:
+    """The stock-check keys of a line plus the raw columns the request needs;
+    the remaining request columns are built by ``finish_line_requests`` (after
+    a selective join, so only surviving rows pay for the string building)."""
     return lineitem.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
+        F.concat(F.lit("sku_"), F.col("l_partkey").cast("string")).alias("sku_code"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+    )
+
+
+def finish_line_requests(keys: DataFrame) -> DataFrame:
+    return keys.select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in
                            ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
                     ).alias("request_id"),
-        F.concat(F.lit("sku_"), F.col("l_partkey").cast("string")).alias("sku_code"),
+        "sku_code",
         F.col("l_extendedprice").cast(MONEY).alias("price"),
-        F.col("l_quantity").cast("int").alias("quantity"),
+        "quantity",
         F.col("l_orderkey").alias("order_key"),
     )
 
 
+def line_requests(lineitem: DataFrame) -> DataFrame:
+    """The per-line part of an order request (no customer columns)."""
+    return finish_line_requests(line_keys(lineitem))
+
+
 LINE_REQUESTS_SQL = """
 SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' ||
        CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS request_id,
@@ -122,8 +137,10 @@ def attach_users(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     """
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     keyed = lines.join(orders, lines.order_key == orders.o_orderkey, "left").drop("o_orderkey")
+    extra = [c for c in lines.columns if c not in
+             ("request_id", "sku_code", "price", "quantity", "order_key")]
     return _users_of(keyed, spark, sf_dir).select(
-        "request_id", "sku_code", "price", "quantity", "user_details", "requested_at")
+        "request_id", "sku_code", "price", "quantity", "user_details", "requested_at", *extra)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
