@@ -59,3 +59,16 @@ def test_health_stream_equals_batch(spark):
     batch = health_transitions(calls, BreakerConfig())
     assert out.count() == batch.count() > 0
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
+
+
+def test_redelivered_events_are_dropped_across_batches(spark):
+    base = run_dir(spark, "redeliver")
+    ev = fx.events_json(spark, SMALL)
+    publish_events(ev, f"{base}/topic")
+    paths = run_notify_stream(spark, f"{base}/topic")
+    first = sinks.read_sink(spark, paths.outbox).count()
+    publish_events(ev, f"{base}/topic")          # the same events delivered again
+    run_notify_stream(spark, f"{base}/topic", paths)
+    outbox = sinks.read_sink(spark, paths.outbox)
+    assert outbox.count() == first
+    assert outbox.select("batch_id").distinct().count() >= 1
