@@ -6,10 +6,12 @@ calls are in the ring; OPEN refuses calls (they are not recorded) and turns
 HALF_OPEN by itself after ``wait_s``; HALF_OPEN judges a fresh ring of
 ``half_open_calls`` calls and closes or opens again.
 
-A breaker is a sequential state machine, so each instance is one ordered scan:
-rows are hash-partitioned by instance, sorted, and scanned by ``mapInPandas``
-with one small state per instance carried across Arrow batches (memory does not
-grow with the number of calls; parallelism is the number of instances).
+A breaker is a sequential state machine. ``health_transitions`` is the plain
+form: one ordered scan per instance (hash-partitioned by instance, sorted,
+``mapInPandas`` carrying one small state across Arrow batches), so its
+parallelism is the number of instances. ``health_transitions_chunked`` (the
+registered job) splits every instance into bounded chunks that run in parallel
+and are verified against each other, so a hot instance is no longer one task.
 """
 
 from __future__ import annotations
@@ -122,3 +124,119 @@ def health_transitions(calls: DataFrame, cfg: BreakerConfig = BreakerConfig(),
                .repartition(n, "instance")
                .sortWithinPartitions("instance", "ts", "event_id"))
     return ordered.mapInPandas(_scan(cfg), TRANSITION_SCHEMA)
+
+
+# ---------------------------------------------------------------------------
+# Chunked form: a hot instance is split into bounded chunks run in parallel.
+#
+# Calls are numbered per instance (plans.ordinal), cut into chunks of
+# ``chunk_calls`` calls, and each chunk is run from a state guessed by warming
+# up on the previous chunk's last ``warmup_calls`` calls. A chunk is right when
+# its guessed entry state equals the end state of the chunk before it (chunk 0
+# starts from the true initial state). Wrong chunks are run again from the
+# true entry state until none is wrong; every round fixes at least the first
+# wrong chunk of each instance, and a breaker forgets its past within a few
+# calls, so one or two rounds are the rule. Memory per task: one chunk.
+# ---------------------------------------------------------------------------
+
+CHUNK_OUT = ("kind string, instance string, block long, ts timestamp_ntz, event_id long, "
+             "from_state string, to_state string, failure_rate double, entry string, exit string")
+_CHUNK_COLS = ["kind", "instance", "block", "ts", "event_id", "from_state", "to_state",
+               "failure_rate", "entry", "exit"]
+
+
+def _dump(b: Breaker) -> str:
+    opened = "" if b.opened_at is None else str(pd.Timestamp(b.opened_at).value // 1000)
+    return f"{b.state}|{opened}|{''.join('1' if x else '0' for x in b.ring)}"
+
+
+def _load(text: str, cfg: BreakerConfig) -> Breaker:
+    state, opened, ring = text.split("|")
+    b = Breaker(cfg)
+    b.state = state
+    b.opened_at = pd.Timestamp(int(opened), unit="us") if opened else None
+    b.ring = deque(c == "1" for c in ring)
+    return b
+
+
+def _chunk_runner(cfg: BreakerConfig, given_entry: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        inst, block = pdf["instance"].iloc[0], int(pdf["_block"].iloc[0])
+        if given_entry:
+            b = _load(pdf["_entry"].iloc[0], cfg)
+        else:
+            b = Breaker(cfg)
+            warm = pdf[pdf["_carry"]]
+            for ts, eid, f in zip(warm["ts"], warm["event_id"], warm["failed"]):
+                b.step(inst, pd.Timestamp(ts), int(eid), bool(f), [])
+        entry = _dump(b)
+        own = pdf[~pdf["_carry"]]
+        out: list[tuple] = []
+        for ts, eid, f in zip(own["ts"], own["event_id"], own["failed"]):
+            b.step(inst, pd.Timestamp(ts), int(eid), bool(f), out)
+        rows = [("T", i, block, t, e, fr, to, r, None, None) for i, t, e, fr, to, r in out]
+        rows.append(("S", inst, block, None, None, None, None, None, entry, _dump(b)))
+        return pd.DataFrame(rows, columns=_CHUNK_COLS).astype({"event_id": "Int64"})
+    return run
+
+
+def _trailing_timers(cfg: BreakerConfig):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for inst, text in zip(pdf["instance"], pdf["exit"]):
+                b = _load(text, cfg)
+                b.finish(inst, out)
+            if out:
+                yield pd.DataFrame(out, columns=["instance", "ts", "event_id", "from_state",
+                                                 "to_state", "failure_rate"]).astype({"event_id": "Int64"})
+    return run
+
+
+def health_transitions_chunked(calls: DataFrame, cfg: BreakerConfig = BreakerConfig(),
+                               failed: str = "failed", chunk_calls: int = 1 << 20,
+                               warmup_calls: int | None = None, max_rounds: int = 1000,
+                               num_partitions: int | None = None) -> DataFrame:
+    """T03 with every instance split into chunks of ``chunk_calls`` calls;
+    equal to ``health_transitions`` (tested on random sequences)."""
+    from shopflow.plans.ordinal import BROADCAST_STATS_ROWS, blocked, position_within
+    from shopflow.sources.storage import shared_dir
+
+    shared_dir(calls.sparkSession)
+    warm = warmup_calls if warmup_calls is not None else min(8 * cfg.window_calls + cfg.half_open_calls,
+                                                              chunk_calls - 1)
+    slim = calls.select("instance", "ts", "event_id", F.col(failed).alias("failed"))
+    pos = position_within(slim, ["instance"], ["ts", "event_id"], num_partitions=num_partitions)
+    rows = blocked(pos, "position", chunk_calls, warm).checkpoint(eager=True)
+
+    out = (rows.groupBy("instance", "_block")
+           .applyInPandas(_chunk_runner(cfg, False), CHUNK_OUT).checkpoint(eager=True))
+    states = out.where("kind = 'S'").select("instance", "block", "entry", "exit")
+    trans = out.where("kind = 'T'")
+    for _ in range(max_rounds):
+        before = states.select("instance", (F.col("block") + 1).alias("block"),
+                               F.col("exit").alias("_entry"))
+        wrong = (states.join(before, ["instance", "block"])
+                 .where(F.col("entry") != F.col("_entry"))
+                 .select("instance", F.col("block").alias("_block"), "_entry")).checkpoint(eager=True)
+        n_wrong = wrong.count()
+        if n_wrong == 0:
+            break
+        w = F.broadcast(wrong) if n_wrong <= BROADCAST_STATS_ROWS else wrong
+        redo = (rows.where(~F.col("_carry")).join(w, ["instance", "_block"])
+                .groupBy("instance", "_block")
+                .applyInPandas(_chunk_runner(cfg, True), CHUNK_OUT))
+        keys = wrong.select("instance", F.col("_block").alias("block"))
+        kw = F.broadcast(keys) if n_wrong <= BROADCAST_STATS_ROWS else keys
+        out = (out.join(kw, ["instance", "block"], "left_anti").unionByName(redo)
+               .checkpoint(eager=True))
+        states = out.where("kind = 'S'").select("instance", "block", "entry", "exit")
+        trans = out.where("kind = 'T'")
+    else:
+        raise RuntimeError("breaker chunks did not settle")
+
+    last = states.groupBy("instance").agg(F.max_by("exit", "block").alias("exit"))
+    tail = last.mapInPandas(_trailing_timers(cfg), TRANSITION_SCHEMA)
+    return trans.select("instance", "ts", "event_id", "from_state", "to_state",
+                        "failure_rate").unionByName(tail)

@@ -436,7 +436,7 @@ def q_failure_rate_10(spark, sf_dir):
 
 @query("health_transitions")
 def q_health_transitions(spark, sf_dir):
-    return H.health_transitions(_calls_failed(spark, sf_dir, None), H.BreakerConfig())
+    return H.health_transitions_chunked(_calls_failed(spark, sf_dir, None), H.BreakerConfig())
 
 
 @query("target_labels", _with(W_CALLS, W_TARGETS) + """

@@ -52,3 +52,23 @@ def test_instances_are_independent(spark):
            [("b", 100 + k, T0 + timedelta(seconds=k), False) for k in range(5)]
     out = health_transitions(spark.createDataFrame(rows, SCHEMA), BreakerConfig()).collect()
     assert {(r.instance, r.to_state) for r in out} == {("a", "OPEN"), ("a", "HALF_OPEN")}
+
+
+def test_chunked_equals_sequential_on_a_hot_instance(spark):
+    import random
+
+    from shopflow.operators.health import health_transitions_chunked
+    rnd = random.Random(11)
+    rows, t = [], T0
+    for k in range(1500):
+        inst = "hot" if rnd.random() < 0.7 else f"i{rnd.randint(0, 2)}"
+        t += timedelta(seconds=rnd.choice([0.5, 1, 2, 3, 7]))
+        p = 0.6 if (k // 150) % 2 else 0.1
+        rows.append((inst, k, t, rnd.random() < p))
+    df = spark.createDataFrame(rows, SCHEMA)
+    seq = health_transitions(df, BreakerConfig())
+    for chunk, warm in [(40, 10), (97, 0)]:          # no warm-up forces re-runs
+        par = health_transitions_chunked(df, BreakerConfig(), chunk_calls=chunk,
+                                         warmup_calls=warm, num_partitions=5)
+        assert par.count() == seq.count() > 0
+        assert par.exceptAll(seq).count() == 0 and seq.exceptAll(par).count() == 0
