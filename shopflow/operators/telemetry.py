@@ -225,4 +225,6 @@ def traces_to_logs(spans: DataFrame, logs: DataFrame) -> DataFrame:
                  .groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"),
                                           F.min("ts").alias("trace_start")))
     # Empty ids are null after parsing (``nullif``); the equi-join drops them.
-    return logs.join(per_trace, "trace_id")
+    # Shuffled hash join built on the per-trace side (one row per trace): no
+    # sort, no broadcast of the log side, and a hot trace is only streamed.
+    return logs.join(per_trace.hint("shuffle_hash"), "trace_id")
