@@ -140,7 +140,7 @@ def duration_histogram(spans: DataFrame, bounds: list[float] = DEFAULT_BOUNDS) -
            .agg(F.count(F.lit(1)).alias("samples"),
                 F.sum(F.col("duration_s").cast("decimal(18,4)")).cast("decimal(38,4)").alias("sum_s"),
                 F.max("duration_s").alias("max_s"),
-                F.max_by("trace_id", "event_id").alias("exemplar_trace_id")))
+                F.max_by("trace_id", F.struct("ts", "event_id")).alias("exemplar_trace_id")))
     # The aggregate has at most (applications x buckets) rows.
     running = Window.partitionBy("application").orderBy("le").rowsBetween(
         Window.unboundedPreceding, 0)

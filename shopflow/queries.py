@@ -483,7 +483,7 @@ SELECT *, CAST(sum(samples) OVER (PARTITION BY application ORDER BY le
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative
 FROM (SELECT application, {BOUNDS_SQL} AS le, count(*) AS samples,
              CAST(sum(CAST(duration_s AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS sum_s,
-             max(duration_s) AS max_s, arg_max(trace_id, event_id) AS exemplar_trace_id
+             max(duration_s) AS max_s, arg_max(trace_id, row(ts, event_id)) AS exemplar_trace_id
       FROM spans GROUP BY 1, 2)""")
 def q_duration_histogram(spark, sf_dir):
     return TL.duration_histogram(fx.spans(spark, sf_dir))

@@ -106,11 +106,12 @@ def test_labels_and_levels(spark):
 
 def test_histogram_cumulative(spark):
     spans = spark.createDataFrame(
-        [(1, "t1", "app", 0.003), (2, "t2", "app", 0.2), (3, "t3", "app", 0.2), (4, "t4", "app", 50.0)],
-        "event_id bigint, trace_id string, application string, duration_s double")
+        [(1, "t1", "app", 0.003, T0), (2, "t2", "app", 0.2, T0 + timedelta(seconds=9)),
+         (3, "t3", "app", 0.2, T0 + timedelta(seconds=5)), (4, "t4", "app", 50.0, T0)],
+        "event_id bigint, trace_id string, application string, duration_s double, ts timestamp_ntz")
     h = {r.le: r for r in TL.duration_histogram(spans).collect()}
     assert [h[k].cumulative for k in sorted(h)] == [1, 3, 4]
-    assert h[0.25].exemplar_trace_id == "t3"
+    assert h[0.25].exemplar_trace_id == "t2"          # the latest sample of the bucket
     assert h[float("inf")].samples == 1
 
 
