@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shopflow.functions import constants as C
 from shopflow.functions.money import line_total
 from shopflow.functions.text import uuid_from_key
+from shopflow.plans.joins import counted_broadcast
 from shopflow.plans.ordinal import position_within
 from shopflow.sources import fixtures as fx
 from shopflow.sources.tables import read_table
@@ -32,9 +33,11 @@ def stock_predicate(sku_code: str, quantity: int) -> Column:
 
 def stock_keys(inventory: DataFrame) -> DataFrame:
     """Distinct (sku, quantity) pairs held. The partial aggregate collapses a
-    hot or duplicated pair map-side before anything is shuffled."""
-    return inventory.select(*STOCK_KEYS).where(
+    hot or duplicated pair map-side before anything is shuffled. Broadcast
+    when the inventory's row count (a bound of the pairs) is within the limit."""
+    keys = inventory.select(*STOCK_KEYS).where(
         F.col("sku_code").isNotNull() & F.col("quantity").isNotNull()).distinct()
+    return counted_broadcast(keys, bound_from=inventory)
 
 
 def in_stock(requests: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
-    # Size check for automatic broadcast: sides estimated above this are
-    # shuffled (sort-merge / shuffled hash) instead.
-    "spark.sql.autoBroadcastJoinThreshold": "32m",
+    # No broadcast on size estimates (compressed file sizes can be far below the
+    # in-memory size): broadcasts are explicit, for fixed dimensions or for sides
+    # whose rows were counted (plans.joins). Everything else is a shuffled join.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -108,7 +108,8 @@ def order_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _users_of(keyed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    from shopflow.plans.joins import counted_broadcast
+    customer = counted_broadcast(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     first = F.substring_index("c_name", "#", 1)
     last = F.substring_index("c_name", "#", -1)
     return (keyed.join(customer, keyed.o_custkey == customer.c_custkey, "left")
@@ -135,7 +136,9 @@ def attach_users(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     sees just the requested rows. A line without a known order or customer
     keeps a null struct, which the contract check rejects.
     """
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    from shopflow.plans.joins import counted_broadcast
+    orders = counted_broadcast(
+        read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     keyed = lines.join(orders, lines.order_key == orders.o_orderkey, "left").drop("o_orderkey")
     extra = [c for c in lines.columns if c not in
              ("request_id", "sku_code", "price", "quantity", "order_key")]
