@@ -26,14 +26,22 @@ from shopflow.sources.storage import run_dir
 from shopflow.sources.tables import read_table
 
 STATE_SCHEMA = "state string, opened_at_us long, ring string"
-STREAM_OUTPUT = ("instance string, ts timestamp, event_id long, from_state string, "
+# Event times cross the Python boundary as epoch microseconds: pandas would
+# otherwise localise timestamps to the session time zone, while timers and the
+# watermark are epoch based.
+STREAM_OUTPUT = ("instance string, ts_us long, event_id long, from_state string, "
                  "to_state string, failure_rate double")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-COLS = ["instance", "ts", "event_id", "from_state", "to_state", "failure_rate"]
+COLS = ["instance", "ts_us", "event_id", "from_state", "to_state", "failure_rate"]
+
+
+def _us(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1000)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COLS).astype({"event_id": "Int64"})
+    out = [(i, _us(t), e, a, b, r) for i, t, e, a, b, r in rows]
+    return pd.DataFrame(out, columns=COLS).astype({"event_id": "Int64"})
 
 
 class BreakerProcessor(StatefulProcessor):
@@ -63,11 +71,11 @@ class BreakerProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         instance = key[0]
-        calls = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
+        calls = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "event_id"])
         b = self._load()
         out: list[tuple] = []
-        for ts, eid, failed in zip(calls["ts"], calls["event_id"], calls["failed"]):
-            b.step(instance, pd.Timestamp(ts), int(eid), bool(failed), out)
+        for ts_us, eid, failed in zip(calls["ts_us"], calls["event_id"], calls["failed"]):
+            b.step(instance, pd.Timestamp(int(ts_us), unit="us"), int(eid), bool(failed), out)
         self._store(b)
         if out:
             yield _frame(out)
@@ -90,8 +98,11 @@ def health_transitions_stream(calls: DataFrame, delay: str,
     """Streaming transitions; ``calls`` has instance, ts (timestamp), event_id, failed."""
     return (calls.select("instance", "ts", "event_id", "failed")
             .withWatermark("ts", delay)
+            .withColumn("ts_us", F.unix_micros("ts"))
             .groupBy("instance")
-            .transformWithStateInPandas(BreakerProcessor(cfg), STREAM_OUTPUT, "Append", "EventTime"))
+            .transformWithStateInPandas(BreakerProcessor(cfg), STREAM_OUTPUT, "Append", "EventTime")
+            .select("instance", F.timestamp_micros("ts_us").alias("ts"), "event_id",
+                    "from_state", "to_state", "failure_rate"))
 
 
 def run_health_stream(spark: SparkSession, sf_dir: str, delay: str,
