@@ -106,13 +106,18 @@ def health_transitions_stream(calls: DataFrame, delay: str,
 
 
 def run_health_stream(spark: SparkSession, sf_dir: str, delay: str,
-                      cfg: BreakerConfig = BreakerConfig(), time_limit_s=None) -> str:
+                      cfg: BreakerConfig = BreakerConfig(), time_limit_s=None,
+                      max_files: int | None = None) -> str:
+    """``max_files`` bounds a micro-batch, and with it the calls of one instance
+    that a task holds at once (they are sorted by event time per batch)."""
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     base = run_dir(spark, "health-stream")
     schema = read_table(spark, sf_dir, "events").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .parquet(sf_dir))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    ev = reader.parquet(sf_dir)
     calls = fx.calls_from_events(ev).withColumns({
         "ts": F.col("ts").cast("timestamp"),
         "failed": TL.failed_call(F.col("error"), F.col("duration_s"), time_limit_s)})

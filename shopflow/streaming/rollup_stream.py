@@ -18,10 +18,12 @@ from shopflow.sources.storage import run_dir
 from shopflow.sources.tables import read_table
 
 
-def sample_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sample_feed(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     schema = read_table(spark, sf_dir, "events").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .parquet(sf_dir))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    ev = reader.parquet(sf_dir)
     return fx.calls_from_events(ev)
 
 
@@ -33,9 +35,10 @@ def rollup_stream(samples: DataFrame, targets: DataFrame, interval: str, delay:
                       "application", "samples", "total_duration_s", "max_duration_s")
 
 
-def run_rollup_stream(spark: SparkSession, sf_dir: str, interval: str, delay: str) -> str:
+def run_rollup_stream(spark: SparkSession, sf_dir: str, interval: str, delay: str,
+                      max_files: int | None = None) -> str:
     base = run_dir(spark, "rollup-stream")
-    out = rollup_stream(sample_feed(spark, sf_dir), fx.targets(spark), interval, delay)
+    out = rollup_stream(sample_feed(spark, sf_dir, max_files), fx.targets(spark), interval, delay)
     q = (out.writeStream.outputMode("append").format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
