@@ -27,3 +27,25 @@ def test_bad_bodies_are_quarantined(spark):
     d = D.decode_events(bodies)
     assert [r.order_number for r in D.good_events(d).collect()] == ["1"]
     assert D.dead_letters(d).count() == 3
+
+
+def test_order_request_decode_ignores_id_and_number(spark):
+    bodies = spark.createDataFrame([
+        ('{"id": 7, "orderNumber": "client", "requestId": "r1", "skuCode": "sku_1", "price": 12.5,'
+         ' "quantity": 2, "userDetails": {"email": "e@x", "firstName": "F", "lastName": "L"}}',),
+        ('{"requestId": "r2", "skuCode": "sku_2", "price": 1, "quantity": 1}',),
+    ], "value string")
+    got = {r.request_id: r for r in D.decode_order_requests(bodies).collect()}
+    assert str(got["r1"].price) == "12.50" and got["r1"].quantity == 2
+    assert got["r1"].user_details.first_name == "F"
+    assert got["r2"].user_details is None
+    assert "id" not in D.decode_order_requests(bodies).columns
+
+
+def test_product_ids_are_stable_and_ignore_client_ids(spark):
+    from shopflow.operators.catalog import build_products
+    bodies = spark.createDataFrame([('{"requestId": "p1", "id": "client", "name": "n", '
+                                     '"description": "d", "price": 3}',)], "value string")
+    a = build_products(D.decode_product_requests(bodies)).collect()[0]
+    b = build_products(D.decode_product_requests(bodies)).collect()[0]
+    assert a.id == b.id != "client" and len(a.id) == 36
