@@ -12,10 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopflow.functions import constants as C
 from shopflow.functions.money import line_total, line_total_sql
 from shopflow.functions.text import uuid_from_key_sql
+from shopflow.operators import catalog as CAT
+from shopflow.operators import decode as D
+from shopflow.operators import health as H
 from shopflow.operators import orders as O
+from shopflow.operators import telemetry as TL
+from shopflow.operators.notify import render_notifications, render_sql
 from shopflow.sources import fixtures as fx
+from shopflow.sources import sinks
+from shopflow.sources.storage import run_dir
 from shopflow.sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -89,16 +97,15 @@ def q_stock_flag(spark, sf_dir):
         "request_id", "sku_code", "quantity", "in_stock")
 
 
-def _stock_param(sf_dir: str) -> tuple[str, int]:
-    # The stock row the predicate looks for: part 1 at its own size is held.
-    return ("sku_1", 28)
+# The (sku, quantity) the single-probe stock predicate asks for (a parameter).
+STOCK_PROBE = ("sku_1", 28)
 
 
-@query("stock_predicate", _with(W_INV) + """
-SELECT id, sku_code, quantity FROM inventory WHERE sku_code = 'sku_1' AND quantity = 28""")
+@query("stock_predicate", _with(W_INV) + f"""
+SELECT id, sku_code, quantity FROM inventory
+WHERE sku_code = '{STOCK_PROBE[0]}' AND quantity = {STOCK_PROBE[1]}""")
 def q_stock_predicate(spark, sf_dir):
-    sku, qty = _stock_param(sf_dir)
-    return fx.inventory(spark, sf_dir).where(O.stock_predicate(sku, qty))
+    return fx.inventory(spark, sf_dir).where(O.stock_predicate(*STOCK_PROBE))
 
 
 @query("inventory_scan", _with(W_INV) + "SELECT id, sku_code, quantity FROM inventory")
@@ -201,12 +208,6 @@ def q_order_request_decode(spark, sf_dir):
 
 # ---------------------------------------------------------------- catalogue --
 
-from shopflow.operators import catalog as CAT  # noqa: E402
-from shopflow.operators import decode as D  # noqa: E402
-from shopflow.operators.notify import render_notifications, render_sql  # noqa: E402
-from shopflow.sources import sinks  # noqa: E402
-from shopflow.sources.storage import run_dir  # noqa: E402
-
 PRODUCT_ID = uuid_from_key_sql("'product:' || id")
 
 
@@ -340,10 +341,6 @@ def q_order_and_event_sinks(spark, sf_dir):
 
 # ---------------------------------------------------------------- telemetry --
 
-from shopflow.functions import constants as C  # noqa: E402
-from shopflow.operators import health as H  # noqa: E402
-from shopflow.operators import telemetry as TL  # noqa: E402
-
 W_ACCESS = f"access AS ({fx.ACCESS_LOG_SQL})"
 W_ROUTES = f"routes AS ({fx.ROUTES_SQL})"
 W_ROUTED = ("routed AS (SELECT a.*, r.route_id, r.target_uri FROM access a LEFT JOIN routes r "
