@@ -55,3 +55,17 @@ def test_surrogate_ids_have_no_global_window_over_the_data(spark):
     for chunk in p.split("Exchange SinglePartition")[1:]:
         assert "HashAggregate(keys=[_pid" in chunk.split("Exchange")[0].replace("\n", " ") or \
                "HashAggregate" in chunk.split("\n")[1]
+
+
+def test_broadcast_needs_a_counted_bound(spark):
+    from shopflow.plans.joins import MAX_ROWS_CONF
+    q = E.queries()["event_projection"]
+    assert "SortMergeJoin" not in _plan(q(spark, MEDIUM))          # small sides: counted, broadcast
+    spark.conf.set(MAX_ROWS_CONF, "100")
+    try:
+        p = _plan(q(spark, MEDIUM))
+        assert "BroadcastHashJoin" not in p and "SortMergeJoin" in p  # above the limit: shuffled
+    finally:
+        spark.conf.unset(MAX_ROWS_CONF)
+    # Nothing is broadcast on an estimate.
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
