@@ -50,9 +50,11 @@ def fallback_response(routed: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ call outcomes --
 
-def failed_call(error: Column, duration_s: Column,
+def failed_call(error: Column | str, duration_s: Column | str,
                 time_limit_s: float | None = C.CALL_TIME_LIMIT_S) -> Column:
     """an error, or (where a time limiter applies) a call above the limit."""
+    error = F.col(error) if isinstance(error, str) else error
+    duration_s = F.col(duration_s) if isinstance(duration_s, str) else duration_s
     failed = F.coalesce(error, F.lit(False))
     if time_limit_s is not None:
         failed = failed | F.coalesce(duration_s > F.lit(time_limit_s), F.lit(False))
