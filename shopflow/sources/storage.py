@@ -15,13 +15,21 @@ from pyspark.sql import SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; set one only where none is configured."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir().rstrip("/")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="shopflow-ckpt-")
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # noqa: BLE001 - core settings may be read-only at run time
+            pass
+    if sc is None:
+        return conf_dir.rstrip("/")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir().rstrip("/")
 
