@@ -29,3 +29,16 @@ def test_blocked_copies_the_tail(spark):
     carried = [(p, b) for p, b, c in got if c]
     assert carried == [(3, 1), (4, 1), (7, 2), (8, 2)]
     assert sum(1 for _, _, c in got if not c) == 10
+
+
+def test_a_hot_group_is_spread_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from shopflow.plans.ordinal import ranged
+    rows = [("hot", i) for i in range(4000)] + [("cold", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, t int")
+    per_task = ranged(df, ["g", "t"], 8).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_task) == 8                        # one group, yet every partition has rows
+    assert max(r["count"] for r in per_task) < 4040 / 2
+    blocks = blocked(position_within(df, ["g"], ["t"], num_partitions=8), "position", 500, 4)
+    assert blocks.where("g = 'hot'").select("_block").distinct().count() == 8
