@@ -240,3 +240,62 @@ def health_transitions_chunked(calls: DataFrame, cfg: BreakerConfig = BreakerCon
     tail = last.mapInPandas(_trailing_timers(cfg), TRANSITION_SCHEMA)
     return trans.select("instance", "ts", "event_id", "from_state", "to_state",
                         "failure_rate").unionByName(tail)
+
+
+def transitions_sql(calls_sql: str, cfg: BreakerConfig = BreakerConfig(),
+                    failed_sql: str = "coalesce(error, false)") -> str:
+    """The same breaker as a recursive SQL query (the DuckDB oracle): one
+    recursion step per call of every instance, carrying state, open time and
+    the outcome ring as a '0'/'1' string."""
+    wait = f"INTERVAL '{int(cfg.wait_s * 1_000_000)} microseconds'"
+    th = repr(float(cfg.threshold))
+    return f"""
+WITH RECURSIVE
+calls AS ({calls_sql}),
+c AS (SELECT instance, ts, event_id, {failed_sql} AS failed,
+             row_number() OVER (PARTITION BY instance ORDER BY ts, event_id) AS rn FROM calls),
+s AS (
+  SELECT DISTINCT instance, CAST(0 AS BIGINT) AS rn, 'CLOSED' AS st, CAST(NULL AS TIMESTAMP) AS opened,
+         '' AS ring, CAST(NULL AS TIMESTAMP) AS t1_ts, CAST(NULL AS TIMESTAMP) AS t2_ts,
+         CAST(NULL AS BIGINT) AS t2_eid, CAST(NULL AS VARCHAR) AS t2_from,
+         CAST(NULL AS VARCHAR) AS t2_to, CAST(NULL AS DOUBLE) AS t2_rate
+  FROM c
+  UNION ALL
+  SELECT instance, rn,
+         CASE WHEN refused THEN st WHEN decide AND rate >= {th} THEN 'OPEN'
+              WHEN decide THEN 'CLOSED' ELSE st0 END,
+         CASE WHEN refused THEN opened WHEN decide AND rate >= {th} THEN ts END,
+         CASE WHEN refused THEN ring WHEN decide THEN '' ELSE ring2 END,
+         CASE WHEN woke THEN opened + {wait} END,
+         CASE WHEN decide AND NOT refused THEN ts END,
+         CASE WHEN decide AND NOT refused THEN event_id END,
+         CASE WHEN decide AND NOT refused THEN st0 END,
+         CASE WHEN decide AND NOT refused THEN
+              CASE WHEN rate >= {th} THEN 'OPEN' ELSE 'CLOSED' END END,
+         CASE WHEN decide AND NOT refused THEN rate END
+  FROM (
+    SELECT *, CASE WHEN st0 = 'CLOSED' THEN n >= {cfg.min_calls} AND rate >= {th}
+                   ELSE n >= {cfg.half_open_calls} END AS decide
+    FROM (
+      SELECT *, length(ring2) AS n,
+             CAST(length(ring2) - length(replace(ring2, '1', '')) AS DOUBLE) / length(ring2) AS rate
+      FROM (
+        SELECT *, CASE WHEN st0 = 'CLOSED' THEN right(ring0 || f, {cfg.window_calls})
+                       ELSE ring0 || f END AS ring2
+        FROM (
+          SELECT s.instance, c.rn, c.ts, c.event_id, CASE WHEN c.failed THEN '1' ELSE '0' END AS f,
+                 s.st, s.opened, s.ring,
+                 s.st = 'OPEN' AND c.ts < s.opened + {wait} AS refused,
+                 s.st = 'OPEN' AND c.ts >= s.opened + {wait} AS woke,
+                 CASE WHEN s.st = 'OPEN' THEN 'HALF_OPEN' ELSE s.st END AS st0,
+                 CASE WHEN s.st = 'OPEN' THEN '' ELSE s.ring END AS ring0
+          FROM s JOIN c ON c.instance = s.instance AND c.rn = s.rn + 1))))
+)
+SELECT instance, t1_ts AS ts, CAST(NULL AS BIGINT) AS event_id, 'OPEN' AS from_state,
+       'HALF_OPEN' AS to_state, CAST(NULL AS DOUBLE) AS failure_rate FROM s WHERE t1_ts IS NOT NULL
+UNION ALL
+SELECT instance, t2_ts, t2_eid, t2_from, t2_to, t2_rate FROM s WHERE t2_ts IS NOT NULL
+UNION ALL
+SELECT instance, opened + {wait}, NULL, 'OPEN', 'HALF_OPEN', NULL
+FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY rn DESC) AS k FROM s)
+WHERE k = 1 AND st = 'OPEN'"""

@@ -431,7 +431,10 @@ def q_failure_rate_10(spark, sf_dir):
         "event_id", "instance", "n_calls", "n_failed", "failure_rate", "flagged")
 
 
-@query("health_transitions")
+HEALTH_SQL = H.transitions_sql(fx.CALLS_SQL, H.BreakerConfig())
+
+
+@query("health_transitions", HEALTH_SQL)
 def q_health_transitions(spark, sf_dir):
     return H.health_transitions_chunked(_calls_failed(spark, sf_dir, None), H.BreakerConfig())
 
@@ -549,7 +552,7 @@ def q_trace_log_join(spark, sf_dir):
         "trace_id", "event_id", "n_spans", "trace_start")
 
 
-@query("health_transitions_stream")
+@query("health_transitions_stream", HEALTH_SQL)
 def q_health_transitions_stream(spark, sf_dir):
     from shopflow.streaming.health_stream import run_health_stream
     out = run_health_stream(spark, sf_dir, STREAM_DELAY, H.BreakerConfig())
