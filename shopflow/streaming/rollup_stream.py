@@ -36,8 +36,10 @@ def rollup_stream(samples: DataFrame, targets: DataFrame, interval: str, delay:
 
 
 def run_rollup_stream(spark: SparkSession, sf_dir: str, interval: str, delay: str,
-                      max_files: int | None = None) -> str:
-    base = run_dir(spark, "rollup-stream")
+                      max_files: int | None = None, base: str | None = None) -> str:
+    """Run until the available input is processed; ``base`` reuses an earlier
+    run's output and checkpoint (a restart), otherwise a fresh folder is used."""
+    base = base or run_dir(spark, "rollup-stream")
     out = rollup_stream(sample_feed(spark, sf_dir, max_files), fx.targets(spark), interval, delay)
     q = (out.writeStream.outputMode("append").format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")

@@ -72,3 +72,17 @@ def test_redelivered_events_are_dropped_across_batches(spark):
     outbox = sinks.read_sink(spark, paths.outbox)
     assert outbox.count() == first
     assert outbox.select("batch_id").distinct().count() >= 1
+
+
+def test_rollup_stream_closed_windows_and_restart(spark):
+    from shopflow.streaming.rollup_stream import run_rollup_stream
+    from shopflow.operators import telemetry as TL
+    base = run_dir(spark, "rollup-test")
+    out = run_rollup_stream(spark, SMALL, "1 hour", "1 hour", base=base)
+    first = sinks.read_sink(spark, out)
+    n = first.count()
+    batch = TL.rollup(TL.label_samples(fx.calls(spark, SMALL), fx.targets(spark)), "1 hour")
+    assert 0 < n < batch.count()                    # the last windows are still open
+    assert first.exceptAll(batch).count() == 0      # every emitted window is final
+    run_rollup_stream(spark, SMALL, "1 hour", "1 hour", base=base)
+    assert sinks.read_sink(spark, out).count() == n
