@@ -45,6 +45,9 @@ def ranged(df: DataFrame, keys: list[str], num_partitions: int | None = None) ->
 
 def position_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
                     name: str = "position", num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``name``: the 1-based position of each row inside its group
+    (``group_cols``; none = the whole frame) in ``order_cols`` order, equal to
+    ``row_number()`` over that window but without a task per group."""
     keys = [*group_cols, *order_cols]
     r = (ranged(df, keys, num_partitions)
          .withColumn("_mid", F.monotonically_increasing_id())
