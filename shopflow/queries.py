@@ -105,7 +105,7 @@ STOCK_PROBE = ("sku_1", 28)
 SELECT id, sku_code, quantity FROM inventory
 WHERE sku_code = '{STOCK_PROBE[0]}' AND quantity = {STOCK_PROBE[1]}""")
 def q_stock_predicate(spark, sf_dir):
-    return fx.inventory(spark, sf_dir).where(O.stock_predicate(*STOCK_PROBE))
+    return fx.inventory_lookup(spark, sf_dir, *STOCK_PROBE)
 
 
 @query("inventory_scan", _with(W_INV) + "SELECT id, sku_code, quantity FROM inventory")

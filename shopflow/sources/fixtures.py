@@ -55,6 +55,22 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inventory_lookup(spark: SparkSession, sf_dir: str, sku_code: str, quantity: int) -> DataFrame:
+    """Keyed read of stock rows for one (sku, quantity) with both predicates
+    pushed into the scan: a canonical ``sku_<n>`` is also the part key ``n``.
+    The exact predicate on the derived columns is kept, so a non-canonical
+    SKU (``sku_007``) still matches nothing, as the string comparison says."""
+    part = read_table(spark, sf_dir, "part").where(F.col("p_size") == F.lit(quantity))
+    digits = sku_code[4:] if sku_code.startswith("sku_") else ""
+    if digits.isdigit() and str(int(digits)) == digits:
+        part = part.where(F.col("p_partkey") == F.lit(int(digits)))
+    inv = part.select(
+        F.col("p_partkey").alias("id"),
+        F.concat(F.lit("sku_"), F.col("p_partkey").cast("string")).alias("sku_code"),
+        F.col("p_size").alias("quantity"))
+    return inv.where((F.col("sku_code") == F.lit(sku_code)) & (F.col("quantity") == F.lit(quantity)))
+
+
 INVENTORY_SQL = """
 SELECT p_partkey AS id, 'sku_' || CAST(p_partkey AS VARCHAR) AS sku_code,
        p_size AS quantity

@@ -94,3 +94,13 @@ def test_unique_order_numbers(spark):
     assert got == {"n1": ("a", 2), "n2": ("c", 1)}
     hist = spark.createDataFrame([("n2",)], "order_number string")
     assert [r.order_number for r in O.new_order_numbers(df, hist).collect()] == ["n1", "n1"]
+
+
+def test_keyed_inventory_lookup_is_exact(spark):
+    from shopflow.sources import fixtures as fx
+    from tests.conftest import MEDIUM
+    assert fx.inventory_lookup(spark, MEDIUM, "sku_1", 28).count() == 1
+    assert fx.inventory_lookup(spark, MEDIUM, "sku_01", 28).count() == 0     # not the same string
+    assert fx.inventory_lookup(spark, MEDIUM, "sku_1", 27).count() == 0      # equality, not "at least"
+    full = fx.inventory(spark, MEDIUM).where(O.stock_predicate("sku_1", 28))
+    assert full.collect() == fx.inventory_lookup(spark, MEDIUM, "sku_1", 28).collect()

@@ -26,7 +26,7 @@ def test_semi_join_on_stock_is_broadcast(spark):
 
 def test_filters_and_columns_reach_the_scan(spark):
     p = _formatted(E.queries()["stock_predicate"](spark, MEDIUM))
-    assert "EqualTo(p_size,28)" in p
+    assert "EqualTo(p_size,28)" in p and "EqualTo(p_partkey,1)" in p     # both keys reach the scan
     p = _formatted(E.queries()["product_response"](spark, MEDIUM))
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string,p_brand:string,p_type:string,p_retailprice:double>" in p
     p = _formatted(E.queries()["orders_in_stock"](spark, MEDIUM))
