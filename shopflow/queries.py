@@ -25,6 +25,10 @@ from shopflow.sources import fixtures as fx
 from shopflow.sources import sinks
 from shopflow.sources.storage import run_dir
 from shopflow.sources.tables import read_table
+from shopflow.streaming.health_stream import run_health_stream
+from shopflow.streaming.notify_stream import publish_events, run_notify_stream, run_source_only
+from shopflow.streaming.orders_stream import run_order_stream
+from shopflow.streaming.rollup_stream import run_rollup_stream
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -198,8 +202,7 @@ def q_order_number_unique(spark, sf_dir):
 @query("order_request_decode", _with(f"r AS ({fx.REQUESTS_FLAT_SQL})") + """
 SELECT request_id, sku_code, price, quantity, email, first_name, last_name, requested_at FROM r""")
 def q_order_request_decode(spark, sf_dir):
-    from shopflow.operators.decode import decode_order_requests
-    return decode_order_requests(fx.requests_json(spark, sf_dir)).select(
+    return D.decode_order_requests(fx.requests_json(spark, sf_dir)).select(
         "request_id", "sku_code", "price", "quantity",
         F.col("user_details.email").alias("email"),
         F.col("user_details.first_name").alias("first_name"),
@@ -269,7 +272,6 @@ W_EVJSON = (f"evjson AS (SELECT order_number, email, first_name, last_name, "
 @query("event_publish", _with(W_INV, W_REQ, W_ACC, W_EVENTS) + f"""
 SELECT {EVENT_JSON_SQL} AS value FROM ev""")
 def q_event_publish(spark, sf_dir):
-    from shopflow.streaming.notify_stream import publish_events
     topic = run_dir(spark, "topic")
     ev = O.build_events(O.accepted_requests(spark, sf_dir))
     publish_events(ev.select(fx.event_json_value(F.col("order_number"), F.col("email"),
@@ -298,7 +300,6 @@ def q_notification_render(spark, sf_dir):
 @query("event_stream_source", _with(W_INV, W_REQ, W_ACC, W_EVENTS, W_EVJSON) + """
 SELECT value FROM evjson""")
 def q_event_stream_source(spark, sf_dir):
-    from shopflow.streaming.notify_stream import publish_events, run_source_only
     base = run_dir(spark, "event-source")
     publish_events(fx.events_json(spark, sf_dir), f"{base}/topic")
     run_source_only(spark, f"{base}/topic", f"{base}/out", f"{base}/_checkpoint")
@@ -308,7 +309,6 @@ def q_event_stream_source(spark, sf_dir):
 @query("notification_outbox", _with(W_INV, W_REQ, W_ACC, W_EVENTS, W_EVJSON) + render_sql(
     "(SELECT * FROM evjson WHERE NOT quarantined)"))
 def q_notification_outbox(spark, sf_dir):
-    from shopflow.streaming.notify_stream import publish_events, run_notify_stream
     base = run_dir(spark, "notify")
     publish_events(fx.events_json(spark, sf_dir), f"{base}/topic")
     paths = run_notify_stream(spark, f"{base}/topic")
@@ -321,7 +321,6 @@ def q_notification_outbox(spark, sf_dir):
 SELECT {ORDER_NO} AS order_number, request_id, sku_code,
        {line_total_sql('price', 'quantity')} AS price, quantity FROM accepted""")
 def q_orders_in_stock_stream(spark, sf_dir):
-    from shopflow.streaming.orders_stream import run_order_stream
     paths = run_order_stream(spark, sf_dir)
     return sinks.read_sink(spark, paths.orders).select(
         "order_number", "request_id", "sku_code", "price", "quantity")
@@ -332,7 +331,6 @@ SELECT 'orders' AS sink, {ORDER_NO} AS order_number FROM accepted
 UNION ALL
 SELECT 'events' AS sink, {ORDER_NO} AS order_number FROM accepted""")
 def q_order_and_event_sinks(spark, sf_dir):
-    from shopflow.streaming.orders_stream import run_order_stream
     paths = run_order_stream(spark, sf_dir)
     orders = sinks.read_sink(spark, paths.orders).select(F.lit("orders").alias("sink"), "order_number")
     events = sinks.read_sink(spark, paths.events).select(F.lit("events").alias("sink"), "order_number")
@@ -470,7 +468,6 @@ STREAM_DELAY = "10 seconds"
 @query("interval_rollup_stream", _rollup_sql(
     C.SCRAPE_INTERVAL, f"(SELECT max(ts) FROM events) - INTERVAL '{STREAM_DELAY}'"))
 def q_interval_rollup_stream(spark, sf_dir):
-    from shopflow.streaming.rollup_stream import run_rollup_stream
     out = run_rollup_stream(spark, sf_dir, C.SCRAPE_INTERVAL, STREAM_DELAY)
     return sinks.read_sink(spark, out)
 
@@ -554,6 +551,5 @@ def q_trace_log_join(spark, sf_dir):
 
 @query("health_transitions_stream", HEALTH_SQL)
 def q_health_transitions_stream(spark, sf_dir):
-    from shopflow.streaming.health_stream import run_health_stream
     out = run_health_stream(spark, sf_dir, STREAM_DELAY, H.BreakerConfig())
     return sinks.read_sink(spark, out)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions import constants as C
 from shopflow.functions.text import uuid_from_key
+from shopflow.plans.joins import counted_broadcast
 from shopflow.sources.tables import read_table
 
 MONEY = "decimal(18,2)"
@@ -124,7 +125,6 @@ def order_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _users_of(keyed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shopflow.plans.joins import counted_broadcast
     customer = counted_broadcast(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     first = F.substring_index("c_name", "#", 1)
     last = F.substring_index("c_name", "#", -1)
@@ -152,7 +152,6 @@ def attach_users(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     sees just the requested rows. A line without a known order or customer
     keeps a null struct, which the contract check rejects.
     """
-    from shopflow.plans.joins import counted_broadcast
     orders = counted_broadcast(
         read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     keyed = lines.join(orders, lines.order_key == orders.o_orderkey, "left").drop("o_orderkey")
@@ -369,7 +368,7 @@ def event_json_value(order_number: Column, email: Column, first: Column, last: C
 def events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order events of accepted requests; order numbers starting with 0 lose
     the last five characters of their body (poison records)."""
-    from shopflow.operators.orders import accepted_requests
+    from shopflow.operators.orders import accepted_requests  # orders imports this module
     acc = accepted_requests(spark, sf_dir)
     num = uuid_from_key(F.col("request_id"))
     value = event_json_value(num, F.col("user_details.email"), F.col("user_details.first_name"),
