@@ -21,6 +21,7 @@ from shopflow.operators import health as H
 from shopflow.operators import orders as O
 from shopflow.operators import telemetry as TL
 from shopflow.operators.notify import render_notifications, render_sql
+from shopflow.plans.joins import counted_broadcast
 from shopflow.sources import fixtures as fx
 from shopflow.sources import sinks
 from shopflow.sources.storage import run_dir
@@ -187,7 +188,9 @@ SELECT l.request_id, s.sku_code IS NOT NULL AS in_stock, false AS lookup_failed
 FROM lines l LEFT JOIN stock s ON l.sku_code = s.sku_code AND l.quantity = s.quantity""")
 def q_stock_fallback(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    answers = O.stock_answers(lines, fx.inventory(spark, sf_dir))
+    # One answer per distinct requested pair: counted (and cached; recomputing
+    # it is deterministic), then broadcast when within the limit.
+    answers = counted_broadcast(O.stock_answers(lines, fx.inventory(spark, sf_dir)).persist())
     return O.stock_fallback(lines, answers).select("request_id", "in_stock", "lookup_failed")
 
 
