@@ -62,11 +62,16 @@ def position_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     stats = stats.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols],
                          F.col("_pid").alias("_g_pid"), "_before", "_first")
-    # Counted, so the broadcast has a proven size; recomputing it from the
-    # checkpointed frame is deterministic, so a cached copy is safe to lose.
-    stats = stats.persist()
-    if stats.count() <= BROADCAST_STATS_ROWS:
+    # Without groups the frame has one row per partition: bounded by
+    # construction. With groups it is counted first (at most partitions +
+    # groups rows); recomputing it from the checkpointed frame is
+    # deterministic, so a cached copy is safe to lose.
+    if not group_cols:
         stats = F.broadcast(stats)
+    else:
+        stats = stats.persist()
+        if stats.count() <= BROADCAST_STATS_ROWS:
+            stats = F.broadcast(stats)
     cond = F.col("_pid") == F.col("_g_pid")
     for c in group_cols:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
