@@ -72,3 +72,33 @@ def test_chunked_equals_sequential_on_a_hot_instance(spark):
                                          warmup_calls=warm, num_partitions=5)
         assert par.count() == seq.count() > 0
         assert par.exceptAll(seq).count() == 0 and seq.exceptAll(par).count() == 0
+
+
+def test_recursive_sql_oracle_equals_the_scan_on_bursts(spark):
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from shopflow.operators.health import health_transitions_chunked, transitions_sql
+    rnd = random.Random(23)
+    rows, t = [], T0
+    for k in range(800):
+        t += timedelta(seconds=rnd.choice([0.2, 1, 2, 4, 6]))
+        burst = (k // 60) % 3 == 1
+        rows.append((f"i{rnd.randint(0, 2)}", k, t, rnd.random() < (0.7 if burst else 0.15), 0.1))
+    pdf = pd.DataFrame(rows, columns=["instance", "event_id", "ts", "error", "duration_s"])
+    con = duckdb.connect()
+    con.register("calls_df", pdf)
+    want = con.execute(transitions_sql("SELECT * FROM calls_df")).fetchall()
+    df = spark.createDataFrame(pdf.rename(columns={"error": "failed"})[
+        ["instance", "event_id", "ts", "failed"]], SCHEMA)
+    got = health_transitions(df, BreakerConfig()).collect()
+    chunked = health_transitions_chunked(df, BreakerConfig(), chunk_calls=50,
+                                         num_partitions=4).collect()
+
+    def norm(rs):
+        return sorted((r[0], pd.Timestamp(r[1]).to_pydatetime(), r[2], r[3], r[4], r[5]) for r in rs)
+
+    assert len(want) > 10
+    assert norm(got) == norm(want) == norm(chunked)
