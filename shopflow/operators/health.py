@@ -212,7 +212,8 @@ def health_transitions_chunked(calls: DataFrame, cfg: BreakerConfig = BreakerCon
                                                               chunk_calls - 1)
     slim = calls.select("instance", "ts", "event_id", F.col(failed).alias("failed"))
     pos = position_within(slim, ["instance"], ["ts", "event_id"], num_partitions=num_partitions)
-    rows = blocked(pos, "position", chunk_calls, warm).checkpoint(eager=True)
+    # Deterministic given the checkpointed numbering, so recomputed, not copied.
+    rows = blocked(pos, "position", chunk_calls, warm)
 
     out = (rows.groupBy("instance", "_block")
            .applyInPandas(_chunk_runner(cfg, False), CHUNK_OUT).checkpoint(eager=True))
