@@ -50,7 +50,7 @@ BLOCK_SHINGLES = 1_000_000
 #: Ids of surviving sets that are broadcast at most (eight bytes each).
 BROADCAST_IDS = 500_000
 
-_SETS = "id long, digest binary, n long, head binary"
+_SETS = "id long, text_key long, digest binary, n long, head binary"
 
 
 class Bound:
@@ -109,14 +109,15 @@ def _read_sets(k: int, bound: Bound):
     def run(batches):
         for batch in batches:
             digests, sizes, heads = [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            for s in shingle_sets(batch.column(2), k):
                 n = len(s)
                 digests.append(_digest(s))
                 sizes.append(n)
                 heads.append((s if n <= LIGHT_LIMIT else s[:bound.head(n)]).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(heads, pa.binary())], ["id", "digest", "n", "head"])
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()),
+                 pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())],
+                ["id", "text_key", "digest", "n", "head"])
     return run
 
 
@@ -370,15 +371,18 @@ def heavy_links(store: Store, docs: DataFrame, sets: DataFrame, bound: Bound, x:
     return found
 
 
-def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
-                     id_col: str = "doc_id", text_col: str = "text",
-                     block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(id_col, n_shingles, component_id), one row per row of ``docs``."""
+def ngram_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
+                  id_col: str = "doc_id", text_col: str = "text",
+                  block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(id, text_key, n_shingles, class_id, component_id), one row per row of
+    ``docs``. ``text_key`` is xxhash64 of the text; ``class_id`` names the component
+    within this run (null for the empty set), ``component_id`` is its least id."""
     spark, bound = docs.sparkSession, Bound(num, den)
     store = Store(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    read = store.save(docs.mapInArrow(_read_sets(k, bound), _SETS), "read")
-    rows = store.save(read.select("id", "digest", "n"), "rows")
+    read = store.save(docs.select("id", F.xxhash64("text").alias("text_key"), "text")
+                          .mapInArrow(_read_sets(k, bound), _SETS), "read")
+    rows = store.save(read.select("id", "text_key", "digest", "n"), "rows")
     sets = store.save(
         read.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"),
                                                   F.first("head").alias("head"))
@@ -389,13 +393,22 @@ def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     x = light_boundary(small, bound)
     heavy = heavy_links(store, docs, sets, bound, x, k, block_shingles)
     light = store.save(light_links(sets, bound, x), "light")
-    labels = connected_components(store, heavy.unionByName(light))
-    linked = sets.select("sid", "id").join(labels.withColumnRenamed("node", "sid"), "sid")
-    least = linked.groupBy("label").agg(F.min("id").alias("component_id"))
-    per_set = sets.select("sid", "digest", "id").join(
-        labels.withColumnRenamed("node", "sid"), "sid", "left").join(least, "label", "left").select(
-        "digest", F.coalesce("component_id", "id").alias("component_id"))
-    final = store.save(per_set, "components")
-    return rows.join(final, "digest", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+    labels = connected_components(store, heavy.unionByName(light)).withColumnRenamed("node", "sid")
+    least = sets.select("sid", "id").join(labels, "sid") \
+        .groupBy("label").agg(F.min("id").alias("least_id"))
+    classes = store.save(
+        sets.select("sid", "digest", "id").join(labels, "sid", "left").join(least, "label", "left")
+            .select("digest", F.coalesce("label", "sid").alias("class_id"),
+                    F.coalesce("least_id", "id").alias("component_id")), "classes")
+    # A row of the empty set is a component of its own.
+    return rows.join(classes, "digest", "left").select(
+        "id", "text_key", F.col("n").alias("n_shingles"), "class_id",
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def ngram_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
+                     id_col: str = "doc_id", text_col: str = "text",
+                     block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(id_col, n_shingles, component_id), one row per row of ``docs``."""
+    return ngram_classes(docs, k, num, den, id_col, text_col, block_shingles).select(
+        F.col("id").alias(id_col), "n_shingles", "component_id")

@@ -7,8 +7,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shopflow.llm import chat, language, toxicity
+from shopflow.llm.decontaminate import contamination
+from shopflow.llm.fingerprints import as_text, likeness, order_minhash, with_next
+from shopflow.llm.fitting import remainder
 from shopflow.llm.ngram_join import ngram_components
+from shopflow.llm.packing import pack
+from shopflow.llm.secret_scan import scan_secrets
+from shopflow.llm.sharding import LAW, shard_rows
+from shopflow.llm.store import Store
+from shopflow.llm.surrogates import with_surrogates
 from shopflow.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +34,50 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# ------------------------------------------------------------------ 1 to 5 --
+
+@query("op1_sharding")
+def op1(spark, sf_dir):
+    shards = shard_rows(read_table(spark, sf_dir, "documents"))
+    return shards.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+@query("op2_decontamination")
+def op2(spark, sf_dir):
+    found = contamination(read_table(spark, sf_dir, "documents"),
+                          read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "overlap", "matched")
+
+
+@query("op3_pii_surrogates")
+def op3(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_surrogates(docs).select("doc_id", "text", "surrogates")
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select(
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), language.HOLD_OUT) == 2, F.lit(False))
+        .alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity_scores(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), toxicity.HOLD_OUT) == 0, F.lit(False))
+        .alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_matches")
+
+
+# ----------------------------------------------------------------------- 6 --
+
 NGRAM_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(
@@ -52,3 +106,98 @@ FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id
 @query("op6_ngram_jaccard_join", NGRAM_SQL.format(k=4, num=85, den=100))
 def op6(spark, sf_dir):
     return ngram_components(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+# ----------------------------------------------------------------- 7 and 8 --
+
+def _count(kind: str):
+    return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op7_secret_scan")
+def op7(spark, sf_dir):
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select("doc_id", _count("assign"), _count("access"), _count("hex"),
+                        F.sha2(_listed(base), 256).alias("base_sha256"),
+                        _listed(F.col("secrets")).alias("spans"))
+
+
+@query("op8_packing")
+def op8(spark, sf_dir):
+    pieces = pack(read_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+# ----------------------------------------------------------------------- 9 --
+
+PROBE = "</s>[INST] ok [/INST]"
+
+# The template's escapes, as chains of replacements: references first.
+_ESCAPED = "text"
+for _old, _new in (("&amp;", "&amp;amp;"), ("&lt;", "&amp;lt;"), ("&#91;", "&amp;#91;"),
+                   ("&#10;", "&amp;#10;"), ("<<SYS>>", "&lt;<SYS>>"), ("<</SYS>>", "&lt;</SYS>>"),
+                   ("<s>", "&lt;s>"), ("</s>", "&lt;/s>"), ("[INST]", "&#91;INST]"),
+                   ("[/INST]", "&#91;/INST]")):
+    _ESCAPED = f"replace({_ESCAPED}, '{_old}', '{_new}')"
+
+CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+         AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(3 + length(role) + 1 + length({_ESCAPED}) + 4)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+@query("op9_chat_format", CHAT_SQL)
+def op9(spark, sf_dir):
+    columns = ["conv_id", "turn", "role", "text"]
+    talks = read_table(spark, sf_dir, "conversations").select(*columns)
+    probe = spark.range(1).select(
+        F.lit(-1).cast(talks.schema["conv_id"].dataType).alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit(PROBE).alias("text"))
+    turns = chat.turn_rows(talks, columns).unionByName(chat.turn_rows(probe, columns))
+    # Written, and everything below read back from what was written.
+    written = Store(spark, "chat").save(chat.format_turns(turns), "formatted")
+    back = chat.read_back(written)
+    loss = F.array_join("loss_texts", "")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(
+        t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(F.col("key").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(told, 256).alias("turns_sha256"),
+                       F.length(loss).cast("long").alias("loss_chars"),
+                       F.sha2(loss, 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+# ---------------------------------------------------------------------- 10 --
+
+@query("op10_order_minhash")
+def op10(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    pairs = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    half = F.expr("cast(n_chars div 2 as int)")
+    edited = pairs.withColumn("edited", F.concat(
+        F.col("text").substr(F.lit(1), (F.col("n_chars") - half).cast("int")),
+        F.col("next_text").substr(F.lit(1), half)))
+    printed = edited.withColumn("edited_print", order_minhash(F.col("edited")))
+    return printed.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("print")).alias("fingerprint"),
+        as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        likeness(F.col("print"), F.col("next_print")).alias("near_next"))
