@@ -141,6 +141,12 @@ def _role(role: Column, layout: Layout) -> Column:
     return _text(out)
 
 
+def _canonical(layout: Layout):
+    """One item of a layout's list as a turn."""
+    _, role, text = layout.items
+    return lambda t: F.struct(_role(t[role], layout).alias("role"), _text(t[text]).alias("text"))
+
+
 def record_turns(records: DataFrame, record_col: str, layouts=LAYOUTS) -> DataFrame:
     """``records`` with layout (name) and turns (canonical) of a JSON text column."""
     layouts = [x for x in layouts if x.rows is None]
@@ -152,8 +158,7 @@ def record_turns(records: DataFrame, record_col: str, layouts=LAYOUTS) -> DataFr
         if x.items:
             array, role, text = x.items
             parsed = F.from_json(record_col, f"`{array}` array<struct<`{role}`:string,`{text}`:string>>")
-            made = F.transform(parsed[array], lambda t, x=x, role=role, text=text: F.struct(
-                _role(t[role], x).alias("role"), _text(t[text]).alias("text")))
+            made = F.transform(parsed[array], _canonical(x))
         else:
             paths = sorted({p for _, ps in x.turns for p in ps})
             parsed = F.from_json(record_col, ", ".join(f"`{p}` string" for p in paths))

@@ -1,10 +1,10 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
 Folding (one character to one): lower case, look-alike letters of other scripts
-and accented letters to Latin ones, digits to the letters they stand in for, and
-l to i (both are written 1). The lexicon is learned from labelled rows: word
-beginnings and whole words that many toxic rows hold and few others, each
-weighted by its log odds. One automaton holds lexicon and exceptions; a match
+to Latin ones, digits to the letters they stand in for, and l to i (both are
+written 1). The lexicon is learned from labelled rows: beginnings of words that
+stand far more often in toxic rows than in others, each weighted by the log
+ratio of the two rates. One automaton holds lexicon and exceptions; a match
 counts only at the start of a word, and not inside an exception (given phrases,
 and words learned to be harmless although they begin like a lexicon entry). The
 summed weight per hundred words goes through a logistic curve fitted to the same
@@ -21,6 +21,8 @@ used. Repeated rows and ids are scored each. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import unicodedata
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -37,16 +39,21 @@ FIT_ROWS = 20_000
 HOLD_OUT = 5
 STEM_LENGTHS = range(3, 9)
 #: Part of the toxic rows that a lexicon entry must occur in, and so many rows.
-LEAST_SHARE, LEAST_ROWS = 0.002, 4
-#: Log odds of a lexicon entry, at least.
-LEAST_WEIGHT = 3.0
+LEAST_SHARE, LEAST_ROWS = 0.005, 5
+#: Log ratio of its rates in toxic and other rows, at least, and at most.
+LEAST_WEIGHT, MOST_WEIGHT = 2.0, 8.0
+#: Standard errors by which its shares of toxic and of other rows differ.
+LEAST_Z = 5.0
+#: Different surroundings (the words before and after) that an entry has in toxic
+#: rows, relative to their number: copies of one text tell only once.
+LEAST_VARIETY = 0.7
 
 # Characters drawn like Latin letters, and the letters meant.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c",
     "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ո": "n", "ս": "u",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
-    "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ß": "b", "ø": "o", "ł": "i",
+    "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g",
 }
 # Digits and signs written for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
@@ -60,14 +67,12 @@ EXCEPTION_PHRASES = ("trash can", "trash bin", "trash collection", "clown fish",
 
 
 def _fold_table() -> dict[int, str]:
-    import unicodedata
     table = {}
-    for c in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFD", chr(c))[0].lower()
-        if "a" <= base <= "z":
-            table[c] = base
-    for c in range(0xFF21, 0xFF5B):
-        table[c] = unicodedata.normalize("NFKC", chr(c)).lower()
+    # Full-width and mathematical letters.
+    for c in [*range(0xFF21, 0xFF5B), *range(0x1D400, 0x1D6A4)]:
+        plain = unicodedata.normalize("NFKC", chr(c)).lower()
+        if len(plain) == 1 and "a" <= plain <= "z":
+            table[c] = plain
     table |= {ord(k): v for k, v in (LOOK_ALIKES | DIGITS).items()}
     table[ord("l")] = "i"
     return {k: ("i" if v == "l" else v) for k, v in table.items()}
@@ -100,11 +105,9 @@ class Model:
     def automaton(self):
         if self._automaton is None:
             found = ahocorasick.Automaton()
-            for phrase in self.exceptions:
-                found.add_word(fold(phrase), (len(phrase), None))
-            for entry, weight in self.lexicon.items():
-                if entry not in found:
-                    found.add_word(entry, (len(entry), weight))
+            safe = {fold(x) for x in self.exceptions}
+            for entry in safe | self.lexicon.keys():
+                found.add_word(entry, (len(entry), self.lexicon.get(entry), entry in safe))
             if len(found):
                 found.make_automaton()
             self._automaton = found
@@ -120,14 +123,13 @@ class Model:
         if not len(found):
             return 0.0, 0, n_words
         hits, safe = [], []
-        for end, (length, weight) in found.iter(folded):
+        for end, (length, weight, harmless) in found.iter(folded):
             start = end - length + 1
             if start and folded[start - 1].isalnum():
                 continue
-            if weight is None:
-                if end + 1 == len(folded) or not folded[end + 1].isalnum():
-                    safe.append((start, end))
-            else:
+            if harmless and (end + 1 == len(folded) or not folded[end + 1].isalnum()):
+                safe.append((start, end))
+            if weight is not None:
                 hits.append((start, end, weight))
         if safe:
             hits = [h for h in hits if not _within(h, safe)]
@@ -160,53 +162,63 @@ def _curve(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
+_COUNTS = "entry string, t_rows long, t_uses long, c_rows long, c_uses long"
+
+
 def _count_entries(batches):
-    """Rows (entry, toxic, clean) per batch: rows holding a beginning (``stem``) or
-    a whole word (with a blank after it)."""
+    """Per batch, the rows that hold an entry and its uses, in toxic (t) and other
+    (c) rows. Entries: beginnings of words, and whole words (a blank after them);
+    the empty entry counts the words."""
     for batch in batches:
-        counts = (Counter(), Counter())
+        rows, uses = (Counter(), Counter()), (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                strict=True):
-            own = set()
-            for w in set(words_of(fold(text or ""))):
+            words = Counter(words_of(fold(text or "")))
+            own = Counter({"": sum(words.values())})
+            for w, n in words.items():
                 if len(w) < STEM_LENGTHS.start or w.isdigit():
                     continue
-                own.add(w[:40] + " ")
-                for n in STEM_LENGTHS:
-                    if n <= len(w):
-                        own.add(w[:n])
-            counts[toxic].update(own)
-        entries = list(counts[0].keys() | counts[1].keys())
+                own[w[:40] + " "] += n
+                for size in STEM_LENGTHS:
+                    if size <= len(w):
+                        own[w[:size]] += n
+            rows[toxic].update(own.keys())
+            uses[toxic].update(own)
+        entries = list(rows[0].keys() | rows[1].keys())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(entries, pa.string()), pa.array([counts[1][e] for e in entries], pa.int64()),
-             pa.array([counts[0][e] for e in entries], pa.int64())], ["entry", "toxic", "clean"])
-
-
-def choose_lexicon(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int
-                   ) -> tuple[dict[str, float], list[str]]:
-    """(lexicon, harmless words) from rows counts of entries."""
-    def weight(entry):
-        t, c = counts[entry]
-        return math.log((t + 0.5) / (toxic_rows + 1)) - math.log((c + 0.5) / (clean_rows + 1))
-
-    least = max(LEAST_ROWS, LEAST_SHARE * toxic_rows)
-    good = {e for e, (t, _) in counts.items() if t >= least and weight(e) >= LEAST_WEIGHT}
-    stems = sorted((e for e in good if not e.endswith(" ")), key=len)
-    longer = {}
-    for e in stems:
-        longer.setdefault(e[:-1], []).append(e)
+            [pa.array(entries, pa.string())] + [pa.array([x[e] for e in entries], pa.int64())
+                                                for t in (1, 0) for x in (rows[t], uses[t])],
+            ["entry", "t_rows", "t_uses", "c_rows", "c_uses"])
+
+
+def _surroundings(stems: frozenset[str]):
+    """Rows (entry, around): each use of a stem with a hash of the words beside it."""
+    def run(batches):
+        for batch in batches:
+            seen = set()
+            for text in batch.column(0).to_pylist():
+                words = ["", *words_of(fold(text or "")), ""]
+                for before, w, after in zip(words, words[1:], words[2:], strict=False):
+                    for size in STEM_LENGTHS:
+                        if w[:size] in stems and size <= len(w):
+                            seen.add((w[:size], zlib.crc32(f"{before} {after}".encode())))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([e for e, _ in seen], pa.string()),
+                 pa.array([x for _, x in seen], pa.int64())], ["entry", "around"])
+    return run
+
+
+def choose_lexicon(stems: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Lexicon (entry -> weight) from all good stems (stem -> toxic rows, weight):
+    the telling ones first, none that begins another or begins with it."""
     kept: dict[str, float] = {}
-    for e in stems:
-        if any(e[:n] in kept for n in range(1, len(e))):
+    begun: set[str] = set()
+    for e in sorted(stems, key=lambda e: (-stems[e][1] * math.sqrt(stems[e][0]), -len(e), e)):
+        if e in begun or any(e[:n] in kept for n in range(1, len(e) + 1)):
             continue
-        # The longest beginning that nearly all of its rows share says it best.
-        while more := [x for x in longer.get(e, []) if counts[x][0] >= 0.95 * counts[e][0]]:
-            e = more[0]
-        kept[e] = weight(e)
-    harmless = [e.strip() for e, (t, c) in counts.items()
-                if e.endswith(" ") and c >= 2 and c > t
-                and any(e[:n] in kept for n in STEM_LENGTHS if n < len(e))]
-    return kept, sorted(harmless)
+        kept[e] = min(MOST_WEIGHT, stems[e][1])
+        begun.update(e[:n] for n in range(1, len(e)))
+    return kept
 
 
 def fit_curve(weights: np.ndarray, n_words: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -240,19 +252,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     plain = Model({fold(k): w for k, w in PLAIN_LEXICON.items()})
     if not n1 or not n0:
         return plain
-    counts = rows.mapInArrow(_count_entries, "entry string, toxic long, clean long") \
-        .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(_count_entries, _COUNTS).groupBy("entry").agg(
+        *[F.sum(c).alias(c) for c in ("t_rows", "t_uses", "c_rows", "c_uses")]).persist()
     # A toxic row holds a bounded number of entries on average, so entries in a
     # fixed share of the toxic rows are at most that number over the share.
+    words = counts.where("entry = ''").first()
     least = max(LEAST_ROWS, LEAST_SHARE * n1)
-    odds = (F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1)))
-    counts = counts.persist()
-    good = counts.where((F.col("toxic") >= least) & (odds >= LEAST_WEIGHT)).collect()
-    table = {r["entry"]: (r["toxic"], r["clean"]) for r in good}
-    lexicon, _ = choose_lexicon(table, n1, n0)
+    weight = (F.log((F.col("t_uses") + 0.5) / (words["t_uses"] + 1))
+              - F.log((F.col("c_uses") + 0.5) / (words["c_uses"] + 1)))
+    p1, p0, p = F.col("t_rows") / n1, F.col("c_rows") / n0, (F.col("t_rows") + F.col("c_rows")) / (n1 + n0)
+    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    good = counts.where("entry not like '% ' and entry <> ''").where(
+        (F.col("t_rows") >= least) & (p < 1) & (z >= LEAST_Z)).withColumn("weight", weight) \
+        .where(F.col("weight") >= LEAST_WEIGHT).select("entry", "t_rows", "weight").collect()
+    around = {r["entry"]: r["n"] for r in rows.where("toxic = 1").mapInArrow(
+        _surroundings(frozenset(r["entry"] for r in good)), "entry string, around long")
+        .groupBy("entry").agg(F.countDistinct("around").alias("n")).collect()}
+    lexicon = choose_lexicon({r["entry"]: (r["t_rows"], r["weight"]) for r in good
+                              if around.get(r["entry"], 0) >= max(least, LEAST_VARIETY * r["t_rows"])})
+    if not lexicon:
+        counts.unpersist()
+        return plain
     # Whole words that begin like an entry but occur in other rows.
     begins = spark.createDataFrame([(k,) for k in lexicon], "stem string")
-    odd = counts.where("entry like '% ' and clean >= 2 and clean > toxic") \
+    odd = counts.where("entry like '% ' and c_rows >= 3 and c_rows > t_rows") \
         .withColumn("stem", F.explode(F.array(
             *[F.substring("entry", 1, n) for n in STEM_LENGTHS]))) \
         .join(F.broadcast(begins), "stem", "left_semi").select("entry").distinct().collect()

@@ -1,0 +1,49 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import types as T
+
+SMALL = "/root/testdata/sf0.001"
+MEDIUM = "/root/testdata/sf0.01"
+
+#: Columns of documents and some whose names operators use inside.
+CLASHING = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("n_chars", T.LongType()), T.StructField("id", T.StringType()),
+    T.StructField("text_key", T.LongType()), T.StructField("c0", T.StringType()),
+    T.StructField("toxic_score", T.DoubleType()), T.StructField("secrets", T.StringType())])
+EXTRA = ("a", 1, "x", 0.9, "s")
+LONG = " ".join(f"w{i}" for i in range(30_000))
+
+
+@pytest.fixture(scope="session")
+def odd_rows():
+    rows = [
+        (None, None, None, None, None), (None, "", None, None, 0), (5, LONG, "en", "s", len(LONG)),
+        (5, LONG, "en", "s", len(LONG)), (5, "other words of the same id", "en", "s", 26),
+        (None, LONG, "en", "s", len(LONG)), (7, "   ", None, "s", 3), (7, "   ", None, "s", 3),
+        (8, "12 34", "en", None, 5), (9, "é" * 5000, "fr", "t", 5000),
+    ]
+    return [r + EXTRA for r in rows]
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark, odd_rows):
+    return spark.createDataFrame(odd_rows, CLASHING)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], CLASHING)
+
+
+@pytest.fixture(scope="session")
+def folder(tmp_path_factory):
+    """Writes tables as <name>.parquet and gives the folder."""
+    def make(**tables):
+        path = str(tmp_path_factory.mktemp("tables"))
+        for name, df in tables.items():
+            df.write.parquet(f"{path}/{name}.parquet")
+        return path
+    return make

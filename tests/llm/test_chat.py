@@ -1,0 +1,108 @@
+import hashlib
+import json
+
+from pyspark.sql import functions as F
+
+from shopflow.llm import chat as C
+from shopflow.llm.queries import PROBE, QUERIES
+
+from .conftest import MEDIUM
+
+NASTY = ["", "plain", PROBE, "&lt;s>", "&amp;lt;", "&amp;amp;", "<<SYS>>a<</SYS>>", "<s", "s>", "</s",
+         "<</s>", "<<s>", "&<s>", "&amp<s>;", "[/INST", "[[INST]]", "a\nb\n", "&#91;INST]", "&#10;", "\n", "é<s>😀"]
+
+
+def _rows(spark):
+    turns, i = [], 0
+    for a in NASTY:
+        for b in NASTY:
+            turns.append((i // 7, i % 7, "assistant" if i % 2 else a[:5] or "user", a + b))
+            i += 1
+    return spark.createDataFrame(turns, "key long, turn int, role string, text string"), turns
+
+
+def test_escape_round_trip_and_no_control_left(spark):
+    df, turns = _rows(spark)
+    out = df.select("text", C.escape(F.col("text")).alias("e"),
+                    C.unescape(C.escape_role(F.col("text"))).alias("u")).collect()
+    for r in out:
+        assert r["u"] == r["text"]
+        assert not any(c in r["e"] for c in C.CONTROL)
+
+
+def test_format_reads_back(spark):
+    df, turns = _rows(spark)
+    back = {r["key"]: r for r in C.read_back(C.format_turns(df)).collect()}
+    for key in {t[0] for t in turns}:
+        own = [t for t in turns if t[0] == key]
+        r = back[key]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(t[2], t[3]) for t in own]
+        assert r["loss_texts"] == [t[3] for t in own if t[2] == "assistant"]
+        for s, t in zip(r["loss_spans"], r["loss_texts"], strict=True):
+            assert len(r["formatted"][s["start"]:s["start"] + s["length"]]) == s["length"] >= len(t)
+
+
+def test_query_equals_brute_force(spark):
+    rows = {r["conv_id"]: r for r in QUERIES["op9_chat_format"](spark, MEDIUM).collect()}
+    talks = {-1: [(0, "user", PROBE), (1, "assistant", PROBE)]}
+    for r in spark.read.parquet(f"{MEDIUM}/conversations.parquet").collect():
+        talks.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"] or ""))
+    assert rows.keys() == talks.keys()
+    for key, own in talks.items():
+        own.sort()
+        r = rows[key]
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        assert r["n_turns"] == len(own)
+        assert r["turns_sha256"] == hashlib.sha256(
+            "".join(f"{role}\n{t}\n" for _, role, t in own).encode()).hexdigest()
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_layouts_meet_in_the_same_turns(spark):
+    ask, say = "What? <s>", "That."
+    records = [
+        ("prompt", {"prompt": ask, "completion": say}),
+        ("prompt-response", {"response": say, "prompt": ask}),
+        ("question", {"question": ask, "answer": say}),
+        ("instruction", {"instruction": ask, "output": say}),
+        ("messages", {"messages": [{"role": "user", "content": ask},
+                                   {"content": say, "role": "assistant"}]}),
+        ("conversations", {"conversations": [{"from": "human", "value": ask},
+                                             {"from": "gpt", "value": say}]}),
+        ("instruction-input", {"instruction": ask, "input": "", "output": say}),
+    ]
+    odd = [None, "", "{", "[]", "3", '{"other": 1}', '{"messages": []}', '{"messages": [{"role": "user"}]}']
+    df = spark.createDataFrame([(n, json.dumps(r)) for n, r in records] + [("odd", o) for o in odd],
+                               "name string, record string")
+    for r in C.record_turns(df, "record").collect():
+        if r["name"] == "odd":
+            assert r["layout"] is None and r["turns"] is None, r
+        else:
+            assert r["layout"] == r["name"]
+            assert [(t["role"], t["text"]) for t in r["turns"]] == [("user", ask), ("assistant", say)]
+
+
+def test_null_and_joined_texts(spark):
+    df = spark.createDataFrame([
+        ('{"system": "S", "instruction": "I", "input": "in", "output": null}',),
+        ('{"messages": [{"role": null, "content": "x"}, {"role": "user", "content": null}]}',),
+        ('{"prompt": 5, "completion": {"a": 1}}',)], "record string")
+    first, second, third = C.record_turns(df, "record").collect()
+    assert [(t["role"], t["text"]) for t in first["turns"]] == [
+        ("system", "S"), ("user", "I\n\nin"), ("assistant", "")]
+    assert [(t["role"], t["text"]) for t in second["turns"]] == [("", "x"), ("user", "")]
+    assert third["turns"] is None
+
+
+def test_odd_tables(spark):
+    columns = ["conv_id", "turn", "role", "text"]
+    kinds = "conv_id long, turn long, role string, text string, key string, i int, formatted string"
+    rows = [(None, 0, None, None, "k", 1, "f"), (None, 0, None, None, "k", 1, "f"),
+            (1, None, "assistant", "x", "k", 1, "f"), (1, 0, "user", "y" * 100_000, "k", 1, "f"),
+            (1, 0, "user", "a", "k", 1, "f")]
+    df = spark.createDataFrame(rows, kinds)
+    back = {r["key"]: r for r in C.read_back(C.format_turns(C.turn_rows(df, columns))).collect()}
+    assert [(t["role"], t["text"]) for t in back[None]["turns"]] == [("", ""), ("", "")]
+    assert [t["text"][:1] for t in back[1]["turns"]] == ["x", "a", "y"]
+    empty = spark.createDataFrame([], kinds)
+    assert C.format_turns(C.turn_rows(empty, columns)).collect() == []

@@ -1,0 +1,82 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from shopflow.llm import language as L
+from shopflow.llm.queries import QUERIES
+
+from .conftest import MEDIUM
+
+
+def _grams(text):
+    """Brute force: n-grams of one to three characters with single blanks between."""
+    out, norm = Counter(), " "
+    for c in text.lower():
+        norm += c if c.isalpha() else "" if norm[-1] == " " else " "
+    if norm.strip() == "":
+        return out
+    norm += "" if norm[-1] == " " else " "
+    for n in (1, 2, 3):
+        for i in range(len(norm) - n + 1):
+            g = norm[i:i + n]
+            if not (n == 1 and g == " ") and not (n == 3 and g[1] == " "):
+                out[g] += 1
+    return out
+
+
+def _unpack(gram):
+    return "".join(chr(c) for c in (gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF) if c)
+
+
+def test_counts_equal_brute_force(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet")
+             .select("text").limit(60).collect()] + ["", "é1É--ß  x", "a", "12", "\n a\n"]
+    for t in texts:
+        grams, counts = L.gram_counts(t)
+        assert {_unpack(int(g)): int(n) for g, n in zip(grams, counts, strict=True)} == _grams(t)
+
+
+def test_long_texts_are_counted_whole(monkeypatch):
+    text = "The quick brown fox. " * 400
+    whole = dict(zip(*map(np.ndarray.tolist, L.gram_counts(text)), strict=True))
+    monkeypatch.setattr(L, "PIECE", 21 * 10)
+    pieces = dict(zip(*map(np.ndarray.tolist, L.gram_counts(text)), strict=True))
+    assert pieces == whole
+
+
+def test_out_of_place_distance():
+    p = L.Profiles({"x": [10, 20, 30], "y": [30, 40, 50]}, k=3)
+    got = p.distances(np.array([20, 10, 99]))
+    assert np.allclose(got, [(1 + 1 + 3) / 9, (3 + 3 + 3) / 9])
+
+
+def test_query_held_out_accuracy(spark):
+    rows = QUERIES["op4_language_id"](spark, MEDIUM).collect()
+    truth = {r["doc_id"]: r for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
+    assert len(rows) == len(truth)
+    right = total = 0
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1
+        if r["held_out"]:
+            total += 1
+            right += r["lang_pred"] == truth[r["doc_id"]]["lang"]
+    assert right / total > 0.95
+
+
+def test_prediction_does_not_see_the_label(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    profiles = L.fit(docs)
+    plain = {r["doc_id"]: r["lang_pred"] for r in L.identify(docs, profiles).collect()}
+    blind = docs.selectExpr("doc_id", "text", "'xx' as lang")
+    assert plain == {r["doc_id"]: r["lang_pred"] for r in L.identify(blind, profiles).collect()}
+
+
+def test_odd_rows(odd_docs, no_docs):
+    profiles = L.fit(odd_docs)
+    rows = L.identify(odd_docs, profiles).collect()
+    assert len(rows) == 10
+    assert sum(r["lang_pred"] == L.UNKNOWN and r["score"] == 0 for r in rows) == 5
+    assert L.identify(no_docs, L.fit(no_docs)).collect() == []
+    assert {r["lang_pred"] for r in L.identify(odd_docs, L.fit(no_docs)).collect()} == {"und"}
