@@ -8,6 +8,7 @@ Spark operators and the DuckDB oracle text.
 ORDER_PLACED_TEXT = "Order Placed Successfully"
 OUT_OF_STOCK_PREFIX = "Product with Skucode "
 OUT_OF_STOCK_SUFFIX = "is out of stock"
+SERVER_ERROR_TEXT = "Internal Server Error"
 SERVICE_UNAVAILABLE_TEXT = "Service Unavailable, please try again later"
 SUBJECT_PREFIX = "\U0001F389 Order Confirmed | "
 EVENT_TOPIC = "order-placed"
@@ -29,7 +30,7 @@ ROUTES = [
 DOCS_PATH = "/api-docs"
 SWAGGER_ROUTE_SUFFIX = "_swagger"
 
-# --- fixed values: scrape targets and their application label ----------------
+# --- scrape targets (keys of our own) and their application label --------------
 TARGETS = [
     ("svc-0", "Api Gateway"),
     ("svc-1", "Product Service"),
@@ -45,19 +46,18 @@ INVENTORY_WINDOW = 5           # inventory client: last 5 calls
 GATEWAY_WINDOW = 10            # gateway default: last 10 calls
 MIN_CALLS = 5
 FAILURE_RATE_THRESHOLD = 0.5
-OPEN_WAIT_SECONDS = 5.0
-HALF_OPEN_CALLS = 3
 TRACE_SAMPLING_PROBABILITY = 1.0
 
 # --- fixed values: log levels, lowest first; records at INFO and above are kept
 LOG_LEVELS = ["TRACE", "DEBUG", "INFO", "WARN", "ERROR"]
 MIN_LOG_LEVEL = "INFO"
 
-# --- fixed values: console log line layout ------------------------------------
-# time [thread] logger [traceId,spanId] - message
+# --- console log line: time [thread] logger [traceId,spanId] - message ---------
 LOG_LINE_PATTERN = r"^(\S+ \S+) \[([^\]]*)\] (\S+) \[([^,\]]*),([^\]]*)\] - (.*)$"
 LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-# trace id matcher of the log store's derived field
+# The trace id alone, for jobs that need nothing else of a line.
+LOG_TRACE_ID_PATTERN = r"^\S+ \S+ \[[^\]]*\] \S+ \[([^,\]]*),"
+# --- fixed values: trace id matcher of the log store's derived field ------------
 TRACE_ID_MATCHER = r"\[.+,(.+?),"
 
 # --- fixed values: application names of the five services ---------------------

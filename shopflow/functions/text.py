@@ -12,11 +12,15 @@ def uuid_from_key(key: Column) -> Column:
     """UUID-shaped text (8-4-4-4-12 hex) from the md5 of a key.
 
     Deterministic, so a replayed batch, a re-planned query and both sinks of
-    one batch get the same order number for the same request.
+    one batch get the same order number for the same request. A null key has no
+    number (null), so keyless requests never share one.
     """
     h = F.md5(key)
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
-                       F.substring(h, 17, 4), F.substring(h, 21, 12))
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.concat(out, F.lit("-"), part)
+    return out
 
 
 def uuid_from_key_sql(key: str) -> str:

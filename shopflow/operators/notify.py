@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from shopflow.functions import constants as C
 from shopflow.functions.text import html_escape, html_escape_sql
 
-# fixed values: the message template, three escaped slots in between
+# The message of our own wording, with three escaped slots in between.
 BODY_PARTS = [
-    "<html><body><h1>Order Placed Successfully!</h1><p>Hi <strong>",
-    "</strong> <strong>",
-    "</strong>,</p><p>Thank you for shopping with us! Your order has been successfully placed.</p>"
-    "<p>Order Number<br/><span>",
-    "</span></p></body></html>",
+    "<html><body><h2>We have your order</h2><p>Dear ",
+    " ",
+    ",</p><p>your order reached us and is now being prepared.</p><p>Its number is <b>",
+    "</b>. Please quote it when you write to us.</p></body></html>",
 ]
+SENDER = "orders@shop.example.com"
 
 
-def render_notifications(events: DataFrame) -> DataFrame:
+def render_notifications(events: DataFrame, sender: str = SENDER) -> DataFrame:
     """One message per event; the three variables are HTML-escaped."""
     first, last, number = (html_escape(F.col(c)) for c in ("first_name", "last_name", "order_number"))
     body = F.concat(F.lit(BODY_PARTS[0]), first, F.lit(BODY_PARTS[1]), last,
                     F.lit(BODY_PARTS[2]), number, F.lit(BODY_PARTS[3]))
     return events.select(
         "order_number",
-        F.col("email").alias("to_email"),
+        F.lit(sender).alias("from_email"), F.col("email").alias("to_email"),
         F.concat(F.lit(C.SUBJECT_PREFIX), F.col("order_number")).alias("subject"),
         body.alias("html_body"))
 
@@ -35,5 +35,5 @@ def render_sql(source: str) -> str:
     parts = [p.replace("'", "''") for p in BODY_PARTS]
     body = (f"'{parts[0]}' || {first} || '{parts[1]}' || {last} || '{parts[2]}' || {number}"
             f" || '{parts[3]}'")
-    return (f"SELECT order_number, email AS to_email, '{C.SUBJECT_PREFIX}' || order_number AS subject, "
+    return (f"SELECT order_number, '{SENDER}' AS from_email, email AS to_email, '{C.SUBJECT_PREFIX}' || order_number AS subject, "
             f"{body} AS html_body FROM {source}")

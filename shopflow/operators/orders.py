@@ -17,6 +17,7 @@ from shopflow.functions.text import uuid_from_key
 from shopflow.plans.joins import counted_broadcast
 from shopflow.plans.ordinal import position_within
 from shopflow.sources import fixtures as fx
+from shopflow.sources.storage import shared_dir
 from shopflow.sources.tables import read_table
 
 STOCK_KEYS = ["sku_code", "quantity"]
@@ -58,27 +59,20 @@ def with_stock_flag(requests: DataFrame, inventory: DataFrame) -> DataFrame:
             .withColumn("in_stock", F.coalesce(F.col("_held"), F.lit(False))).drop("_held"))
 
 
-def stock_fallback(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """P10: a missing lookup answer counts as not in stock, as the client's
-    fallback does; ``lookup_failed`` keeps outage apart from out-of-stock.
-
-    ``answers``: one row per (sku_code, quantity) with a boolean ``answer``.
-    """
-    a = answers.select(*STOCK_KEYS, F.col("answer").alias("_answer"))
-    return (requests.join(a, STOCK_KEYS, "left")
-            .withColumn("in_stock", F.coalesce(F.col("_answer"), F.lit(False)))
-            .withColumn("lookup_failed", F.col("_answer").isNull()).drop("_answer"))
-
-
-def stock_answers(requests: DataFrame, inventory: DataFrame) -> DataFrame:
-    """The inventory service's answer for every distinct pair requested."""
-    asked = requests.select(*STOCK_KEYS).distinct()
-    return with_stock_flag(asked, inventory).withColumnRenamed("in_stock", "answer")
+def stock_fallback(requests: DataFrame, inventory: DataFrame, unanswered: Column) -> DataFrame:
+    """P10: a lookup without an answer counts as not in stock, as the client's
+    fallback does; ``lookup_failed`` keeps outage apart from out-of-stock. One
+    pass: the stock join gives the answers, ``unanswered`` tells which calls
+    never got theirs."""
+    failed = F.coalesce(unanswered, F.lit(False))
+    return (with_stock_flag(requests.withColumn("lookup_failed", failed), inventory)
+            .withColumn("in_stock", F.col("in_stock") & ~F.col("lookup_failed")))
 
 
 def valid_for_order(c_user: str = "user_details") -> Column:
-    """the fields the order and its event dereference must be present."""
-    return (F.col("price").isNotNull() & F.col(c_user).isNotNull()
+    """the fields the order and its event dereference must be present, the
+    key that the order number comes from included."""
+    return (F.col("request_id").isNotNull() & F.col("price").isNotNull() & F.col(c_user).isNotNull()
             & F.col(f"{c_user}.email").isNotNull() & F.col(f"{c_user}.first_name").isNotNull()
             & F.col(f"{c_user}.last_name").isNotNull())
 
@@ -106,7 +100,7 @@ def request_outcomes(lines: DataFrame, inventory: DataFrame, spark: SparkSession
     rest = flagged.where(~F.col("in_stock")).select(
         "request_id", "sku_code", "price", "quantity",
         F.lit(None).cast(held.schema["user_details"].dataType).alias("user_details"),
-        F.lit(None).cast("timestamp_ntz").alias("requested_at"), "in_stock")
+        F.lit(None).cast("timestamp_ntz").alias("requested_at"), "order_key", "in_stock")
     return with_outcome(held.unionByName(rest))
 
 
@@ -120,7 +114,7 @@ def order_response(outcomes: DataFrame) -> DataFrame:
         F.when(ok, F.lit(C.ORDER_PLACED_TEXT))
          .when(F.col("outcome") == OUT_OF_STOCK,
                F.concat(F.lit(C.OUT_OF_STOCK_PREFIX), F.col("sku_code"), F.lit(C.OUT_OF_STOCK_SUFFIX)))
-         .otherwise(F.lit("Internal Server Error")).alias("body"))
+         .otherwise(F.lit(C.SERVER_ERROR_TEXT)).alias("body"))
 
 
 def accepted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +156,19 @@ def build_events(accepted: DataFrame) -> DataFrame:
         F.col("user_details.last_name").alias("last_name"))
 
 
-def surrogate_ids(orders: DataFrame, key: str = "order_number", name: str = "id") -> DataFrame:
-    """Dense 1..n ids in key order, without a single-partition window."""
-    return position_within(orders, [], [key], name=name)
+def surrogate_ids(orders: DataFrame, key: str = "order_number", name: str = "id",
+                  after: int = 0) -> DataFrame:
+    """Ids ``after`` + 1, 2, ... in key order, without a single-partition
+    window. The orders are materialised first: numbering samples its input, and
+    the acceptance join should not run twice for that."""
+    shared_dir(orders.sparkSession)
+    return position_within(orders.checkpoint(eager=True), [], [key], name=name) \
+        .withColumn(name, F.col(name) + after)
+
+
+def last_id(stored: DataFrame | None, name: str = "id") -> int:
+    """The largest id stored so far; 0 where nothing is."""
+    return 0 if stored is None else stored.agg(F.max(name).alias("m")).first()["m"] or 0
 
 
 def unique_order_numbers(orders: DataFrame) -> DataFrame:
@@ -175,5 +179,8 @@ def unique_order_numbers(orders: DataFrame) -> DataFrame:
 
 
 def new_order_numbers(batch: DataFrame, history: DataFrame) -> DataFrame:
-    """A03 against history: drop numbers already stored."""
-    return batch.join(history.select("order_number"), "order_number", "left_anti")
+    """A03 against history: drop numbers already stored. The history is only
+    scanned (one column) against the batch's numbers; what both hold is small."""
+    asked = counted_broadcast(batch.select("order_number").distinct())
+    known = history.select("order_number").join(asked, "order_number", "left_semi").distinct()
+    return batch.join(known, "order_number", "left_anti")

@@ -37,14 +37,19 @@ def rewrite_path(routed: DataFrame) -> DataFrame:
          .otherwise(F.col("path")))
 
 
+FALLBACK_METHOD = next(method for name, _, method, _ in C.ROUTES if name == "fallbackRoute")
+
+
 def fallback_response(routed: DataFrame) -> DataFrame:
-    """A failed downstream call answers 503 with the fixed text; a path
-    without a route answers 404."""
+    """A failed downstream call is forwarded to the fallback route with its
+    own method. That route serves GET: it answers 503 with the fixed text. For
+    any other method it is a path without a route, and that answers 404."""
     routed_ok = F.col("route_id").isNotNull()
+    served = F.col("method") == FALLBACK_METHOD
     return routed.withColumns({
-        "status": F.when(~routed_ok, F.lit(404)).when(~F.col("ok"), F.lit(503))
-                   .otherwise(F.col("status")),
-        "body": F.when(routed_ok & ~F.col("ok"), F.lit(C.SERVICE_UNAVAILABLE_TEXT)),
+        "status": F.when(~routed_ok, F.lit(404)).when(F.col("ok"), F.col("status"))
+                   .when(served, F.lit(503)).otherwise(F.lit(404)),
+        "body": F.when(routed_ok & ~F.col("ok") & served, F.lit(C.SERVICE_UNAVAILABLE_TEXT)),
     })
 
 
@@ -87,6 +92,19 @@ def failure_rate(calls: DataFrame, window_calls: int, min_calls: int = C.MIN_CAL
     })
 
 
+def flag_changes(rated: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
+    """The calls at which an instance's W01 flag turns on or off, in order
+    (``position`` within the instance, ``healthy`` before and after). An instance
+    starts healthy. Blocks carry one call over, so no task holds an instance."""
+    b = blocked(rated, "position", block_rows, 1)
+    before = F.coalesce(F.lag("flagged").over(
+        Window.partitionBy("instance", "_block").orderBy("position")), F.lit(False))
+    return (b.withColumn("_before", before).where(~F.col("_carry"))
+            .where(F.col("flagged") != F.col("_before"))
+            .select("instance", "event_id", "ts", "position", (~F.col("_before")).alias("healthy_before"),
+                    (~F.col("flagged")).alias("healthy")))
+
+
 # ------------------------------------------------------------------ metrics --
 
 def label_samples(samples: DataFrame, targets: DataFrame) -> DataFrame:
@@ -135,49 +153,85 @@ DEFAULT_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
 
 def duration_histogram(spans: DataFrame, bounds: list[float] = DEFAULT_BOUNDS) -> DataFrame:
-    """Per application and bucket: count, exact sum, max, an exemplar trace
-    id (of the latest sample) and the cumulative count up to the bucket."""
+    """Per application and bucket (every bound and +inf, empty ones too):
+    count, exact sum, max, an exemplar trace id (of the latest sample), the
+    cumulative count up to the bucket, and the application's total count and sum."""
     agg = (spans.withColumn("le", bucket_bound(F.col("duration_s"), bounds))
            .groupBy("application", "le")
            .agg(F.count(F.lit(1)).alias("samples"),
                 F.sum(F.col("duration_s").cast("decimal(18,4)")).cast("decimal(38,4)").alias("sum_s"),
                 F.max("duration_s").alias("max_s"),
                 F.max_by("trace_id", F.struct("ts", "event_id")).alias("exemplar_trace_id")))
-    # The aggregate has at most (applications x buckets) rows.
-    running = Window.partitionBy("application").orderBy("le").rowsBetween(
-        Window.unboundedPreceding, 0)
-    return agg.withColumn("cumulative", F.sum("samples").over(running))
+    # Empty buckets join the others as rows without samples: one more partial
+    # aggregate over at most (applications x buckets) rows, no cross join.
+    every = F.array(*[F.lit(float(x)) for x in [*sorted(bounds), float("inf")]])
+    empty = agg.select("application").distinct().select(
+        "application", F.explode(every).alias("le"), F.lit(0).cast("long").alias("samples"),
+        F.lit(0).cast("decimal(38,4)").alias("sum_s"), F.lit(None).cast("double").alias("max_s"),
+        F.lit(None).cast("string").alias("exemplar_trace_id"))
+    full = agg.unionByName(empty).groupBy("application", "le").agg(
+        F.sum("samples").alias("samples"), F.sum("sum_s").cast("decimal(38,4)").alias("sum_s"),
+        F.max("max_s").alias("max_s"), F.max("exemplar_trace_id").alias("exemplar_trace_id"))
+    whole = Window.partitionBy("application")
+    running = whole.orderBy("le").rowsBetween(Window.unboundedPreceding, 0)
+    return full.withColumns({
+        "cumulative": F.sum("samples").over(running),
+        "total_samples": F.sum("samples").over(whole),
+        "total_s": F.sum("sum_s").over(whole).cast("decimal(38,4)")})
+
+
+_SAMPLE_DIGITS = 15   # hexadecimal digits of the hash that decide
+
+
+def _sample_limit(probability: float) -> str:
+    """The decisive digits from which on a trace is left out; "g" sorts after all."""
+    n = int(probability * 16 ** _SAMPLE_DIGITS)
+    return "g" if n >= 16 ** _SAMPLE_DIGITS else format(max(0, n), f"0{_SAMPLE_DIGITS}x")
 
 
 def trace_sample(spans: DataFrame, probability: float = C.TRACE_SAMPLING_PROBABILITY) -> DataFrame:
-    """keep a share of traces, decided per trace id so a trace is kept or
-    dropped whole and any engine decides alike."""
-    if probability >= 1.0:
-        return spans
-    threshold = format(max(0, int(probability * 65536)), "04x")
-    return spans.where(F.substring(F.md5(F.col("trace_id")), 1, 4) < F.lit(threshold))
+    """keep a share of traces, decided per trace id (60 bits of its hash), so
+    a trace is kept or dropped whole and any engine decides alike. Spans without
+    a trace id belong to no trace and are dropped at any probability."""
+    return spans.where(F.substring(F.md5(F.col("trace_id")), 1, _SAMPLE_DIGITS)
+                       < F.lit(_sample_limit(probability)))
 
 
 def trace_sample_sql(source: str, probability: float = C.TRACE_SAMPLING_PROBABILITY) -> str:
-    if probability >= 1.0:
-        return f"SELECT * FROM {source}"
-    threshold = format(max(0, int(probability * 65536)), "04x")
-    return f"SELECT * FROM {source} WHERE substr(md5(trace_id), 1, 4) < '{threshold}'"
+    return (f"SELECT * FROM {source} WHERE substr(md5(trace_id), 1, {_SAMPLE_DIGITS}) "
+            f"< '{_sample_limit(probability)}'")
 
 
 # --------------------------------------------------------------------- logs --
 
+_PARTS, _MARK = 6, "\x01"
+
+
 def parse_log_lines(logs: DataFrame, col: str = "line") -> DataFrame:
     """Split a console line into time, thread, logger, trace id, span id
-    and message; empty ids become null."""
+    and message; empty ids become null. ``parsed`` is false, and the parts null,
+    for lines of another layout (stack traces) or without a valid time.
+
+    The pattern runs once a line: it rewrites the line into its parts with a mark
+    between, and the rest splits at the mark. (A line that holds the mark itself,
+    a control character, counts as not parsed.)"""
     line = F.col(col)
-    part = lambda i: F.regexp_extract(line, C.LOG_LINE_PATTERN, i)
-    return logs.withColumns({
-        "ts": F.to_timestamp_ntz(part(1), F.lit(C.LOG_TIME_FORMAT)),
-        "thread": part(2), "logger": part(3),
-        "trace_id": F.nullif(part(4), F.lit("")), "span_id": F.nullif(part(5), F.lit("")),
-        "message": part(6),
-    })
+    marked = F.regexp_replace(line, C.LOG_LINE_PATTERN, _MARK.join(f"${i + 1}" for i in range(_PARTS)))
+    parts = F.when(F.instr(line, _MARK) == 0, F.split(marked, _MARK))
+    split = logs.withColumn("_parts", parts).withColumn(
+        "_ts", F.when(F.size("_parts") == _PARTS, F.try_to_timestamp(
+            F.get("_parts", F.lit(0)), F.lit(C.LOG_TIME_FORMAT)).cast("timestamp_ntz")))
+    good = F.col("_ts").isNotNull()
+    part = lambda i: F.when(good, F.get("_parts", F.lit(i)))
+    return split.withColumns({
+        "ts": F.col("_ts"), "thread": part(1), "logger": part(2),
+        "trace_id": F.nullif(part(3), F.lit("")), "span_id": F.nullif(part(4), F.lit("")),
+        "message": part(5), "parsed": good}).drop("_parts", "_ts")
+
+
+def line_trace_id(line: Column) -> Column:
+    """The trace id of a console line alone; blank where there is none."""
+    return F.coalesce(F.regexp_extract(line, C.LOG_TRACE_ID_PATTERN, 1), F.lit(""))
 
 
 def extract_trace_id(logs: DataFrame, col: str = "line") -> DataFrame:
@@ -222,11 +276,11 @@ def position_in_label_set(logs: DataFrame, labels: list[str] = LABEL_KEYS) -> Da
 
 def traces_to_logs(spans: DataFrame, logs: DataFrame) -> DataFrame:
     """The log lines of each trace. Spans are first reduced to one row
-    per trace, so the join emits one row per log line, never span x log pairs."""
-    per_trace = (spans.where(F.col("trace_id") != "")
-                 .groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"),
-                                          F.min("ts").alias("trace_start")))
-    # Empty ids are null after parsing (``nullif``); the equi-join drops them.
-    # Shuffled hash join built on the per-trace side (one row per trace): no
-    # sort, no broadcast of the log side, and a hot trace is only streamed.
-    return logs.join(per_trace.hint("shuffle_hash"), "trace_id")
+    per trace, so the join emits one row per log line, never span x log pairs.
+    Blank ids find no partner; a hot trace is a skewed key that AQE splits. (A
+    blank span id becomes null rather than being compared: a comparison would be
+    inferred for the log side too, and repeat the extraction there.)"""
+    per_trace = (spans.withColumn("trace_id", F.nullif(F.col("trace_id"), F.lit("")))
+                 .where(F.col("trace_id").isNotNull()).groupBy("trace_id").agg(
+                     F.count(F.lit(1)).alias("n_spans"), F.min("ts").alias("trace_start")))
+    return logs.join(per_trace, "trace_id")

@@ -26,11 +26,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopflow.plans.joins import counted_broadcast
 from shopflow.sources.storage import shared_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
-# The per-(group, partition) count frame is broadcast when counted below this.
-BROADCAST_STATS_ROWS = 1_000_000
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -63,15 +62,10 @@ def position_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     stats = stats.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols],
                          F.col("_pid").alias("_g_pid"), "_before", "_first")
     # Without groups the frame has one row per partition: bounded by
-    # construction. With groups it is counted first (at most partitions +
-    # groups rows); recomputing it from the checkpointed frame is
-    # deterministic, so a cached copy is safe to lose.
-    if not group_cols:
-        stats = F.broadcast(stats)
-    else:
-        stats = stats.persist()
-        if stats.count() <= BROADCAST_STATS_ROWS:
-            stats = F.broadcast(stats)
+    # construction. With groups its bytes are measured first (at most partitions
+    # + groups rows); computing it again from the checkpointed frame is cheap
+    # and gives the same.
+    stats = counted_broadcast(stats) if group_cols else F.broadcast(stats)
     cond = F.col("_pid") == F.col("_g_pid")
     for c in group_cols:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_g_{c}"))

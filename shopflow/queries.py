@@ -17,16 +17,13 @@ from shopflow.functions.money import line_total, line_total_sql
 from shopflow.functions.text import uuid_from_key_sql
 from shopflow.operators import catalog as CAT
 from shopflow.operators import decode as D
-from shopflow.operators import health as H
 from shopflow.operators import orders as O
 from shopflow.operators import telemetry as TL
 from shopflow.operators.notify import render_notifications, render_sql
-from shopflow.plans.joins import counted_broadcast
 from shopflow.sources import fixtures as fx
 from shopflow.sources import sinks
-from shopflow.sources.storage import run_dir
+from shopflow.sources.storage import output_dir, run_dir
 from shopflow.sources.tables import read_table
-from shopflow.streaming.health_stream import run_health_stream
 from shopflow.streaming.notify_stream import publish_events, run_notify_stream, run_source_only
 from shopflow.streaming.orders_stream import run_order_stream
 from shopflow.streaming.rollup_stream import run_rollup_stream
@@ -53,6 +50,8 @@ W_PROD = f"products AS ({fx.PRODUCTS_SQL})"
 W_STOCK = "stock AS (SELECT DISTINCT sku_code, quantity FROM inventory)"
 W_FLAG = ("flagged AS (SELECT r.*, s.sku_code IS NOT NULL AS in_stock FROM requests r "
           "LEFT JOIN stock s ON r.sku_code = s.sku_code AND r.quantity = s.quantity)")
+# Accepted requests of the feed: those whose body arrived whole.
+W_FED = f"fed AS (SELECT * FROM accepted WHERE order_key % {fx.BROKEN_BODY} <> 0)"
 W_ACC = ("accepted AS (SELECT r.* FROM requests r WHERE EXISTS (SELECT 1 FROM inventory i "
          "WHERE i.sku_code = r.sku_code AND i.quantity = r.quantity) AND r.price IS NOT NULL "
          "AND r.email IS NOT NULL AND r.first_name IS NOT NULL AND r.last_name IS NOT NULL)")
@@ -110,7 +109,7 @@ STOCK_PROBE = ("sku_1", 28)
 SELECT id, sku_code, quantity FROM inventory
 WHERE sku_code = '{STOCK_PROBE[0]}' AND quantity = {STOCK_PROBE[1]}""")
 def q_stock_predicate(spark, sf_dir):
-    return fx.inventory_lookup(spark, sf_dir, *STOCK_PROBE)
+    return fx.inventory(spark, sf_dir).where(O.stock_predicate(*STOCK_PROBE))
 
 
 @query("inventory_scan", _with(W_INV) + "SELECT id, sku_code, quantity FROM inventory")
@@ -162,9 +161,10 @@ def q_event_projection(spark, sf_dir):
 @query("order_response", _with(W_INV, W_REQ, W_STOCK, W_FLAG) + f"""
 SELECT request_id,
        CASE WHEN o = 'ACCEPTED' THEN 201 ELSE 500 END AS status,
-       CASE WHEN o = 'ACCEPTED' THEN 'Order Placed Successfully'
-            WHEN o = 'OUT_OF_STOCK' THEN 'Product with Skucode ' || sku_code || 'is out of stock'
-            ELSE 'Internal Server Error' END AS body
+       CASE WHEN o = 'ACCEPTED' THEN '{C.ORDER_PLACED_TEXT}'
+            WHEN o = 'OUT_OF_STOCK'
+            THEN '{C.OUT_OF_STOCK_PREFIX}' || sku_code || '{C.OUT_OF_STOCK_SUFFIX}'
+            ELSE '{C.SERVER_ERROR_TEXT}' END AS body
 FROM (SELECT request_id, sku_code, {OUTCOME_SQL} AS o FROM flagged)""")
 def q_order_response(spark, sf_dir):
     return O.order_response(_outcomes(spark, sf_dir))
@@ -183,33 +183,42 @@ def q_order_split_counts(spark, sf_dir):
     return _outcomes(spark, sf_dir).groupBy("outcome").agg(F.count(F.lit(1)).alias("requests"))
 
 
-@query("stock_fallback", _with(W_INV, W_LINES, W_STOCK) + """
-SELECT l.request_id, s.sku_code IS NOT NULL AS in_stock, false AS lookup_failed
+@query("stock_fallback", _with(W_INV, W_LINES, W_STOCK) + f"""
+SELECT l.request_id, s.sku_code IS NOT NULL AND order_key % {fx.UNANSWERED} <> 0 AS in_stock,
+       order_key % {fx.UNANSWERED} = 0 AS lookup_failed
 FROM lines l LEFT JOIN stock s ON l.sku_code = s.sku_code AND l.quantity = s.quantity""")
 def q_stock_fallback(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    # One answer per distinct requested pair: counted (and cached; recomputing
-    # it is deterministic), then broadcast when within the limit.
-    answers = counted_broadcast(O.stock_answers(lines, fx.inventory(spark, sf_dir)).persist())
-    return O.stock_fallback(lines, answers).select("request_id", "in_stock", "lookup_failed")
+    answered = O.stock_fallback(_lines(spark, sf_dir), fx.inventory(spark, sf_dir),
+                                F.col("order_key") % fx.UNANSWERED == 0)
+    return answered.select("request_id", "in_stock", "lookup_failed")
 
 
 @query("order_number_unique", _with(W_INV, W_REQ, W_ACC) + f"""
 SELECT order_number, min(request_id) AS request_id, count(*) AS copies
-FROM (SELECT {ORDER_NO} AS order_number, request_id FROM accepted) GROUP BY order_number""")
+FROM (SELECT {ORDER_NO} AS order_number, request_id,
+             unnest(CASE WHEN order_key % {fx.TWICE} = 0 THEN [1, 2] ELSE [1] END) FROM accepted)
+GROUP BY order_number""")
 def q_order_number_unique(spark, sf_dir):
     acc = O.accepted_requests(spark, sf_dir)
-    return O.unique_order_numbers(O.build_orders(acc))
+    delivered = acc.withColumn("_delivery", F.explode(F.when(
+        F.col("order_key") % fx.TWICE == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return O.unique_order_numbers(O.build_orders(delivered))
 
 
-@query("order_request_decode", _with(f"r AS ({fx.REQUESTS_FLAT_SQL})") + """
-SELECT request_id, sku_code, price, quantity, email, first_name, last_name, requested_at FROM r""")
+def _if_whole(column: str) -> str:
+    return f"CASE WHEN NOT rejected THEN {column} END AS {column}"
+
+
+@query("order_request_decode", _with(
+    f"r AS (SELECT *, order_key % {fx.BROKEN_BODY} = 0 AS rejected FROM ({fx.REQUESTS_FLAT_SQL}))")
+    + "SELECT request_id, " + ", ".join(_if_whole(c) for c in (
+        "sku_code", "price", "quantity", "email", "first_name", "last_name")) + ", rejected FROM r")
 def q_order_request_decode(spark, sf_dir):
     return D.decode_order_requests(fx.requests_json(spark, sf_dir)).select(
         "request_id", "sku_code", "price", "quantity",
         F.col("user_details.email").alias("email"),
         F.col("user_details.first_name").alias("first_name"),
-        F.col("user_details.last_name").alias("last_name"), "requested_at")
+        F.col("user_details.last_name").alias("last_name"), "rejected")
 
 
 # ---------------------------------------------------------------- catalogue --
@@ -228,9 +237,9 @@ def q_product_response(spark, sf_dir):
 
 
 @query("product_request_decode", _with(W_PROD) + """
-SELECT id AS request_id, name, description, price FROM products""")
+SELECT id AS request_id, name, description, price, false AS rejected FROM products""")
 def q_product_request_decode(spark, sf_dir):
-    return D.decode_product_requests(fx.product_requests_json(spark, sf_dir))
+    return D.decode_product_requests(fx.product_requests_json(spark, sf_dir)).drop("value")
 
 
 @query("product_build", _with(W_PROD) + f"""
@@ -242,21 +251,26 @@ def q_product_build(spark, sf_dir):
 @query("product_append", _with(W_PROD) + f"""
 SELECT {PRODUCT_ID} AS id, name, description, price FROM products""")
 def q_product_append(spark, sf_dir):
-    path = run_dir(spark, "products")
+    path = output_dir(spark, "products")
     built = CAT.build_products(D.decode_product_requests(fx.product_requests_json(spark, sf_dir)))
     sinks.append(built, path)
     return sinks.read_sink(spark, path)
 
 
 @query("order_append", _with(W_INV, W_REQ, W_ACC) + f"""
-SELECT {ORDER_NO} AS order_number, request_id, sku_code,
+SELECT row_number() OVER (ORDER BY order_key % 2, {ORDER_NO}) AS id,
+       {ORDER_NO} AS order_number, request_id, sku_code,
        {line_total_sql('price', 'quantity')} AS price, quantity, TIMESTAMP '{AS_OF}' AS order_date
 FROM accepted""")
 def q_order_append(spark, sf_dir):
-    path = run_dir(spark, "orders")
-    orders = O.build_orders(O.accepted_requests(spark, sf_dir),
-                            as_of=F.lit(AS_OF).cast("timestamp_ntz"))
-    sinks.append(orders, path)
+    """Two appends, of the even and the odd order keys: ids go on from the first."""
+    path = output_dir(spark, "orders")
+    acc = O.accepted_requests(spark, sf_dir)
+    for half in (0, 1):
+        orders = O.build_orders(acc.where(F.col("order_key") % 2 == half),
+                                as_of=F.lit(AS_OF).cast("timestamp_ntz"))
+        stored = sinks.read_sink(spark, path) if half else None
+        sinks.append(O.surrogate_ids(orders, after=O.last_id(stored)), path)
     return sinks.read_sink(spark, path)
 
 
@@ -275,7 +289,7 @@ W_EVJSON = (f"evjson AS (SELECT order_number, email, first_name, last_name, "
 @query("event_publish", _with(W_INV, W_REQ, W_ACC, W_EVENTS) + f"""
 SELECT {EVENT_JSON_SQL} AS value FROM ev""")
 def q_event_publish(spark, sf_dir):
-    topic = run_dir(spark, "topic")
+    topic = output_dir(spark, "topic")
     ev = O.build_events(O.accepted_requests(spark, sf_dir))
     publish_events(ev.select(fx.event_json_value(F.col("order_number"), F.col("email"),
                                                  F.col("first_name"), F.col("last_name"))
@@ -303,7 +317,7 @@ def q_notification_render(spark, sf_dir):
 @query("event_stream_source", _with(W_INV, W_REQ, W_ACC, W_EVENTS, W_EVJSON) + """
 SELECT value FROM evjson""")
 def q_event_stream_source(spark, sf_dir):
-    base = run_dir(spark, "event-source")
+    base = output_dir(spark, "event-source")
     publish_events(fx.events_json(spark, sf_dir), f"{base}/topic")
     run_source_only(spark, f"{base}/topic", f"{base}/out", f"{base}/_checkpoint")
     return sinks.read_sink(spark, f"{base}/out", "value string")
@@ -312,32 +326,67 @@ def q_event_stream_source(spark, sf_dir):
 @query("notification_outbox", _with(W_INV, W_REQ, W_ACC, W_EVENTS, W_EVJSON) + render_sql(
     "(SELECT * FROM evjson WHERE NOT quarantined)"))
 def q_notification_outbox(spark, sf_dir):
-    base = run_dir(spark, "notify")
-    publish_events(fx.events_json(spark, sf_dir), f"{base}/topic")
-    paths = run_notify_stream(spark, f"{base}/topic")
+    paths = _notified(spark, sf_dir)
     return sinks.read_sink(spark, paths.outbox).drop("batch_id")
 
 
+def _notified(spark, sf_dir):
+    topic = output_dir(spark, "notify-topic")
+    publish_events(fx.events_json(spark, sf_dir), topic)
+    return run_notify_stream(spark, topic)
+
+
+@query("notification_dead_letters", _with(W_INV, W_REQ, W_ACC, W_EVENTS, W_EVJSON) + """
+SELECT value FROM evjson WHERE quarantined""")
+def q_notification_dead_letters(spark, sf_dir):
+    return sinks.read_sink(spark, _notified(spark, sf_dir).dead_letters).select("value")
+
+
 # ------------------------------------------------------------------ streams --
 
-@query("orders_in_stock_stream", _with(W_INV, W_REQ, W_ACC) + f"""
-SELECT {ORDER_NO} AS order_number, request_id, sku_code,
-       {line_total_sql('price', 'quantity')} AS price, quantity FROM accepted""")
+def _ordered(spark, sf_dir):
+    """The request bodies of the whole table, published and run through the stream."""
+    topic = output_dir(spark, "request-topic")
+    sinks.append(fx.requests_json(spark, sf_dir), topic)
+    return run_order_stream(spark, topic, lambda: fx.inventory(spark, sf_dir))
+
+
+W_ONCE = "once AS (SELECT DISTINCT * FROM fed)"
+
+
+@query("orders_in_stock_stream", _with(W_INV, W_REQ, W_ACC, W_FED, W_ONCE) + f"""
+SELECT row_number() OVER (ORDER BY {ORDER_NO}) AS id, {ORDER_NO} AS order_number, request_id, sku_code,
+       {line_total_sql('price', 'quantity')} AS price, quantity FROM once""")
 def q_orders_in_stock_stream(spark, sf_dir):
-    paths = run_order_stream(spark, sf_dir)
+    paths = _ordered(spark, sf_dir)
     return sinks.read_sink(spark, paths.orders).select(
-        "order_number", "request_id", "sku_code", "price", "quantity")
+        "id", "order_number", "request_id", "sku_code", "price", "quantity")
 
 
-@query("order_and_event_sinks", _with(W_INV, W_REQ, W_ACC) + f"""
-SELECT 'orders' AS sink, {ORDER_NO} AS order_number FROM accepted
+@query("order_and_event_sinks", _with(W_INV, W_REQ, W_ACC, W_FED, W_ONCE) + f"""
+SELECT 'orders' AS sink, {ORDER_NO} AS item FROM once
+UNION ALL
+SELECT 'events' AS sink, {ORDER_NO} AS item FROM once
 UNION ALL
-SELECT 'events' AS sink, {ORDER_NO} AS order_number FROM accepted""")
+SELECT 'rejects' AS sink, request_id AS item
+FROM (SELECT DISTINCT request_id FROM requests WHERE order_key % {fx.BROKEN_BODY} = 0)""")
 def q_order_and_event_sinks(spark, sf_dir):
-    paths = run_order_stream(spark, sf_dir)
-    orders = sinks.read_sink(spark, paths.orders).select(F.lit("orders").alias("sink"), "order_number")
-    events = sinks.read_sink(spark, paths.events).select(F.lit("events").alias("sink"), "order_number")
-    return orders.unionByName(events)
+    paths = _ordered(spark, sf_dir)
+    orders = sinks.read_sink(spark, paths.orders).select(F.lit("orders").alias("sink"),
+                                                        F.col("order_number").alias("item"))
+    events = sinks.read_sink(spark, paths.events).select(F.lit("events").alias("sink"),
+                                                        F.col("order_number").alias("item"))
+    rejects = sinks.read_sink(spark, paths.rejects).select(F.lit("rejects").alias("sink"),
+                                                          F.col("request_id").alias("item"))
+    return orders.unionByName(events).unionByName(rejects)
+
+
+@query("order_to_notification", _with(W_INV, W_REQ, W_ACC, W_FED, W_ONCE, f"""
+ev AS (SELECT {ORDER_NO} AS order_number, email, first_name, last_name FROM once)""") + render_sql("ev"))
+def q_order_to_notification(spark, sf_dir):
+    """Order stream and notification stream in one: the event sink is the topic."""
+    notified = run_notify_stream(spark, _ordered(spark, sf_dir).events)
+    return sinks.read_sink(spark, notified.outbox).drop("batch_id")
 
 
 # ---------------------------------------------------------------- telemetry --
@@ -352,13 +401,17 @@ W_SPANS = f"spans AS ({fx.SPANS_SQL})"
 W_LOGS = f"logs AS ({fx.LOG_LINES_SQL})"
 W_TRIPLE = f"triple AS ({fx.LOG_LINES_TRIPLE_SQL})"
 _PAT = C.LOG_LINE_PATTERN
-W_PARSED = (f"parsed AS (SELECT event_id, application, host, level, line, "
-            f"strptime(regexp_extract(line, '{_PAT}', 1), '%Y-%m-%d %H:%M:%S') AS ts, "
-            f"regexp_extract(line, '{_PAT}', 2) AS thread, "
-            f"regexp_extract(line, '{_PAT}', 3) AS logger, "
-            f"NULLIF(regexp_extract(line, '{_PAT}', 4), '') AS trace_id, "
-            f"NULLIF(regexp_extract(line, '{_PAT}', 5), '') AS span_id, "
-            f"regexp_extract(line, '{_PAT}', 6) AS message FROM logs)")
+
+
+def _log_part(i: int) -> str:
+    return f"CASE WHEN ts IS NOT NULL THEN NULLIF(regexp_extract(line, '{_PAT}', {i}), '') END"
+
+
+W_PARSED = (f"parsed AS (SELECT event_id, application, host, level, line, ts, "
+            f"{_log_part(2)} AS thread, {_log_part(3)} AS logger, {_log_part(4)} AS trace_id, "
+            f"{_log_part(5)} AS span_id, {_log_part(6)} AS message, ts IS NOT NULL AS parsed "
+            f"FROM (SELECT *, try_strptime(regexp_extract(line, '{_PAT}', 1), '%Y-%m-%d %H:%M:%S') AS ts "
+            f"FROM logs))")
 
 
 def _routed(spark, sf_dir):
@@ -382,8 +435,10 @@ def q_path_rewrite(spark, sf_dir):
 
 @query("fallback_response", _with(W_ACCESS, W_ROUTES, W_ROUTED) + f"""
 SELECT event_id, route_id,
-       CASE WHEN route_id IS NULL THEN 404 WHEN NOT ok THEN 503 ELSE status END AS status,
-       CASE WHEN route_id IS NOT NULL AND NOT ok THEN '{C.SERVICE_UNAVAILABLE_TEXT}' END AS body
+       CASE WHEN route_id IS NULL THEN 404 WHEN ok THEN status WHEN method = 'GET' THEN 503
+            ELSE 404 END AS status,
+       CASE WHEN route_id IS NOT NULL AND NOT ok AND method = 'GET'
+            THEN '{C.SERVICE_UNAVAILABLE_TEXT}' END AS body
 FROM routed""")
 def q_fallback_response(spark, sf_dir):
     return TL.fallback_response(_routed(spark, sf_dir)).select("event_id", "route_id", "status", "body")
@@ -423,21 +478,30 @@ def q_failure_rate_5(spark, sf_dir):
         "event_id", "instance", "n_calls", "n_failed", "failure_rate", "flagged")
 
 
+BLOCK_CALLS = 256
+
+
 # Gateway default: its 3 s time limiter turns slow calls into failures.
 @query("failure_rate_10", _failure_rate_sql(
     C.GATEWAY_WINDOW, f"(coalesce(error, false) OR coalesce(duration_s > {C.CALL_TIME_LIMIT_S}, false))"))
 def q_failure_rate_10(spark, sf_dir):
     c = _calls_failed(spark, sf_dir, C.CALL_TIME_LIMIT_S)
-    return TL.failure_rate(c, C.GATEWAY_WINDOW).select(
+    # Small blocks: every instance spans several, so the carried calls count.
+    return TL.failure_rate(c, C.GATEWAY_WINDOW, block_rows=BLOCK_CALLS).select(
         "event_id", "instance", "n_calls", "n_failed", "failure_rate", "flagged")
 
 
-HEALTH_SQL = H.transitions_sql(fx.CALLS_SQL, H.BreakerConfig())
-
-
-@query("health_transitions", HEALTH_SQL)
-def q_health_transitions(spark, sf_dir):
-    return H.health_transitions_chunked(_calls_failed(spark, sf_dir, None), H.BreakerConfig())
+@query("failure_flag_changes", "WITH rated AS (" + _failure_rate_sql(
+    C.INVENTORY_WINDOW, "coalesce(error, false)") + "), " + W_CALLS + """,
+placed AS (SELECT c.instance, c.event_id, c.ts, r.flagged,
+                  row_number() OVER w AS position, coalesce(lag(r.flagged) OVER w, false) AS before
+           FROM calls c JOIN rated r ON r.event_id = c.event_id
+           WINDOW w AS (PARTITION BY c.instance ORDER BY c.ts, c.event_id))
+SELECT instance, event_id, ts, position, NOT before AS healthy_before, NOT flagged AS healthy
+FROM placed WHERE flagged <> before""")
+def q_failure_flag_changes(spark, sf_dir):
+    rated = TL.failure_rate(_calls_failed(spark, sf_dir, None), C.INVENTORY_WINDOW)
+    return TL.flag_changes(rated, block_rows=BLOCK_CALLS)
 
 
 @query("target_labels", _with(W_CALLS, W_TARGETS) + """
@@ -479,27 +543,40 @@ BOUNDS_SQL = TL.bucket_bound_sql("duration_s", TL.DEFAULT_BOUNDS)
 
 
 @query("duration_histogram", _with(W_SPANS) + f"""
-SELECT *, CAST(sum(samples) OVER (PARTITION BY application ORDER BY le
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative
-FROM (SELECT application, {BOUNDS_SQL} AS le, count(*) AS samples,
-             CAST(sum(CAST(duration_s AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS sum_s,
-             max(duration_s) AS max_s, arg_max(trace_id, row(ts, event_id)) AS exemplar_trace_id
-      FROM spans GROUP BY 1, 2)""")
+, filled AS (
+  SELECT application, {BOUNDS_SQL} AS le, count(*) AS samples,
+         CAST(sum(CAST(duration_s AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS sum_s,
+         max(duration_s) AS max_s, arg_max(trace_id, row(ts, event_id)) AS exemplar_trace_id
+  FROM spans GROUP BY 1, 2),
+every_bucket AS (
+  SELECT application, unnest({[*sorted(TL.DEFAULT_BOUNDS), float('inf')]!r}::DOUBLE[]) AS le
+  FROM (SELECT DISTINCT application FROM spans))
+SELECT e.application, e.le, coalesce(samples, 0) AS samples,
+       coalesce(sum_s, 0)::DECIMAL(38,4) AS sum_s, max_s, exemplar_trace_id,
+       CAST(sum(coalesce(samples, 0)) OVER (PARTITION BY e.application ORDER BY e.le
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative,
+       CAST(sum(coalesce(samples, 0)) OVER (PARTITION BY e.application) AS BIGINT) AS total_samples,
+       CAST(sum(sum_s) OVER (PARTITION BY e.application) AS DECIMAL(38,4)) AS total_s
+FROM every_bucket e LEFT JOIN filled f ON f.application = e.application AND f.le = e.le""".replace(
+    "inf]", "'inf'::DOUBLE]"))
 def q_duration_histogram(spark, sf_dir):
     return TL.duration_histogram(fx.spans(spark, sf_dir))
 
 
+SAMPLED = 0.25
+
+
 @query("trace_sample", _with(W_SPANS) + "SELECT event_id, trace_id FROM ("
-       + TL.trace_sample_sql("spans") + ")")
+       + TL.trace_sample_sql("spans", SAMPLED) + ")")
 def q_trace_sample(spark, sf_dir):
-    return TL.trace_sample(fx.spans(spark, sf_dir)).select("event_id", "trace_id")
+    return TL.trace_sample(fx.spans(spark, sf_dir), SAMPLED).select("event_id", "trace_id")
 
 
 @query("log_parse", _with(W_LOGS, W_PARSED) + """
-SELECT event_id, ts, thread, logger, trace_id, span_id, message FROM parsed""")
+SELECT event_id, ts, thread, logger, trace_id, span_id, message, parsed FROM parsed""")
 def q_log_parse(spark, sf_dir):
     return TL.parse_log_lines(fx.log_lines(spark, sf_dir)).select(
-        "event_id", "ts", "thread", "logger", "trace_id", "span_id", "message")
+        "event_id", "ts", "thread", "logger", "trace_id", "span_id", "message", "parsed")
 
 
 @query("log_trace_id", _with(W_TRIPLE) + f"""
@@ -533,7 +610,7 @@ def q_log_level_filter(spark, sf_dir):
 
 @query("log_sort_by_time", _with(W_LOGS, W_PARSED) + """
 SELECT event_id, application, host, level, ts,
-       row_number() OVER (PARTITION BY application, host, level ORDER BY ts, event_id) AS position
+       row_number() OVER (PARTITION BY application, host, level ORDER BY ts NULLS FIRST, event_id) AS position
 FROM parsed""")
 def q_log_sort_by_time(spark, sf_dir):
     parsed = TL.parse_log_lines(fx.log_lines(spark, sf_dir)).select(
@@ -541,18 +618,13 @@ def q_log_sort_by_time(spark, sf_dir):
     return TL.position_in_label_set(parsed)
 
 
-@query("trace_log_join", _with(W_SPANS, W_LOGS, W_PARSED) + """
+@query("trace_log_join", _with(W_SPANS, W_LOGS) + f"""
 SELECT p.trace_id, p.event_id, s.n_spans, s.trace_start
-FROM parsed p JOIN (SELECT trace_id, count(*) AS n_spans, min(ts) AS trace_start FROM spans
+FROM (SELECT event_id, regexp_extract(line, '{C.LOG_TRACE_ID_PATTERN}', 1) AS trace_id FROM logs) p JOIN (SELECT trace_id, count(*) AS n_spans, min(ts) AS trace_start FROM spans
                     WHERE trace_id IS NOT NULL AND trace_id <> '' GROUP BY trace_id) s
   ON p.trace_id = s.trace_id""")
 def q_trace_log_join(spark, sf_dir):
-    logs = TL.parse_log_lines(fx.log_lines(spark, sf_dir)).select("event_id", "trace_id")
+    logs = fx.log_lines(spark, sf_dir).select(
+        "event_id", TL.line_trace_id(F.col("line")).alias("trace_id"))
     return TL.traces_to_logs(fx.spans(spark, sf_dir), logs).select(
         "trace_id", "event_id", "n_spans", "trace_start")
-
-
-@query("health_transitions_stream", HEALTH_SQL)
-def q_health_transitions_stream(spark, sf_dir):
-    out = run_health_stream(spark, sf_dir, STREAM_DELAY, H.BreakerConfig())
-    return sinks.read_sink(spark, out)

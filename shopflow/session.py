@@ -21,6 +21,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Stream state off the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Checkpointed frames (plans.ordinal) are removed once no longer referenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -17,6 +17,14 @@ from shopflow.sources.tables import read_table
 
 MONEY = "decimal(18,2)"
 
+# Rules that make the feed as uneven as a real one, by order key (or event id):
+NO_PRICE, NO_USER = 53, 59     # multiples: a request without price / user
+BROKEN_BODY = 97               # multiples: the body was cut off
+UNANSWERED = 29                # multiples: the stock lookup gave no answer
+TWICE = 17                     # multiples: the request was delivered twice
+STACK_TRACE, BAD_STAMP = 101, 103   # multiples of the event id: odd log lines
+CUT = 7                        # characters that a cut-off body lacks
+
 
 def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
@@ -42,9 +50,10 @@ FROM part"""
 
 
 def product_requests_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product creation requests as JSON bodies, one per catalogue row."""
-    return products(spark, sf_dir).select(F.to_json(F.struct(
-        F.col("id").alias("requestId"), "name", "description", "price")).alias("value"))
+    """Product creation requests: a key beside the JSON body, one per catalogue row."""
+    return products(spark, sf_dir).select(
+        F.col("id").alias("request_id"),
+        F.to_json(F.struct("name", "description", "price")).alias("value"))
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,22 +65,6 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inventory_lookup(spark: SparkSession, sf_dir: str, sku_code: str, quantity: int) -> DataFrame:
-    """Keyed read of stock rows for one (sku, quantity) with both predicates
-    pushed into the scan: a canonical ``sku_<n>`` is also the part key ``n``.
-    The exact predicate on the derived columns is kept, so a non-canonical
-    SKU (``sku_007``) still matches nothing, as the string comparison says."""
-    part = read_table(spark, sf_dir, "part").where(F.col("p_size") == F.lit(quantity))
-    digits = sku_code[4:] if sku_code.startswith("sku_") else ""
-    if digits.isdigit() and str(int(digits)) == digits:
-        part = part.where(F.col("p_partkey") == F.lit(int(digits)))
-    inv = part.select(
-        F.col("p_partkey").alias("id"),
-        F.concat(F.lit("sku_"), F.col("p_partkey").cast("string")).alias("sku_code"),
-        F.col("p_size").alias("quantity"))
-    return inv.where((F.col("sku_code") == F.lit(sku_code)) & (F.col("quantity") == F.lit(quantity)))
-
-
 INVENTORY_SQL = """
 SELECT p_partkey AS id, 'sku_' || CAST(p_partkey AS VARCHAR) AS sku_code,
        p_size AS quantity
@@ -158,31 +151,41 @@ def attach_users(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     extra = [c for c in lines.columns if c not in
              ("request_id", "sku_code", "price", "quantity", "order_key")]
     return _users_of(keyed, spark, sf_dir).select(
-        "request_id", "sku_code", "price", "quantity", "user_details", "requested_at", *extra)
+        "request_id", "sku_code",
+        F.when(F.col("order_key") % NO_PRICE != 0, F.col("price")).alias("price"), "quantity",
+        F.when(F.col("order_key") % NO_USER != 0, F.col("user_details")).alias("user_details"),
+        "requested_at", "order_key", *extra)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_users(line_requests(read_table(spark, sf_dir, "lineitem")), spark, sf_dir)
 
 
+def _known_user(column: str) -> str:
+    return f"CASE WHEN l.order_key % {NO_USER} <> 0 THEN u.{column} END AS {column}"
+
+
 REQUESTS_FLAT_SQL = f"""
-SELECT l.request_id, l.sku_code, l.price, l.quantity, u.email, u.first_name,
-       u.last_name, u.requested_at
+SELECT l.request_id, l.sku_code, CASE WHEN l.order_key % {NO_PRICE} <> 0 THEN l.price END AS price,
+       l.quantity, {_known_user('email')}, {_known_user('first_name')}, {_known_user('last_name')},
+       u.requested_at, l.order_key
 FROM ({LINE_REQUESTS_SQL}) l JOIN ({ORDER_USERS_SQL}) u ON l.order_key = u.order_key"""
 
 
 def requests_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order request bodies with the record's camel-case field names."""
+    """Order requests as they arrive: a key beside the JSON body, which holds the
+    record's own fields only; some bodies are cut off."""
     r = requests(spark, sf_dir)
-    body = F.struct(
-        F.col("request_id").alias("requestId"),
-        F.col("sku_code").alias("skuCode"),
-        "price", "quantity",
-        F.struct(F.col("user_details.email").alias("email"),
-                 F.col("user_details.first_name").alias("firstName"),
-                 F.col("user_details.last_name").alias("lastName")).alias("userDetails"),
-        F.col("requested_at").alias("requestedAt"))
-    return r.select(F.to_json(body).alias("value"))
+    body = F.to_json(F.struct(
+        F.col("sku_code").alias("skuCode"), "price", "quantity",
+        F.when(F.col("user_details").isNotNull(), F.struct(
+            F.col("user_details.email").alias("email"),
+            F.col("user_details.first_name").alias("firstName"),
+            F.col("user_details.last_name").alias("lastName"))).alias("userDetails")))
+    return r.select("request_id", "order_key", body.alias("body")).select(
+        "request_id", F.when(F.col("order_key") % BROKEN_BODY == 0,
+                             F.expr(f"substring(body, 1, length(body) - {CUT})"))
+        .otherwise(F.col("body")).alias("value"))
 
 
 # ----------------------------------------------------------------- calls ----
@@ -329,16 +332,23 @@ FROM (SELECT event_id, user_id, event_type, ts, {_TRACE_SQL} FROM events)"""
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console lines; some are lines of a stack trace, some have no valid time."""
     p = _log_parts(read_table(spark, sf_dir, "events"))
-    line = F.concat(F.col("stamp"), F.lit(" [exec-"), (F.col("event_id") % 8).cast("string"),
+    stamp = F.when(F.col("event_id") % BAD_STAMP == 0, F.lit("2024-13-45 99:00:00")).otherwise(F.col("stamp"))
+    line = F.concat(stamp, F.lit(" [exec-"), (F.col("event_id") % 8).cast("string"),
                     F.lit("] shop."), F.col("application"), F.lit(".Handler ["),
                     F.col("tid"), F.lit(","), F.col("sid"), F.lit("] - "), F.col("message"))
-    return p.select(line.alias("line"), "application", "host", "level", "event_id")
+    trace = F.concat(F.lit("\tat shop.Handler.run(Handler.java:"), F.col("event_id").cast("string"), F.lit(")"))
+    return p.select(F.when(F.col("event_id") % STACK_TRACE == 0, trace).otherwise(line).alias("line"),
+                    "application", "host", "level", "event_id")
 
 
 LOG_LINES_SQL = f"""
-SELECT stamp || ' [exec-' || CAST(event_id % 8 AS VARCHAR) || '] shop.' || application ||
-       '.Handler [' || tid || ',' || sid || '] - ' || message AS line,
+SELECT CASE WHEN event_id % {STACK_TRACE} = 0
+            THEN chr(9) || 'at shop.Handler.run(Handler.java:' || CAST(event_id AS VARCHAR) || ')'
+            ELSE CASE WHEN event_id % {BAD_STAMP} = 0 THEN '2024-13-45 99:00:00' ELSE stamp END ||
+       ' [exec-' || CAST(event_id % 8 AS VARCHAR) || '] shop.' || application ||
+       '.Handler [' || tid || ',' || sid || '] - ' || message END AS line,
        application, host, level, event_id
 FROM ({_LOG_PARTS_SQL})"""
 

@@ -1,8 +1,9 @@
-"""Sinks: plain appends and replay-safe per-batch partitions.
+"""Sinks: plain appends and replay-safe per-batch folders.
 
-A streaming ``foreachBatch`` may run a batch again after a failure; writing
-each batch into its own ``batch_id`` partition with dynamic partition overwrite
-makes the replay replace, not add.
+A streaming ``foreachBatch`` may run a batch again after a failure, and its rows
+may then be fewer, or none (stock is read anew). Each batch owns the folder
+``batch_id=<n>`` and overwrites it as a whole, also with no rows, so a replay
+replaces whatever the first attempt wrote.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopflow.sources.tables import file_system
+
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append rows to a table folder."""
@@ -17,10 +20,8 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -> None:
-    """Replace exactly the ``batch_id`` partition of ``path``."""
-    (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").format(fmt).save(path))
+    """Replace exactly what batch ``batch_id`` wrote to ``path``."""
+    df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
 
 
 def read_sink(spark: SparkSession, path: str, schema: str | None = None,
@@ -29,3 +30,13 @@ def read_sink(spark: SparkSession, path: str, schema: str | None = None,
     if schema:
         reader = reader.schema(schema)
     return reader.load(path)
+
+
+def stored_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame | None:
+    """The rows that earlier batches stored (what a replayed batch wrote itself is
+    left out); None while nothing is stored."""
+    files, target = file_system(spark, path)
+    if not files.exists(target):
+        return None
+    return spark.read.schema(f"{schema}, batch_id long").parquet(path).where(
+        F.col("batch_id") < batch_id).drop("batch_id")

@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 
 from shopflow.operators import telemetry as T
 from shopflow.sources import fixtures as fx
-from shopflow.sources.storage import run_dir
-from shopflow.sources.tables import read_table
+from shopflow.sources.storage import output_dir, run_dir
+from shopflow.sources.tables import file_system, read_table, table_path
+from shopflow.streaming.common import bounded, start, use_rocksdb
 
 
-def sample_feed(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+def sample_feed(spark: SparkSession, sf_dir: str, options: dict[str, str] | None = None) -> DataFrame:
     schema = read_table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    ev = reader.parquet(sf_dir)
-    return fx.calls_from_events(ev)
+    reader = spark.readStream.schema(schema).options(**bounded("parquet", options))
+    path = table_path(sf_dir, "events")
+    files, target = file_system(spark, path)
+    if not files.getFileStatus(target).isDirectory():
+        # A table of one file: a stream reads folders.
+        reader, path = reader.option("pathGlobFilter", "events.parquet"), sf_dir
+    return fx.calls_from_events(reader.parquet(path))
 
 
 def rollup_stream(samples: DataFrame, targets: DataFrame, interval: str, delay: str) -> DataFrame:
@@ -36,15 +39,14 @@ def rollup_stream(samples: DataFrame, targets: DataFrame, interval: str, delay:
 
 
 def run_rollup_stream(spark: SparkSession, sf_dir: str, interval: str, delay: str,
-                      max_files: int | None = None, base: str | None = None) -> str:
-    """Run until the available input is processed; ``base`` reuses an earlier
-    run's output and checkpoint (a restart), otherwise a fresh folder is used."""
-    base = base or run_dir(spark, "rollup-stream")
-    out = rollup_stream(sample_feed(spark, sf_dir, max_files), fx.targets(spark), interval, delay)
-    q = (out.writeStream.outputMode("append").format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return f"{base}/out"
+                      options: dict[str, str] | None = None, base: str | None = None,
+                      trigger: dict | None = None) -> str:
+    """Run until the available input is processed (or, with another trigger, on);
+    ``base`` reuses an earlier run's output and checkpoint (a restart)."""
+    use_rocksdb(spark)
+    out_dir, checkpoint = (f"{base}/out", f"{base}/_checkpoint") if base else (
+        output_dir(spark, "rollup-stream"), run_dir(spark, "rollup-stream"))
+    out = rollup_stream(sample_feed(spark, sf_dir, options), fx.targets(spark), interval, delay)
+    start(out.writeStream.outputMode("append").format("parquet").option("path", out_dir),
+          checkpoint, trigger)
+    return out_dir

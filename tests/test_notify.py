@@ -31,10 +31,10 @@ def test_bad_bodies_are_quarantined(spark):
 
 def test_order_request_decode_ignores_id_and_number(spark):
     bodies = spark.createDataFrame([
-        ('{"id": 7, "orderNumber": "client", "requestId": "r1", "skuCode": "sku_1", "price": 12.5,'
-         ' "quantity": 2, "userDetails": {"email": "e@x", "firstName": "F", "lastName": "L"}}',),
-        ('{"requestId": "r2", "skuCode": "sku_2", "price": 1, "quantity": 1}',),
-    ], "value string")
+        ("r1", '{"id": 7, "orderNumber": "client", "skuCode": "sku_1", "price": 12.5,'
+         ' "quantity": 2, "userDetails": {"email": "e@x", "firstName": "F", "lastName": "L"}}'),
+        ("r2", '{"skuCode": "sku_2", "price": 1, "quantity": 1}'),
+    ], "request_id string, value string")
     got = {r.request_id: r for r in D.decode_order_requests(bodies).collect()}
     assert str(got["r1"].price) == "12.50" and got["r1"].quantity == 2
     assert got["r1"].user_details.first_name == "F"
@@ -42,10 +42,24 @@ def test_order_request_decode_ignores_id_and_number(spark):
     assert "id" not in D.decode_order_requests(bodies).columns
 
 
+def test_request_bodies_that_do_not_parse_are_flagged(spark):
+    bodies = spark.createDataFrame([
+        ("a", '{"skuCode": "s", "price": 1, "quantity": 1'), ("b", "no json"), ("c", None),
+        ("d", '{"skuCode": "s", "price": "much", "quantity": 1}'), ("e", '{"skuCode": "s"}'),
+    ], "request_id string, value string")
+    got = {r.request_id: (r.rejected, r.sku_code) for r in D.decode_order_requests(bodies).collect()}
+    assert got == {"a": (True, None), "b": (True, None), "c": (True, None), "d": (True, None),
+                   "e": (False, "s")}
+
+
 def test_product_ids_are_stable_and_ignore_client_ids(spark):
     from shopflow.operators.catalog import build_products
-    bodies = spark.createDataFrame([('{"requestId": "p1", "id": "client", "name": "n", '
-                                     '"description": "d", "price": 3}',)], "value string")
+    body = '{"id": "client", "name": "n", "description": "d", "price": 3}'
+    bodies = spark.createDataFrame([("p1", body)], "request_id string, value string")
     a = build_products(D.decode_product_requests(bodies)).collect()[0]
     b = build_products(D.decode_product_requests(bodies)).collect()[0]
     assert a.id == b.id != "client" and len(a.id) == 36
+    more = spark.createDataFrame([("p1", body), ("p2", body), (None, body), ("p3", "{")],
+                                 "request_id string, value string")
+    made = build_products(D.decode_product_requests(more)).collect()
+    assert len({r.id for r in made}) == len(made) == 2

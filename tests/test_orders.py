@@ -54,24 +54,46 @@ def test_zero_and_negative_quantity_pass(spark):
 
 
 def test_lookup_failure_is_not_in_stock(spark):
-    r = spark.createDataFrame([("r1", "s", Decimal("1.00"), 1, USER), ("r2", "t", Decimal("1.00"), 1, USER)],
-                              REQ_SCHEMA)
-    answers = spark.createDataFrame([("t", 1, True)], "sku_code string, quantity int, answer boolean")
+    r = spark.createDataFrame([(k, "t" if k != "r3" else "none", Decimal("1.00"), 1, USER)
+                               for k in ("r1", "r2", "r3")], REQ_SCHEMA)
+    stock = spark.createDataFrame([(1, "t", 1)], INV_SCHEMA)
     got = {row.request_id: (row.in_stock, row.lookup_failed)
-           for row in O.stock_fallback(r, answers).collect()}
-    assert got == {"r1": (False, True), "r2": (True, False)}
+           for row in O.stock_fallback(r, stock, F.when(F.col("request_id") == "r1", True)).collect()}
+    assert got == {"r1": (False, True), "r2": (True, False), "r3": (False, False)}
 
 
 def test_line_total_and_order_row(spark):
     r = spark.createDataFrame([("r1", "s", Decimal("19.99"), 3, USER)], REQ_SCHEMA)
     o = O.build_orders(r, as_of=F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).collect()[0]
     assert o.price == Decimal("59.97")
-    assert dict(O.build_orders(r).dtypes)["price"] == "decimal(20,2)"
+    assert dict(O.build_orders(r).dtypes)["price"] == "decimal(29,2)"
     assert re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", o.order_number)
     again = O.build_orders(r).collect()[0]
     assert again.order_number == o.order_number          # deterministic across runs
 
 
+def test_largest_line_total(spark):
+    r = spark.createDataFrame([("r1", "s", Decimal("9999999999999999.99"), 2_000_000_000, USER)], REQ_SCHEMA)
+    assert O.build_orders(r).first().price == Decimal("9999999999999999.99") * 2_000_000_000
+
+
+def test_a_request_without_key_gets_no_number(spark):
+    r = spark.createDataFrame([(None, "s", Decimal("1.00"), 1, USER), (None, "s", Decimal("1.00"), 1, USER)],
+                              REQ_SCHEMA)
+    assert [x.order_number for x in O.build_orders(r).collect()] == [None, None]
+    stock = spark.createDataFrame([(1, "s", 1)], INV_SCHEMA)
+    flagged = O.with_outcome(O.with_stock_flag(r, stock)).collect()
+    assert [x.outcome for x in flagged] == [O.INVALID, O.INVALID]
+
+
+def test_ids_go_on_from_the_stored_ones(spark):
+    df = spark.createDataFrame([("b",), ("a",)], "order_number string")
+    first = O.surrogate_ids(df)
+    again = O.surrogate_ids(df, after=O.last_id(first)).orderBy("id").collect()
+    assert [(x.id, x.order_number) for x in again] == [(3, "a"), (4, "b")]
+    assert O.last_id(None) == 0
+
+
 def test_response_text(spark):
     df = spark.createDataFrame([("r1", "sku_9", O.OUT_OF_STOCK), ("r2", "sku_1", O.ACCEPTED)],
                                "request_id string, sku_code string, outcome string")
@@ -96,11 +118,10 @@ def test_unique_order_numbers(spark):
     assert [r.order_number for r in O.new_order_numbers(df, hist).collect()] == ["n1", "n1"]
 
 
-def test_keyed_inventory_lookup_is_exact(spark):
+def test_stock_predicate_is_exact(spark):
     from shopflow.sources import fixtures as fx
     from tests.conftest import MEDIUM
-    assert fx.inventory_lookup(spark, MEDIUM, "sku_1", 28).count() == 1
-    assert fx.inventory_lookup(spark, MEDIUM, "sku_01", 28).count() == 0     # not the same string
-    assert fx.inventory_lookup(spark, MEDIUM, "sku_1", 27).count() == 0      # equality, not "at least"
-    full = fx.inventory(spark, MEDIUM).where(O.stock_predicate("sku_1", 28))
-    assert full.collect() == fx.inventory_lookup(spark, MEDIUM, "sku_1", 28).collect()
+    inv = fx.inventory(spark, MEDIUM)
+    assert inv.where(O.stock_predicate("sku_1", 28)).count() == 1
+    assert inv.where(O.stock_predicate("sku_01", 28)).count() == 0     # not the same string
+    assert inv.where(O.stock_predicate("sku_1", 27)).count() == 0      # equality, not "at least"

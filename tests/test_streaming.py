@@ -4,26 +4,109 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shopflow.operators import decode as D
 from shopflow.operators import orders as O
 from shopflow.sources import fixtures as fx
 from shopflow.sources import sinks
 from shopflow.sources.storage import run_dir
 from shopflow.streaming.notify_stream import publish_events, run_notify_stream
-from shopflow.streaming.orders_stream import run_order_stream
+from shopflow.streaming.orders_stream import OrderStreamPaths, process_order_batch, run_order_stream
 from tests.conftest import SMALL
 
 
+REQUEST = '{"skuCode": "%s", "price": 2.5, "quantity": %d, "userDetails": {"email": "e@x", "firstName": "F", "lastName": "L"}}'
+
+
+def _feed(spark, path, *rows):
+    sinks.append(spark.createDataFrame(list(rows), "request_id string, value string"), path)
+
+
+def _stock(spark, *rows):
+    return lambda: spark.createDataFrame(list(rows), "id long, sku_code string, quantity int")
+
+
 def test_order_stream_matches_batch_and_replays_add_nothing(spark):
-    paths = run_order_stream(spark, SMALL)
+    topic = run_dir(spark, "requests-test")
+    sinks.append(fx.requests_json(spark, SMALL), topic)
+    stock = lambda: fx.inventory(spark, SMALL)
+    paths = run_order_stream(spark, topic, stock)
     orders = sinks.read_sink(spark, paths.orders)
     events = sinks.read_sink(spark, paths.events)
-    batch = O.build_orders(O.accepted_requests(spark, SMALL))
-    assert orders.count() == batch.count() == 113
+    whole = D.decode_order_requests(fx.requests_json(spark, SMALL)).where("not rejected").select("request_id")
+    batch = O.build_orders(O.accepted_requests(spark, SMALL).join(whole, "request_id", "left_semi"))
+    n = batch.count()
+    assert orders.count() == n > 100
+    assert orders.select("order_number").subtract(batch.select("order_number")).count() == 0
     assert orders.select("order_number").subtract(events.select("order_number")).count() == 0
     assert events.where(F.col("key").isNotNull()).count() == 0
+    assert sinks.read_sink(spark, paths.rejects).count() > 0
     # Same checkpoint again: the source has nothing new, the sinks stay as they are.
-    run_order_stream(spark, SMALL, paths)
-    assert sinks.read_sink(spark, paths.orders).count() == 113
+    run_order_stream(spark, topic, stock, paths)
+    assert sinks.read_sink(spark, paths.orders).count() == n
+
+
+def _paths(spark):
+    base = run_dir(spark, "orders-test")
+    return OrderStreamPaths(f"{base}/orders", f"{base}/events", f"{base}/rejects", f"{base}/cp")
+
+
+def test_a_replayed_batch_may_accept_less_or_nothing(spark):
+    paths = _paths(spark)
+    batch = spark.createDataFrame([(f"r{i}", REQUEST % (f"s{i}", 1)) for i in range(5)],
+                                  "request_id string, value string")
+    for stock, n in (((1, "s1", 1), (2, "s2", 1)), 2), (((1, "s1", 1),), 1), (((9, "none", 1),), 0):
+        process_order_batch(paths, _stock(spark, *stock), batch, 0)
+        orders = sinks.read_sink(spark, paths.orders)
+        assert orders.count() == sinks.read_sink(spark, paths.events).count() == n
+    process_order_batch(paths, _stock(spark, (2, "s2", 1)), batch, 1)
+    stored = sinks.read_sink(spark, paths.orders).collect()
+    assert [(r.id, r.request_id) for r in stored] == [(1, "r2")]
+
+
+def test_a_number_already_stored_is_never_stored_again(spark):
+    """Redelivered long after the window, in a batch of its own."""
+    paths, stock = _paths(spark), _stock(spark, (1, "s", 1))
+    one = spark.createDataFrame([("r1", REQUEST % ("s", 1))], "request_id string, value string")
+    two = one.unionByName(one.select(F.lit("r2").alias("request_id"), "value"))
+    process_order_batch(paths, stock, one, 0)
+    process_order_batch(paths, stock, two, 1)
+    process_order_batch(paths, stock, two, 2)
+    orders = sinks.read_sink(spark, paths.orders).orderBy("id").collect()
+    assert [(r.id, r.request_id) for r in orders] == [(1, "r1"), (2, "r2")]
+    assert sinks.read_sink(spark, paths.events).count() == 2
+
+
+def test_keyless_and_broken_requests_are_rejected_and_finite_batches(spark):
+    topic = run_dir(spark, "requests-odd")
+    for i in range(3):
+        _feed(spark, topic, (f"k{i}", REQUEST % ("s", 1)), (None, REQUEST % ("s", i)), (f"b{i}", "{"))
+    paths = run_order_stream(spark, topic, _stock(spark, (1, "s", 1)), _paths(spark),
+                             options={"maxFilesPerTrigger": "1"})
+    orders = sinks.read_sink(spark, paths.orders)
+    assert sorted(r.request_id for r in orders.collect()) == ["k0", "k1", "k2"]
+    assert sorted(r.id for r in orders.collect()) == [1, 2, 3]
+    assert orders.select("batch_id").distinct().count() > 1
+    assert sinks.read_sink(spark, paths.rejects).count() == 6
+
+
+def test_a_stream_can_keep_running(spark):
+    import time
+    topic = run_dir(spark, "requests-on")
+    paths, stock = _paths(spark), _stock(spark, (1, "s", 1))
+    _feed(spark, topic, ("k0", REQUEST % ("s", 1)))
+    run_order_stream(spark, topic, stock, paths, trigger={"processingTime": "200 milliseconds"})
+    query = next(q for q in spark.streams.active)
+    try:
+        query.processAllAvailable()
+        _feed(spark, topic, ("k1", REQUEST % ("s", 1)))
+        for _ in range(100):
+            query.processAllAvailable()
+            if sinks.read_sink(spark, paths.orders).count() == 2:
+                break
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert sinks.read_sink(spark, paths.orders).count() == 2
 
 
 def test_batch_partition_overwrite_is_idempotent(spark):
@@ -35,6 +118,8 @@ def test_batch_partition_overwrite_is_idempotent(spark):
     got = sinks.read_sink(spark, path)
     assert got.count() == 4
     assert sorted(r.batch_id for r in got.select("batch_id").distinct().collect()) == [0, 1]
+    sinks.write_batch(df.where("false"), path, 1)     # replayed once more, and now empty
+    assert sinks.read_sink(spark, path).count() == 2
 
 
 def test_notify_stream_outbox(spark):
@@ -49,18 +134,6 @@ def test_notify_stream_outbox(spark):
     assert dead.where(F.col("value").startswith('{"orderNumber":"0')).count() == dead.count()
 
 
-def test_health_stream_equals_batch(spark):
-    from shopflow.operators import telemetry as TL
-    from shopflow.operators.health import BreakerConfig, health_transitions
-    from shopflow.streaming.health_stream import run_health_stream
-    out = sinks.read_sink(spark, run_health_stream(spark, SMALL, "10 seconds"))
-    calls = fx.calls(spark, SMALL).withColumn(
-        "failed", TL.failed_call(F.col("error"), F.col("duration_s"), None))
-    batch = health_transitions(calls, BreakerConfig())
-    assert out.count() == batch.count() > 0
-    assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
-
-
 def test_redelivered_events_are_dropped_across_batches(spark):
     base = run_dir(spark, "redeliver")
     ev = fx.events_json(spark, SMALL)

@@ -57,6 +57,21 @@ def test_blocked_window_equals_brute_force(spark, window, block):
     assert (merged.n_calls == merged.n_calls_bf).all()
 
 
+def test_flag_changes_equal_brute_force_across_blocks(spark):
+    rnd = random.Random(11)
+    rows = [(f"i{k % 3}", k, T0 + timedelta(seconds=k // 2), rnd.random() < 0.5) for k in range(600)]
+    rated = TL.failure_rate(_calls(spark, rows), 5, num_partitions=4)
+    got = {(r.instance, r.event_id, r.healthy_before, r.healthy)
+           for r in TL.flag_changes(rated, block_rows=7).collect()}
+    want, last = set(), {}
+    for r in sorted(rated.collect(), key=lambda r: (r.instance, r.position)):
+        before = last.get(r.instance, False)
+        if r.flagged != before:
+            want.add((r.instance, r.event_id, not before, not r.flagged))
+        last[r.instance] = r.flagged
+    assert got == want and len(got) > 50
+
+
 def test_failed_call_time_limit(spark):
     df = spark.createDataFrame([(False, 3.5), (None, 1.0), (True, 0.1), (False, 3.0)],
                                "error boolean, duration_s double")
@@ -70,7 +85,7 @@ def test_routes(spark):
     access = spark.createDataFrame(
         [(1, "GET", "/api/product", True, 200), (2, "GET", "/aggregate/order-service/v3/api-docs", False, 200),
          (3, "POST", "/fallbackRoute", True, 200), (4, "GET", "/fallbackRoute", True, 200),
-         (5, "GET", "/nope", True, 200)],
+         (5, "GET", "/nope", True, 200), (6, "POST", "/api/order", False, 200)],
         "event_id bigint, method string, path string, ok boolean, status int")
     routed = TL.fallback_response(TL.rewrite_path(TL.classify_routes(access, fx.routes(spark))))
     got = {r.event_id: (r.route_id, r.forward_path, r.status, r.body) for r in routed.collect()}
@@ -79,6 +94,7 @@ def test_routes(spark):
     assert got[3] == (None, None, 404, None)
     assert got[4] == ("fallbackRoute", "/fallbackRoute", 200, None)
     assert got[5] == (None, None, 404, None)
+    assert got[6] == ("order_service", "/api/order", 404, None)     # the fallback serves GET only
 
 
 def test_log_parsers(spark):
@@ -90,6 +106,13 @@ def test_log_parsers(spark):
     assert (got[0].trace_id, got[0].span_id, got[0].message) == ("abc", "def", "hello, world")
     assert got[0].ts == datetime(2024, 1, 2, 3, 4, 5)
     assert (got[1].trace_id, got[1].span_id) == (None, None)
+    assert [r.parsed for r in got] == [True, True]
+    odd = spark.createDataFrame([("\tat shop.Handler.run(Handler.java:7)",), ("",), (None,),
+                                 ("2024-13-45 99:00:00 [e] l [a,b] - m",),
+                                 ("2024-01-02 03:04:05 [e] l [a,b] - m \x01 x",)], "line string")
+    for r in TL.parse_log_lines(odd).collect():
+        assert (r.parsed, r.ts, r.thread, r.trace_id, r.message) == (False, None, None, None, None)
+    assert [r[0] for r in lines.select(TL.line_trace_id(F.col("line"))).collect()] == ["abc", ""]
     triple = spark.createDataFrame([("t INFO [app,tid9,sid1] - m",), ("t INFO [app,,] - m",)], "line string")
     assert [r.trace_id for r in TL.extract_trace_id(triple).collect()] == ["tid9", None]
 
@@ -110,7 +133,10 @@ def test_histogram_cumulative(spark):
          (3, "t3", "app", 0.2, T0 + timedelta(seconds=5)), (4, "t4", "app", 50.0, T0)],
         "event_id bigint, trace_id string, application string, duration_s double, ts timestamp_ntz")
     h = {r.le: r for r in TL.duration_histogram(spans).collect()}
-    assert [h[k].cumulative for k in sorted(h)] == [1, 3, 4]
+    assert len(h) == len(TL.DEFAULT_BOUNDS) + 1               # every bound and +inf
+    assert [h[k].cumulative for k in sorted(h)] == [1, 1, 1, 1, 1, 3, 3, 3, 3, 3, 3, 4]
+    assert {(r.total_samples, float(r.total_s)) for r in h.values()} == {(4, 50.403)}
+    assert h[0.05].samples == 0 and h[0.05].max_s is None
     assert h[0.25].exemplar_trace_id == "t2"          # the latest sample of the bucket
     assert h[float("inf")].samples == 1
 
@@ -122,6 +148,11 @@ def test_trace_sample_keeps_whole_traces(spark):
     assert all(r["count"] == 10 for r in per_trace)
     assert 0 < len(per_trace) < 50
     assert TL.trace_sample(spans, 1.0).count() == 500
+    assert TL.trace_sample(spans, 0.0).count() == 0
+    many = spark.range(200_000).selectExpr("cast(id as string) as trace_id")
+    assert abs(TL.trace_sample(many, 0.00001 * 3).count() - 6) < 8     # finer than 1/65536
+    none = spark.createDataFrame([(1, None)], "event_id bigint, trace_id string")
+    assert [TL.trace_sample(none, p).count() for p in (0.5, 1.0)] == [0, 0]
 
 
 def test_sort_by_time_orders_each_label_set(spark):
