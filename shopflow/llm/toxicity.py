@@ -165,12 +165,16 @@ def _curve(x):
 _COUNTS = "entry string, t_rows long, t_uses long, c_rows long, c_uses long"
 
 
+#: Entries counted before a task hands their counts on.
+HELD_ENTRIES = 100_000
+
+
 def _count_entries(batches):
-    """Per batch, the rows that hold an entry and its uses, in toxic (t) and other
-    (c) rows. Entries: beginnings of words, and whole words (a blank after them);
-    the empty entry counts the words."""
+    """The rows that hold an entry and its uses, in toxic (t) and other (c) rows,
+    summed over some rows at a time. Entries: beginnings of words, and whole words
+    (a blank after them); the empty entry counts the words."""
+    rows, uses = (Counter(), Counter()), (Counter(), Counter())
     for batch in batches:
-        rows, uses = (Counter(), Counter()), (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                strict=True):
             words = Counter(words_of(fold(text or "")))
@@ -184,11 +188,18 @@ def _count_entries(batches):
                         own[w[:size]] += n
             rows[toxic].update(own.keys())
             uses[toxic].update(own)
-        entries = list(rows[0].keys() | rows[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(entries, pa.string())] + [pa.array([x[e] for e in entries], pa.int64())
-                                                for t in (1, 0) for x in (rows[t], uses[t])],
-            ["entry", "t_rows", "t_uses", "c_rows", "c_uses"])
+            if len(rows[0]) + len(rows[1]) > HELD_ENTRIES:
+                yield _counted(rows, uses)
+                rows, uses = (Counter(), Counter()), (Counter(), Counter())
+    yield _counted(rows, uses)
+
+
+def _counted(rows, uses):
+    entries = list(rows[0].keys() | rows[1].keys())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(entries, pa.string())] + [pa.array([x[e] for e in entries], pa.int64())
+                                            for t in (1, 0) for x in (rows[t], uses[t])],
+        ["entry", "t_rows", "t_uses", "c_rows", "c_uses"])
 
 
 def _surroundings(stems: frozenset[str]):
