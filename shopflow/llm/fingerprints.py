@@ -27,7 +27,7 @@ K, ELL, BINS = 3, 2, 64
 #: Bits of a position within a text (in steps, for longer texts).
 _POS_BITS = 24
 #: Rows that are neighbours by id and share a task, about; blocks at most.
-BLOCK_ROWS, MOST_BLOCKS = 2_000, 1 << 16
+BLOCK_ROWS, MOST_BLOCKS = 500, 1 << 16
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
