@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.llm.store import Store
+from shopflow.llm.store import Store, bounded_batches
 from shopflow.llm.words import buffers, chunks, mix, word_hashes
 
 SPAN, PARTS = 12, 4
@@ -214,6 +214,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     ``text_key`` is xxhash64 of the text."""
     spark = docs.sparkSession
     store = Store(spark, "decontaminate")
+    bounded_batches(spark)
     tests = store.save(
         items.select(F.col(item_id_col).alias("item_id"), F.lower(item_text_col).alias("text"))
              .mapInArrow(_item_rows, f"item_id {dict(items.dtypes)[item_id_col]}, words binary, "

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopflow.llm.fitting import hashed_fraction, remainder
+from shopflow.llm.store import bounded_batches
 
 UNKNOWN = "und"
 HOLD_OUT = 4
@@ -162,6 +163,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         fit_rows: int = FIT_ROWS, k: int = PROFILE) -> Profiles:
     """Profiles of the languages of rows whose crc32(id as text) mod 4 is not 2."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
                         F.col(text_col).alias("text")) \
         .where(F.col("lang").isNotNull() & (remainder(F.col("id"), HOLD_OUT) != 2))
@@ -194,6 +196,7 @@ def _predict_rows(profiles: Profiles):
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text"
              ) -> DataFrame:
     """(id_col, lang_pred, score) for every row."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .mapInArrow(_predict_rows(profiles),
                     f"id {dict(docs.dtypes)[id_col]}, lang_pred string, score double") \

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopflow.llm.components import connected_components
-from shopflow.llm.store import Store
+from shopflow.llm.store import Store, bounded_batches
 from shopflow.llm.words import buffers, chained, chunks, mix, word_hashes
 
 #: Largest size up to which the subset way is considered at all.
@@ -379,6 +379,7 @@ def ngram_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     within this run (null for the empty set), ``component_id`` is its least id."""
     spark, bound = docs.sparkSession, Bound(num, den)
     store = Store(spark, "ngram-join")
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     read = store.save(docs.select("id", F.xxhash64("text").alias("text_key"), "text")
                           .mapInArrow(_read_sets(k, bound), _SETS), "read")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopflow.llm.store import bounded_batches
 from shopflow.llm.tokens import encode, encoder
 
 LONGEST = 2048
@@ -68,6 +69,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          vocabulary: str | None = None, longest: int = LONGEST, end_id: int = END_ID) -> DataFrame:
     """A row per piece: id_col, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset (0: a piece is its whole sequence)."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .mapInArrow(_pack_rows(vocabulary, longest, end_id),
                     f"id {dict(docs.dtypes)[id_col]}, start long, length long, ids binary, "

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopflow.llm.store import bounded_batches
 from shopflow.llm.tokens import encoder
 
 KINDS = ("assign", "access", "hex", "random")
@@ -111,6 +112,7 @@ def _scan_rows(vocabulary: str | None, ratio: float):
 def scan_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
                  vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
     """The ``keep`` columns and secrets: array of (kind, start, end)."""
+    bounded_batches(docs.sparkSession)
     plain = docs.select(F.col(f"`{text_col}`").alias("text"),
                         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
@@ -148,6 +150,7 @@ def _redact_rows(vocabulary: str | None, ratio: float, mark: str):
 def redact_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None,
                    ratio: float = RATIO, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mark``."""
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
     # By position: other columns may have any name.

@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from shopflow.sources.storage import run_dir
 
 
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = (
+    "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "16m")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller record batches for Python workers, unless the session chose a size:
+    whole texts are large rows, and a worker holds a batch in several forms."""
+    now = spark.conf.get(BATCH_CONF, "")
+    if now.rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 class Store:
     """One run's tables. Not reused between runs."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.llm.store import Store
+from shopflow.llm.store import Store, bounded_batches
 
 KEY = b"surrogates"
 #: Redrawn values (about so many bytes) are broadcast at most, else joined.
@@ -320,6 +320,7 @@ def with_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY,
                     spans_col: str = "surrogates") -> DataFrame:
     """``docs`` with the text replaced, and the spans of surrogates in it."""
     store = Store(docs.sparkSession, "surrogates")
+    bounded_batches(docs.sparkSession)
     names = docs.columns
     plain = docs.select(F.col(f"`{text_col}`").alias("text"),
                         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)

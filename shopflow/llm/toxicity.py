@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.llm.fitting import hashed_fraction, remainder
+from shopflow.llm.store import bounded_batches
 
 #: Labelled rows that a lexicon is fitted on, about, at most.
 FIT_ROWS = 20_000
@@ -251,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """A model from the labelled rows whose crc32(id as text) mod 5 is not 0."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")) \
         .where(F.col("toxic").isin(0, 1) & (remainder(F.col("id"), HOLD_OUT) != 0))
     total = own.count()
@@ -325,6 +327,7 @@ def _score_rows(model: Model):
 
 def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with toxic_weight, toxic_matches and toxic_score (0 to 1)."""
+    bounded_batches(docs.sparkSession)
     out = ["toxic_weight", "toxic_matches", "toxic_score"]
     names = docs.columns
     # Positional names: other columns may have any name, also these.
