@@ -18,7 +18,7 @@ BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = (
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller record batches for Python workers, unless the session chose a size:
     whole texts are large rows, and a worker holds a batch in several forms."""
-    now = spark.conf.get(BATCH_CONF, "")
+    now = spark.conf.get(BATCH_CONF, str(BATCH_DEFAULT))
     if now.rstrip("b") == str(BATCH_DEFAULT):
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
