@@ -26,7 +26,7 @@ from shopflow.llm.store import Store
 
 N_SHARDS = 24
 SEED = 42
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 LAW = "rows"
 #: Bytes counted for a row besides its text.
 ROW_BYTES = 8
