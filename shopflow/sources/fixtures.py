@@ -111,12 +111,6 @@ SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' |
 FROM lineitem"""
 
 
-def order_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order key -> request time and the customer as user details."""
-    return _users_of(read_table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("order_key"), "o_custkey", "o_orderdate"), spark, sf_dir)
-
-
 def _users_of(keyed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = counted_broadcast(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     first = F.substring_index("c_name", "#", 1)
