@@ -25,6 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +59,19 @@ ENDINGS = {
 
 _WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][\w'’-]+"
 PATTERNS = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<![\w.-])[3-6]\d{3}(?:(?P<sep>[ -]?)\d{4})(?:(?P=sep)\d{4})(?:(?P=sep)\d{1,4})(?![\w]|-\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}(?![\w]))"
     r"|(?P<name>\b(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
     + r")\b\.?[ ](?P<who>" + _WORD + r"(?:[ ]" + _WORD + r")?))")
+_DIGIT = re.compile(r"\d")
+_TITLED = ahocorasick.Automaton()
+for _title in TITLES:
+    for _end in (" ", ". "):
+        _TITLED.add_word(_title + _end, True)
+_TITLED.make_automaton()
 KINDS = ("email", "ip", "card", "ssn", "phone", "name")
 
 
@@ -228,8 +235,16 @@ def poured(kind: str, found: str, new: str) -> str:
     return found[:head] + "".join(next(digits) if c.isdigit() else c for c in found[head:])
 
 
+def may_hold_entities(text: str) -> bool:
+    """False only for texts without a digit, an @ and a title: no pattern can match."""
+    return ("@" in text or _DIGIT.search(text) is not None
+            or next(_TITLED.iter(text), None) is not None)
+
+
 def entities(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, kind, as found, normal form) from left to right."""
+    if not may_hold_entities(text):
+        return
     for m in PATTERNS.finditer(text):
         kind = next(k for k in KINDS if m.group(k))
         if kind == "name":

@@ -113,3 +113,11 @@ def test_odd_rows(odd_docs, no_docs, odd_rows):
     assert rows.columns == odd_docs.columns + ["surrogates"]
     assert sorted(str(tuple(r)[:10]) for r in rows.collect()) == sorted(map(str, odd_rows))
     assert S.with_surrogates(no_docs).collect() == []
+
+
+def test_the_quick_look_loses_nothing(spark):
+    """Texts that are not searched hold no entity."""
+    texts = [r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("text").collect()]
+    texts += ["Mr. Smith", "Frau Weber", "a@b.de", "10.1.1.1", "γκαι κυρία Ελένη", "", "Dr Who", "Mr.Smith"]
+    skipped = [t for t in texts if not S.may_hold_entities(t)]
+    assert len(skipped) > 500 and not any(S.PATTERNS.search(t) for t in skipped)
