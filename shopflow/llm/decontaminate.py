@@ -208,7 +208,7 @@ def _verify(min_overlap: int, min_match: float):
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", item_id_col: str = "item_id",
                   item_text_col: str = "text", min_overlap: int = 13,
-                  min_match: float = 0.8) -> DataFrame:
+                  min_match: float = 0.7) -> DataFrame:
     """(id_col, text_key, item_id, first_word, overlap, matched): for each document
     row and item that overlap, the overlap with the most matching words.
     ``text_key`` is xxhash64 of the text."""
