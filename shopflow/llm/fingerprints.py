@@ -59,7 +59,7 @@ def order_minhash(text: Column, k: int = K, ell: int = ELL, bins: int = BINS) ->
         step = F.shiftright(F.size(h), _POS_BITS) + 1
         return F.sort_array(F.transform(h, lambda x, i: F.shiftleft(
             F.shiftrightunsigned(x, 64 - 39), _POS_BITS).bitwiseOR(
-            F.expr("cast(0 as bigint)") + F.floor(i / step))))
+            F.floor(i / step))))
 
     def numbered(s: Column) -> Column:
         """Number of each occurrence among its k-mer's, in the order of ``s``."""

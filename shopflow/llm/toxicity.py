@@ -45,6 +45,8 @@ LEAST_SHARE, LEAST_ROWS = 0.005, 5
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 8.0
 #: Standard errors by which its shares of toxic and of other rows differ.
 LEAST_Z = 5.0
+#: Places to which densities are rounded for fitting the curve.
+DENSITY_DIGITS = 3
 #: Different surroundings (the words before and after) that an entry has in toxic
 #: rows, relative to their number: copies of one text tell only once.
 LEAST_VARIETY = 0.7
@@ -233,14 +235,15 @@ def choose_lexicon(stems: dict[str, tuple[int, float]]) -> dict[str, float]:
     return kept
 
 
-def fit_curve(weights: np.ndarray, n_words: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton steps, with a small ridge."""
-    x = np.column_stack([np.ones(len(toxic)), _density(weights, n_words)])
+def fit_curve(density: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope by Newton steps, with a small ridge; ``rows`` counts the
+    rows of each density and label."""
+    x = np.column_stack([np.ones(len(toxic)), density])
     b = np.zeros(2)
     for _ in range(50):
         p = _curve(x @ b)
-        grad = x.T @ (toxic - p) - 0.1 * b
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        grad = x.T @ (rows * (toxic - p)) - 0.1 * b
+        hess = (x * (rows * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         b += step
         if np.abs(step).max() < 1e-8:
@@ -254,10 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     bounded_batches(spark)
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")) \
-        .where(F.col("toxic").isin(0, 1) & (remainder(F.col("id"), HOLD_OUT) != 0))
+        .where(F.col("toxic").isin(0, 1) & (remainder(F.col("id"), HOLD_OUT) != 0)).distinct()
     total = own.count()
     chosen = hashed_fraction(own, "id", F.lit(min(1.0, fit_rows / max(1, total))))
-    # About fit_rows rows of twelve bytes at most: a bounded side.
+    # About fit_rows rows of twelve bytes at most, one per id and label: a bounded side.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .join(F.broadcast(chosen), "id").select("text", "toxic")
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -294,9 +297,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .join(F.broadcast(begins), "stem", "left_semi").select("entry").distinct().collect()
     counts.unpersist()
     model = Model(lexicon, EXCEPTION_PHRASES + tuple(sorted(r["entry"].strip() for r in odd)))
-    seen = rows.mapInArrow(_weigh_rows(model), "weight double, n_words long, toxic int").collect()
-    w, n, t = (np.array(x, float) for x in zip(*seen, strict=True))
-    model.intercept, model.slope = fit_curve(w, n, t)
+    # The curve is fitted to a histogram of densities, a few thousand rows at most.
+    seen = rows.mapInArrow(_weigh_rows(model), "density double, toxic int") \
+        .groupBy("density", "toxic").count().collect()
+    x, t, n = (np.array(v, float) for v in zip(*seen, strict=True))
+    model.intercept, model.slope = fit_curve(x, t, n)
     return model
 
 
@@ -304,10 +309,9 @@ def _weigh_rows(model: Model):
     def run(batches):
         for batch in batches:
             got = [model.weigh(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0] for g in got], pa.float64()),
-                 pa.array([g[2] for g in got], pa.int64()), batch.column(1)],
-                ["weight", "n_words", "toxic"])
+            density = _density([g[0] for g in got], [g[2] for g in got]).round(DENSITY_DIGITS)
+            yield pa.RecordBatch.from_arrays([pa.array(density, pa.float64()), batch.column(1)],
+                                             ["density", "toxic"])
     return run
 
 
