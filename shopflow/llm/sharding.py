@@ -40,13 +40,15 @@ def _prefix(counted: DataFrame, bucket: str, by: list[str]) -> DataFrame:
 
 def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, id_col: str = "doc_id",
                source_col: str = "source", text_col: str = "text",
-               bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+               bucket_rows: int = BUCKET_ROWS, row_col: str | None = None) -> DataFrame:
     """(id, source, size, text_crc32, shard, slot) for every row; slots count from
-    0 without gaps in each shard, in the interleaved order."""
+    0 without gaps in each shard, in the interleaved order. ``row_col``, if given,
+    is carried along as ``row``; it has no part in the order."""
     store = Store(docs.sparkSession, "sharding")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
     rows = store.save(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32")).withColumn(
         "place", F.xxhash64("id", "text_crc32", "size", F.lit(seed))), "rows")
@@ -63,7 +65,7 @@ def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, id_c
               ["source_key", "bucket"]) \
         .withColumn("share", (2 * (F.col("before") + F.col("inside")) + 1)
                     / (2 * F.col("source_rows")).cast("double")) \
-        .select("id", "source", "source_key", "size", "text_crc32", "place", "share",
+        .select("row", "id", "source", "source_key", "size", "text_crc32", "place", "share",
                 F.floor(F.col("share") * (1 << bits)).alias("stretch"))
     ranked = store.save(ranked, "ranked")
     # One row per stretch of the order: rows of the table over bucket_rows.
@@ -75,4 +77,30 @@ def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, id_c
     shard = F.expr(f"(position * {n_shards}) div {max(1, total)}")
     return ordered.withColumn("shard", shard.cast("int")).select(
         F.col("id").alias(id_col), "source", "size", "text_crc32", "shard",
-        F.expr(f"position - (shard * {total}L + {n_shards - 1}) div {n_shards}").alias("slot"))
+        F.expr(f"position - (shard * {total}L + {n_shards - 1}) div {n_shards}").alias("slot"),
+        *(["row"] if row_col else []))
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS, seed: int = SEED,
+                 id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> None:
+    """Writes every column of ``docs`` into folders ``_shard=<n>``, in slot order, with
+    a column ``_slot``. Rows are numbered in a written copy, so each finds its own
+    place again, however many are alike; the copy is removed."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    store = Store(docs.sparkSession, "write-shards")
+    kept = store.save(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    at = {c: f"c{names.index(c)}" for c in (id_col, source_col, text_col)}
+    placed = shard_rows(kept, n_shards, seed, at[id_col], at[source_col], at[text_col], row_col="row")
+    shard, slot = (_free(c, names) for c in ("_shard", "_slot"))
+    out = kept.join(placed.select("row", "shard", "slot"), "row").drop("row") \
+        .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot") \
+        .toDF(*names, shard, slot)
+    out.write.partitionBy(shard).parquet(path)
+    store.drop(kept)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name

@@ -72,7 +72,8 @@ def test_tuples_hold_the_smallest_in_text_order(spark):
 
 
 def test_next_in_blocks_and_ties(spark):
-    rows = [(i * 7 % 1000 - 300, f"t{i}") for i in range(0, 1000, 3)] + [(50, "x"), (50, "y"), (None, "n"), (None, None)]
+    rows = [(i * 7 % 1000 - 300, f"t{i}") for i in range(0, 1000, 3)]
+    rows += [(50, "x"), (50, "y"), (None, "n"), (None, None)]
     df = spark.createDataFrame(rows, "id long, text string").repartition(6)
     key = {r["text"]: r["k"] for r in df.selectExpr(
         "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as k").collect()}

@@ -2,7 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from shopflow.llm.queries import QUERIES
-from shopflow.llm.sharding import N_SHARDS, shard_rows
+from shopflow.llm.sharding import N_SHARDS, shard_rows, write_shards
 
 from .conftest import MEDIUM
 
@@ -73,3 +73,17 @@ def test_hot_source_is_spread_over_buckets(spark):
     for s in range(7):
         own = [r["source"] for r in rows if r["shard"] == s]
         assert abs(own.count("rare") - len(own) / 3) < 2
+
+
+def test_written_shards_hold_every_row_in_its_place(spark, odd_docs, no_docs, tmp_path):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    write_shards(docs, str(tmp_path / "a"), 6)
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    want = {r["doc_id"]: (r["shard"], r["slot"]) for r in shard_rows(docs, 6).collect()}
+    assert {r["doc_id"]: (r["_shard"], r["_slot"]) for r in back.collect()} == want
+    odd = odd_docs.withColumnRenamed("c0", "_slot")
+    write_shards(odd, str(tmp_path / "b"), 3)
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert sorted(map(str, back.select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
+    write_shards(no_docs, str(tmp_path / "c"), 3)
