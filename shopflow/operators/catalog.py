@@ -24,5 +24,6 @@ def product_id(request_id) -> F.Column:
 def build_products(decoded: DataFrame) -> DataFrame:
     """Request -> product; a client-side id is never taken over. Bodies that
     did not parse and requests without a key make no product."""
-    return decoded.where(~F.col("rejected") & F.col("request_id").isNotNull()).select(product_id(F.col("request_id")).alias("id"),
+    usable = ~F.col("rejected") & F.col("request_id").isNotNull()
+    return decoded.where(usable).select(product_id(F.col("request_id")).alias("id"),
                           "name", "description", "price")

@@ -35,5 +35,5 @@ def render_sql(source: str) -> str:
     parts = [p.replace("'", "''") for p in BODY_PARTS]
     body = (f"'{parts[0]}' || {first} || '{parts[1]}' || {last} || '{parts[2]}' || {number}"
             f" || '{parts[3]}'")
-    return (f"SELECT order_number, '{SENDER}' AS from_email, email AS to_email, '{C.SUBJECT_PREFIX}' || order_number AS subject, "
-            f"{body} AS html_body FROM {source}")
+    return (f"SELECT order_number, '{SENDER}' AS from_email, email AS to_email, "
+            f"'{C.SUBJECT_PREFIX}' || order_number AS subject, {body} AS html_body FROM {source}")

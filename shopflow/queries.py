@@ -22,7 +22,7 @@ from shopflow.operators import telemetry as TL
 from shopflow.operators.notify import render_notifications, render_sql
 from shopflow.sources import fixtures as fx
 from shopflow.sources import sinks
-from shopflow.sources.storage import output_dir, run_dir
+from shopflow.sources.storage import output_dir
 from shopflow.sources.tables import read_table
 from shopflow.streaming.notify_stream import publish_events, run_notify_stream, run_source_only
 from shopflow.streaming.orders_stream import run_order_stream
@@ -620,8 +620,9 @@ def q_log_sort_by_time(spark, sf_dir):
 
 @query("trace_log_join", _with(W_SPANS, W_LOGS) + f"""
 SELECT p.trace_id, p.event_id, s.n_spans, s.trace_start
-FROM (SELECT event_id, regexp_extract(line, '{C.LOG_TRACE_ID_PATTERN}', 1) AS trace_id FROM logs) p JOIN (SELECT trace_id, count(*) AS n_spans, min(ts) AS trace_start FROM spans
-                    WHERE trace_id IS NOT NULL AND trace_id <> '' GROUP BY trace_id) s
+FROM (SELECT event_id, regexp_extract(line, '{C.LOG_TRACE_ID_PATTERN}', 1) AS trace_id FROM logs) p
+JOIN (SELECT trace_id, count(*) AS n_spans, min(ts) AS trace_start FROM spans
+      WHERE trace_id IS NOT NULL AND trace_id <> '' GROUP BY trace_id) s
   ON p.trace_id = s.trace_id""")
 def q_trace_log_join(spark, sf_dir):
     logs = fx.log_lines(spark, sf_dir).select(

@@ -47,7 +47,8 @@ def test_entry_works_without_the_training_data_folder(tmp_path):
         if item.name not in ("llm", "__pycache__"):
             (package / item.name).symlink_to(item)
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
-    code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert q.keys() == o.keys(); print(len(q))"
+    code = ("import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); "
+            "assert q.keys() == o.keys(); print(len(q))")
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True,
                          env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, timeout=120, check=False)
     assert out.returncode == 0, out.stderr

@@ -14,7 +14,8 @@ from shopflow.streaming.orders_stream import OrderStreamPaths, process_order_bat
 from tests.conftest import SMALL
 
 
-REQUEST = '{"skuCode": "%s", "price": 2.5, "quantity": %d, "userDetails": {"email": "e@x", "firstName": "F", "lastName": "L"}}'
+REQUEST = ('{"skuCode": "%s", "price": 2.5, "quantity": %d, '
+           '"userDetails": {"email": "e@x", "firstName": "F", "lastName": "L"}}')
 
 
 def _feed(spark, path, *rows):
