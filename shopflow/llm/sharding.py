@@ -7,7 +7,7 @@ Sorted by that, the sources interleave in proportion, and cutting the order into
 differ by one at most; each source's share of a shard is off by less than two
 rows.
 
-Both ranks come from a prefix sum over buckets of about ``bucket_rows`` rows plus
+Both ranks come from prefix sums over buckets of about ``bucket_rows`` rows plus
 a rank inside the bucket, so a source (or a hash range) of any size is spread
 over tasks. Only ids, sizes and checksums are shuffled; texts are read once.
 
@@ -26,16 +26,27 @@ from shopflow.llm.store import Store
 
 N_SHARDS = 24
 SEED = 42
-BUCKET_ROWS = 5_000
+BUCKET_ROWS = 1_000
+#: Bits by which bucket numbers are made coarse for the outer prefix sum.
+COARSE_BITS = 12
 LAW = "rows"
 #: Bytes counted for a row besides its text.
 ROW_BYTES = 8
 
 
 def _prefix(counted: DataFrame, bucket: str, by: list[str]) -> DataFrame:
-    """Rows in earlier buckets (of the same ``by`` columns)."""
-    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    """Rows in earlier buckets (of the same ``by`` columns): a running sum over
+    4,096 buckets at a time, and one over their totals, so that no task sees more
+    than a few rows per million of the table."""
+    earlier = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    fine = counted.withColumn("coarse", F.shiftright(bucket, COARSE_BITS))
+    totals = fine.groupBy(*by, "coarse").agg(F.sum("rows").alias("total")).withColumn(
+        "skipped", F.coalesce(F.sum("total").over(earlier(by, "coarse")), F.lit(0))).drop("total")
+    return fine.withColumn("before", F.coalesce(
+        F.sum("rows").over(earlier([*by, "coarse"], bucket)), F.lit(0))) \
+        .join(totals, [*by, "coarse"]).withColumn("before", F.col("before") + F.col("skipped")) \
+        .drop("coarse", "skipped")
 
 
 def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, id_col: str = "doc_id",
@@ -68,7 +79,7 @@ def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = SEED, id_c
         .select("row", "id", "source", "source_key", "size", "text_crc32", "place", "share",
                 F.floor(F.col("share") * (1 << bits)).alias("stretch"))
     ranked = store.save(ranked, "ranked")
-    # One row per stretch of the order: rows of the table over bucket_rows.
+    # One row per stretch of the order: the table's rows over bucket_rows.
     stretches = ranked.groupBy("stretch").agg(F.count(F.lit(1)).alias("rows"))
     within = Window.partitionBy("stretch").orderBy("share", "place", "source_key", "id", "text_crc32")
     ordered = ranked.withColumn("within", F.row_number().over(within) - 1) \

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+from shopflow.llm import sharding as S
 from shopflow.llm.queries import QUERIES
 from shopflow.llm.sharding import N_SHARDS, shard_rows, write_shards
 
@@ -58,6 +59,15 @@ def test_order_is_the_sort_by_fractional_rank(spark):
     assert [r["doc_id"] for r in got] == [d for *_, d in order]
 
 
+def test_prefix_sums_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(S, "COARSE_BITS", 2)
+    docs = spark.range(500).selectExpr("id as doc_id", "string(id) as text", "string(id % 3) as source")
+    small = shard_rows(docs, 5, bucket_rows=4).collect()
+    _check_law(small, 5)
+    monkeypatch.undo()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, shard_rows(docs, 5).collect()))
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = shard_rows(odd_docs, 3).collect()
     assert len(rows) == 10
