@@ -60,9 +60,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     store = Store(spark, "near-duplicates")
     rows = store.save(ngram_classes(plain, WORDS, *SIMILAR, id_col, text_col)
                       .where("class_id is not null"), "classes")
-    stays = rows.groupBy("class_id").agg(F.min(F.struct(
-        F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("k")) \
-        .select("class_id", F.col("k.id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
+    # Written, so that the join below has two plain sides and a hot class is split.
+    stays = store.save(rows.groupBy("class_id").agg(F.min(F.struct(
+        F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("k")).select(
+        "class_id", F.col("k.id").alias("kept_id"), F.col("k.text_key").alias("kept_key")), "stays")
     judged = rows.join(stays, "class_id").withColumn(
         "stays", F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")))
     rejected = store.save(judged.where("not stays").select("id", "text_key").distinct(), "rejected")
