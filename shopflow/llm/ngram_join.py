@@ -304,8 +304,7 @@ def scan_lists(sids: np.ndarray, sets: list[np.ndarray], bound: Bound) -> list[t
 
 def _scan_groups(bound: Bound):
     def finish(sids, sets):
-        found = scan_lists(np.array(sids), sets, bound) if len(sets) > 1 else []
-        return found
+        return scan_lists(np.array(sids), sets, bound) if len(sets) > 1 else []
 
     def run(batches):
         key, sids, sets, out = None, [], [], []
