@@ -24,6 +24,23 @@ def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -
     df.write.mode("overwrite").format(fmt).save(f"{path}/batch_id={batch_id}")
 
 
+def clear_batch(spark: SparkSession, paths: tuple[str, ...], batch_id: int) -> bool:
+    """Remove what batch ``batch_id`` wrote to the sinks. False, and nothing done,
+    where a sink would be left without any folder to read: the batch then writes
+    its empty table."""
+    own = f"batch_id={batch_id}"
+    for path in paths:
+        files, target = file_system(spark, path)
+        others = [f for f in files.listStatus(target) if f.getPath().getName() != own] \
+            if files.exists(target) else []
+        if not others:
+            return False
+    for path in paths:
+        files, target = file_system(spark, f"{path}/{own}")
+        files.delete(target, True)
+    return True
+
+
 def read_sink(spark: SparkSession, path: str, schema: str | None = None,
               fmt: str = "parquet") -> DataFrame:
     reader = spark.read.format(fmt)

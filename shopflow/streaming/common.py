@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+# Commits upload what changed; counting all keys on every write is left out.
+ROCKSDB_CONF = {
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A micro-batch takes so many files or topic records at most, unless the reader
 #: options say otherwise; history is read batch by batch.
@@ -45,3 +49,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     """State off the heap, unless the session chose a store itself."""
     if spark.conf.get(STATE_STORE_CONF, "").endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set(STATE_STORE_CONF, ROCKSDB)
+    for key, value in ROCKSDB_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)

@@ -64,6 +64,22 @@ def test_a_replayed_batch_may_accept_less_or_nothing(spark):
     assert [(r.id, r.request_id) for r in stored] == [(1, "r2")]
 
 
+def test_an_empty_replay_clears_its_batch(spark):
+    paths, stock = _paths(spark), _stock(spark, (1, "s", 1))
+    none = spark.createDataFrame([], "request_id string, value string")
+    process_order_batch(paths, stock, none, 0)                # nothing yet: empty tables
+    assert sinks.read_sink(spark, paths.orders).count() == 0
+    one = spark.createDataFrame([("r1", REQUEST % ("s", 1))], "request_id string, value string")
+    process_order_batch(paths, stock, one, 0)
+    assert sinks.read_sink(spark, paths.orders).count() == 1
+    process_order_batch(paths, stock, none, 0)                # the only batch
+    assert sinks.read_sink(spark, paths.orders).count() == 0
+    process_order_batch(paths, stock, one, 1)
+    process_order_batch(paths, stock, none, 1)                # one of several
+    for path in (paths.orders, paths.events, paths.rejects):
+        assert sinks.read_sink(spark, path).count() == 0
+
+
 def test_a_number_already_stored_is_never_stored_again(spark):
     """Redelivered long after the window, in a batch of its own."""
     paths, stock = _paths(spark), _stock(spark, (1, "s", 1))
