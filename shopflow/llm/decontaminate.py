@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.llm.store import Store, bounded_batches
+from shopflow.llm.store import Store, bounded_batches, tidied
 from shopflow.llm.words import buffers, chunks, mix, word_hashes
 
 SPAN, PARTS = 12, 4
@@ -226,7 +226,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     regions = store.save(
         docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"),
                     F.lower(text_col).alias("text"))
-            .mapInArrow(_regions(bits), f"id {dict(docs.dtypes)[id_col]}, text_key long, "
+            .mapInArrow(tidied(_regions(bits)), f"id {dict(docs.dtypes)[id_col]}, text_key long, "
                                         f"start int, words binary, hits {_HITS}")
             .withColumn("rid", F.monotonically_increasing_id()), "regions")
     train = regions.select("rid", F.explode("hits").alias("h")).select(

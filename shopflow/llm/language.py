@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopflow.llm.fitting import hashed_fraction, remainder
-from shopflow.llm.store import bounded_batches
+from shopflow.llm.store import bounded_batches, tidied
 
 UNKNOWN = "und"
 HOLD_OUT = 4
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     part = spark.createDataFrame([(r["lang"], min(1.0, fit_rows / r["count"])) for r in sizes],
                                  "lang string, part double")
     rows = hashed_fraction(known.join(F.broadcast(part), "lang"), "id", F.col("part"))
-    counted = rows.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long") \
+    counted = rows.select("lang", "text").mapInArrow(tidied(_count_grams), "lang string, gram long, n long") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list[int]] = {}
@@ -198,6 +198,6 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     """(id_col, lang_pred, score) for every row."""
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
-        .mapInArrow(_predict_rows(profiles),
+        .mapInArrow(tidied(_predict_rows(profiles)),
                     f"id {dict(docs.dtypes)[id_col]}, lang_pred string, score double") \
         .withColumnRenamed("id", id_col)

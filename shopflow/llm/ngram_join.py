@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopflow.llm.components import connected_components
-from shopflow.llm.store import Store, bounded_batches
+from shopflow.llm.store import Store, bounded_batches, tidied
 from shopflow.llm.words import buffers, chained, chunks, mix, word_hashes
 
 #: Largest size up to which the subset way is considered at all.
@@ -235,7 +235,7 @@ def surviving(sets: DataFrame, bound: Bound, x: int) -> DataFrame:
     of a set, which bounds the part of all rows that one key can have.
     """
     heavy = sets.where(F.col("n") >= max(1, bound.least(x + 1))).select("sid", "n", "head")
-    rows = heavy.mapInArrow(_explode_shingles(bound.head), "token long, sid long, n long")
+    rows = heavy.mapInArrow(tidied(_explode_shingles(bound.head)), "token long, sid long, n long")
     shared = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))) \
                  .where("df > 1")
     need = f"((n * {bound.num} + {bound.den - 1}) div {bound.den})"
@@ -246,7 +246,7 @@ def surviving(sets: DataFrame, bound: Bound, x: int) -> DataFrame:
 def rare_lists(whole: DataFrame, bound: Bound) -> DataFrame:
     """List entries (token, sid): each set's rarest shingles, as many as a link
     cannot do without, left out where no other set holds them."""
-    rows = whole.mapInArrow(_explode_shingles(None), "token long, sid long, n long")
+    rows = whole.mapInArrow(tidied(_explode_shingles(None)), "token long, sid long, n long")
     shared = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))) \
                  .where("df > 1")
     own = Window.partitionBy("sid")
@@ -342,7 +342,7 @@ def heavy_links(store: Store, docs: DataFrame, sets: DataFrame, bound: Bound, x:
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
     whole = store.save(
-        texts.mapInArrow(_whole_sets(k), "digest binary, shingles binary")
+        texts.mapInArrow(tidied(_whole_sets(k)), "digest binary, shingles binary")
              .join(alive.select("sid", "digest", "n"), "digest")
              .groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")),
         "whole")
@@ -364,7 +364,7 @@ def heavy_links(store: Store, docs: DataFrame, sets: DataFrame, bound: Bound, x:
     grouped = blocks.select("label", F.least("own", "other").alias("i"),
                             F.greatest("own", "other").alias("j"), "sid", "shingles") \
         .repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    found = store.save(grouped.mapInArrow(_scan_groups(bound), "a long, b long"), "links")
+    found = store.save(grouped.mapInArrow(tidied(_scan_groups(bound)), "a long, b long"), "links")
     for done in (whole, clusters, alive):
         store.drop(done)
     return found
@@ -381,7 +381,7 @@ def ngram_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     read = store.save(docs.select("id", F.xxhash64("text").alias("text_key"), "text")
-                          .mapInArrow(_read_sets(k, bound), _SETS), "read")
+                          .mapInArrow(tidied(_read_sets(k, bound)), _SETS), "read")
     rows = store.save(read.select("id", "text_key", "digest", "n"), "rows")
     sets = store.save(
         read.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"),

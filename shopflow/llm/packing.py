@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.llm.store import bounded_batches
+from shopflow.llm.store import bounded_batches, tidied
 from shopflow.llm.tokens import encode, encoder
 
 LONGEST = 2048
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_tokens, sequence_id, offset (0: a piece is its whole sequence)."""
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
-        .mapInArrow(_pack_rows(vocabulary, longest, end_id),
+        .mapInArrow(tidied(_pack_rows(vocabulary, longest, end_id)),
                     f"id {dict(docs.dtypes)[id_col]}, start long, length long, ids binary, "
                     "doc_tokens long") \
         .select(F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens",

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.llm.store import bounded_batches
+from shopflow.llm.store import bounded_batches, tidied
 from shopflow.llm.tokens import encoder
 
 KINDS = ("assign", "access", "hex", "random")
@@ -116,7 +116,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     plain = docs.select(F.col(f"`{text_col}`").alias("text"),
                         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
-    found = plain.mapInArrow(_scan_rows(vocabulary, ratio), f"{schema}, "
+    found = plain.mapInArrow(tidied(_scan_rows(vocabulary, ratio)), f"{schema}, "
                              "secrets array<struct<kind:string,start:long,end:long>>")
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "secrets")
 
@@ -156,5 +156,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", vocabulary: str | No
     # By position: other columns may have any name.
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     ordered = plain.select(f"c{at}", *[c for c in plain.columns if c != f"c{at}"])
-    return ordered.mapInArrow(_redact_rows(vocabulary, ratio, mark), ordered.schema) \
+    return ordered.mapInArrow(tidied(_redact_rows(vocabulary, ratio, mark)), ordered.schema) \
         .select(*plain.columns).toDF(*names)

@@ -6,13 +6,16 @@ of executors, and is compressed; ``drop`` frees it once its readers are done.
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.sources.storage import run_dir
 
 
 BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = (
-    "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "16m")
+    "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "8m")
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -23,6 +26,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 
+def tidied(run):
+    """``run`` for mapInArrow; at the end of a partition, memory that was freed goes
+    back to the system. Workers live on between tasks, and two share an executor."""
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):   # not glibc
+            pass
+    return wrapped
+
+
 class Store:
     """One run's tables. Not reused between runs."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.llm.store import Store, bounded_batches
+from shopflow.llm.store import Store, bounded_batches, tidied
 
 KEY = b"surrogates"
 #: Redrawn values (about so many bytes) are broadcast at most, else joined.
@@ -293,7 +293,7 @@ def redrawn_values(store: Store, docs: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) of the values whose first surrogate met another's or
     a real value; distinct from all others."""
     schema = "kind string, value string, attempt int, surrogate string"
-    values = docs.select("text").mapInArrow(_distinct_rows, "kind string, value string").distinct()
+    values = docs.select("text").mapInArrow(tidied(_distinct_rows), "kind string, value string").distinct()
     table = store.save(values.withColumn("attempt", F.lit(0)).mapInArrow(_drawn(key), schema), "drawn")
     while True:
         real = table.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
@@ -358,7 +358,7 @@ def with_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY,
             .join(redrawn, ["kind", "value"]).groupBy("text_key").agg(
             F.collect_list(F.struct("kind", "value", "surrogate")).alias("own"))
         ready = keyed.join(needed, "text_key", "left").select("text", "own", *kept)
-    done = ready.mapInArrow(_replace_rows(key, shared), (schema + ", " if schema else "")
+    done = ready.mapInArrow(tidied(_replace_rows(key, shared)), (schema + ", " if schema else "")
                             + "new_text string, spans array<struct<kind:string,start:long,end:long>>")
     return done.select(*[F.col("new_text").alias(c) if c == text_col else F.col(f"c{i}").alias(c)
                          for i, c in enumerate(names) if c != spans_col],

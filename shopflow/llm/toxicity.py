@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.llm.fitting import hashed_fraction, remainder
-from shopflow.llm.store import bounded_batches
+from shopflow.llm.store import bounded_batches, tidied
 
 #: Labelled rows that a lexicon is fitted on, about, at most.
 FIT_ROWS = 20_000
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     plain = Model({fold(k): w for k, w in PLAIN_LEXICON.items()})
     if not n1 or not n0:
         return plain
-    counts = rows.mapInArrow(_count_entries, _COUNTS).groupBy("entry").agg(
+    counts = rows.mapInArrow(tidied(_count_entries), _COUNTS).groupBy("entry").agg(
         *[F.sum(c).alias(c) for c in ("t_rows", "t_uses", "c_rows", "c_uses")]).persist()
     # A toxic row holds a bounded number of entries on average, so entries in a
     # fixed share of the toxic rows are at most that number over the share.
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts.unpersist()
     model = Model(lexicon, EXCEPTION_PHRASES + tuple(sorted(r["entry"].strip() for r in odd)))
     # The curve is fitted to a histogram of densities, a few thousand rows at most.
-    seen = rows.mapInArrow(_weigh_rows(model), "density double, toxic int") \
+    seen = rows.mapInArrow(tidied(_weigh_rows(model)), "density double, toxic int") \
         .groupBy("density", "toxic").count().collect()
     x, t, n = (np.array(v, float) for v in zip(*seen, strict=True))
     model.intercept, model.slope = fit_curve(x, t, n)
@@ -338,7 +338,7 @@ def toxicity_scores(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     plain = docs.select(F.col(f"`{text_col}`").alias("text"),
                         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    scored = plain.mapInArrow(_score_rows(model), schema + ", toxic_weight double, "
+    scored = plain.mapInArrow(tidied(_score_rows(model)), schema + ", toxic_weight double, "
                               "toxic_matches long, toxic_score double")
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in out],
                          *out)
