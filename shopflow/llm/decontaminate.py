@@ -7,8 +7,9 @@ mask untouched. Masked windows of the items (the test hashes) are joined with
 those of the documents (the training hashes). Around a hit, item and document
 are laid word against word on the hit's diagonal and the overlap grows both ways
 while it scores: +1 a match, -2 a mismatch, until it falls ``DROP`` below its
-best. It counts as contamination when it is ``min_overlap`` words long (or as
-long as the item) and ``min_match`` of its words agree.
+best. Every hit that earlier growth did not reach is grown. The part of it with
+the most agreeing words counts as contamination when it is ``min_overlap`` words
+long (or as long as the item) and ``min_match`` of its words agree.
 
 The documents' windows pass a bitmap of the test hashes before the join. The
 bitmap has a fixed size whatever the benchmark's; it lets every true hit pass,
@@ -165,16 +166,60 @@ def grow(same: np.ndarray, at: int) -> tuple[int, int]:
     """The overlap [a, b) around the window that starts at ``at``: the best
     scoring extension each way, given up once it falls DROP below its best."""
     def reach(steps):
-        score = np.cumsum(np.where(steps, 1, -2))
-        if len(score) == 0:
-            return 0
-        best = np.maximum.accumulate(np.maximum(score, 0))
-        stop = np.flatnonzero(best - score > DROP)
+        size = 256
+        while True:
+            score = np.cumsum(np.where(steps[:size], 1, -2))
+            if len(score) == 0:
+                return 0
+            best = np.maximum.accumulate(np.maximum(score, 0))
+            stop = np.flatnonzero(best - score > DROP)
+            if len(stop) or size >= len(steps):
+                break
+            size *= 4
         score = score[:stop[0]] if len(stop) else score
         return int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
     return at - reach(same[:at][::-1]), at + SPAN + reach(same[at + SPAN:])
 
 
+def best_part(same: np.ndarray, least: int, min_match: float) -> tuple[int, int] | None:
+    """Of the stretches of ``same`` that are ``least`` long and agree in
+    ``min_match`` of their words, the one with the most agreeing words, without
+    the mismatches at its ends (down to ``least``)."""
+    n = len(same)
+    if n < least:
+        return None
+    count = np.concatenate(([0], np.cumsum(same)))
+    a, b = 0, n
+    if count[n] < min_match * n:
+        # For each start the last end that keeps the share.
+        over = count - min_match * np.arange(n + 1)
+        after = np.maximum.accumulate(over[::-1])
+        end = n - np.searchsorted(after, over - 1e-9, side="left")
+        good = np.flatnonzero(end - np.arange(n + 1) >= max(least, 1))
+        if not len(good):
+            return None
+        a = int(good[np.argmax(count[end[good]] - count[good])])
+        b = int(end[a])
+    while b - a > least and not same[b - 1]:
+        b -= 1
+    while b - a > least and not same[a]:
+        a += 1
+    return a, b
+
+
+def _overlaps(same: np.ndarray, seeds: list[int], least: int, min_match: float):
+    """(a, b) of the best passing part of each overlap grown on a diagonal. A window
+    inside the overlap grown before it would grow to a part of that overlap."""
+    done = (0, 0)
+    for at in sorted(seeds):
+        if at >= done[0] and at + SPAN <= done[1]:
+            continue
+        done = a, b = grow(same, at)
+        part = best_part(same[a:b], least, min_match)
+        if part:
+            yield a + part[0], a + part[1]
+
+
 def _verify(min_overlap: int, min_match: float):
     def run(batches):
         for batch in batches:
@@ -183,13 +228,16 @@ def _verify(min_overlap: int, min_match: float):
             for i, r in enumerate(rows):
                 doc = np.frombuffer(r["words"], np.uint64)
                 item = np.frombuffer(r["item_words"], np.uint64)
+                seeds: dict[int, list[int]] = {}
+                for h in r["at"]:
+                    seeds.setdefault(h["diagonal"], []).append(h["pos"])
                 best = None
-                for diagonal, at in {(h["diagonal"], h["pos"]) for h in r["at"]}:
+                for diagonal, at in seeds.items():
                     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
                     same = doc[lo:hi] == item[lo - diagonal:hi - diagonal]
-                    a, b = grow(same, at - lo)
-                    n = int(same[a:b].sum())
-                    if b - a >= min(min_overlap, len(item)) and n >= min_match * (b - a):
+                    for a, b in _overlaps(same, [p - lo for p in at],
+                                          min(min_overlap, len(item)), min_match):
+                        n = int(same[a:b].sum())
                         best = max(best or (0, 0, 0), (n, b - a, -(r["start"] + lo + a)))
                 if best:
                     keep.append(i)
@@ -231,11 +279,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
             .withColumn("rid", F.monotonically_increasing_id()), "regions")
     train = regions.select("rid", F.explode("hits").alias("h")).select(
         "rid", "h.mask", "h.hash", "h.pos")
-    # One hit tells a diagonal; of several the first is grown.
-    hits = train.join(test, ["mask", "hash"]).groupBy(
-        "rid", "iid", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.min("pos").alias("pos")).groupBy("rid", "iid").agg(
-        F.collect_list(F.struct("diagonal", "pos")).alias("at"))
+    # Every hit of a diagonal: an overlap may begin behind the first.
+    hits = train.join(test, ["mask", "hash"]).groupBy("rid", "iid").agg(F.collect_set(F.struct(
+        (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos")).alias("at"))
     known = tests.select("iid", "item_id", F.col("words").alias("item_words"))
     size = known.agg(F.sum(F.octet_length("item_words") + 32).alias("bytes")).first()["bytes"] or 0
     if size <= BROADCAST_BYTES:

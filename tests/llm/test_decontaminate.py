@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from shopflow.llm.decontaminate import DROP, MASKS, SPAN, contamination, grow
+from shopflow.llm.decontaminate import DROP, MASKS, SPAN, best_part, contamination, grow
 from shopflow.llm.queries import QUERIES
 
 from .conftest import MEDIUM
@@ -59,6 +59,45 @@ def test_substitutions_are_tolerated(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i, _ in items}
 
 
+def test_passages_from_the_middle_of_an_item(spark):
+    """Whole or with every fifth word changed, from any word of the item on."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=60))) for i in range(60)]
+    docs, exact = [], {}
+    for i, text in items:
+        size = 13 if i < 30 else 25
+        at = rng.randrange(6, 60 - size)
+        words = text.split()[at:at + size]
+        if i >= 30:
+            words[4::5] = ["changed"] * 5
+        else:
+            exact[i] = 80
+        docs.append((i, " ".join(rng.choices(vocabulary, k=80) + words + rng.choices(vocabulary, k=80))))
+    found = {(r["doc_id"], r["item_id"]): r for r in contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(found) == {(i, i) for i, _ in items}
+    for i, first in exact.items():
+        r = found[i, i]
+        assert (r["first_word"], r["overlap"], r["matched"]) == (first, 13, 13)
+
+
+def test_best_part_equals_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        same = np.array([rng.random() < 0.6 for _ in range(rng.randrange(1, 40))], bool)
+        least, share = rng.randrange(1, 16), rng.choice((0.5, 0.7, 0.9, 1.0))
+        passing = [int(same[a:b].sum()) for a in range(len(same)) for b in range(a + least, len(same) + 1)
+                   if same[a:b].sum() >= share * (b - a)]
+        got = best_part(same, least, share)
+        assert (got is None) == (not passing)
+        if got:
+            a, b = got
+            assert b - a >= least and same[a:b].sum() >= share * (b - a)
+            assert same[a:b].sum() == max(passing)
+
+
 def test_case_and_punctuation_do_not_hide_an_item(spark):
     item = "Eins zwei drei VIER fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn"
     doc = "vorher «Eins, zwei; drei – vier FÜNF: sechs (sieben) acht. neun zehn elf zwölf dreizehn vierzehn!"
