@@ -16,8 +16,11 @@ bitmap has a fixed size whatever the benchmark's; it lets every true hit pass,
 and the join drops the others. Documents are read once; what passes is written
 as regions (the words around neighbouring hits) in the shared folder.
 
-Defined results: null or empty texts, and items or texts shorter than one window,
-match nothing. Every row of documents is judged by its text; a row per (row's
+Items shorter than one window are found where their whole word sequence stands,
+by its hash; a row gives the first place. Each character of a script written
+without blanks (Han, kana, Thai and others) counts as a word.
+
+Defined results: null or empty texts, and those without a word, match nothing. Every row of documents is judged by its text; a row per (row's
 id, text, item) found, so repeated rows give one row. Null ids are carried.
 Other columns are ignored and may have any name.
 """
@@ -47,6 +50,7 @@ BITMAP_BITS = 24
 BROADCAST_BYTES = 8 << 20
 
 _FACTORS = mix(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _HITS = "array<struct<mask:int,hash:long,pos:int>>"
 
 
@@ -63,15 +67,24 @@ def window_hashes(words: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def whole_windows(first: np.ndarray, n_words: int) -> np.ndarray:
+def whole_windows(first: np.ndarray, n_words: int, span: int = SPAN) -> np.ndarray:
     """Which windows lie within one row."""
-    n = max(0, n_words - SPAN + 1)
+    n = max(0, n_words - span + 1)
     inside = np.ones(n, bool)
     for cut in first[1:-1]:
-        inside[max(0, cut - SPAN + 1):cut] = False
+        inside[max(0, cut - span + 1):cut] = False
     return inside
 
 
+def short_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every run of ``n`` words, for items shorter than a window."""
+    count = max(0, len(words) - n + 1)
+    acc = np.full(count, _FACTORS[n] * _STEP)
+    for p in range(n):
+        acc += words[p:p + count] * _FACTORS[p]
+    return mix(acc)
+
+
 def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64((1 << BITMAP_BITS) - 1)
     return (h >> np.uint64(64 - BITMAP_BITS)), (h >> np.uint64(8)) & low
@@ -83,10 +96,13 @@ def _item_rows(batches):
         raw, off = buffers(batch.column(1))
         blobs, hits = [], []
         for i in range(len(off) - 1):
-            words, _ = word_hashes(raw, off[i:i + 2], plain_words=True)
+            words, _ = word_hashes(raw, off[i:i + 2], plain_words=True, characters=True)
             blobs.append(words.tobytes())
-            hits.append([{"mask": m, "hash": int(v), "pos": p}
-                         for m, h in enumerate(window_hashes(words))
+            n = len(words)
+            # An item shorter than a window is one hash, its number of words the mask's.
+            masks = {len(MASKS) + n: short_hashes(words, n)} if 0 < n < SPAN else \
+                dict(enumerate(window_hashes(words)))
+            hits.append([{"mask": m, "hash": int(v), "pos": p} for m, h in masks.items()
                          for p, v in enumerate(h.view(np.int64))])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(blobs, pa.binary()),
@@ -110,7 +126,7 @@ def bitmap(test: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _regions(shared_bits):
+def _regions(shared_bits, lengths):
     def run(batches):
         bits = np.frombuffer(shared_bits.value, np.uint64)
         one, six, low = np.uint64(1), np.uint64(6), np.uint64(63)
@@ -122,7 +138,7 @@ def _regions(shared_bits):
             raw, off = buffers(batch.column(2))
             out = {"row": [], "start": [], "words": [], "hits": []}
             for a, b in chunks(off):
-                words, first = word_hashes(raw, off[a:b + 1], plain_words=True)
+                words, first = word_hashes(raw, off[a:b + 1], plain_words=True, characters=True)
                 inside = whole_windows(first, len(words))
                 found = []
                 for m, h in enumerate(window_hashes(words)):
@@ -133,6 +149,13 @@ def _regions(shared_bits):
                         found.append((np.full(len(at), m, np.int32), h[at].view(np.int64), at))
                 if found:
                     _collect(out, found, words, first, a)
+                for n in lengths:
+                    h = short_hashes(words, n)
+                    p, q = _probes(h)
+                    at = np.flatnonzero(held(p) & whole_windows(first, len(words), n))
+                    at = at[held(q[at])]
+                    if len(at):
+                        _collect_short(out, n, h[at].view(np.int64), at, words, first, a)
             rows = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows),
@@ -162,6 +185,19 @@ def _collect(out, found, words, first, base):
                             for m, v, p in zip(mask[s:e], value[s:e], at[s:e], strict=True)])
 
 
+def _collect_short(out, n, value, at, words, first, base):
+    """The first occurrence in a row of each run of n words is a region."""
+    row = np.searchsorted(first, at, side="right") - 1
+    order = np.lexsort((at, value, row))
+    new = np.concatenate(([True], (np.diff(value[order]) != 0) | (np.diff(row[order]) != 0)))
+    for k in order[new]:
+        r, p = int(row[k]), int(at[k])
+        out["row"].append(base + r)
+        out["start"].append(p - int(first[r]))
+        out["words"].append(words[p:p + n].tobytes())
+        out["hits"].append([{"mask": len(MASKS) + n, "hash": int(value[k]), "pos": 0}])
+
+
 def grow(same: np.ndarray, at: int) -> tuple[int, int]:
     """The overlap [a, b) around the window that starts at ``at``: the best
     scoring extension each way, given up once it falls DROP below its best."""
@@ -209,7 +245,12 @@ def best_part(same: np.ndarray, least: int, min_match: float) -> tuple[int, int]
 
 def _overlaps(same: np.ndarray, seeds: list[int], least: int, min_match: float):
     """(a, b) of the best passing part of each overlap grown on a diagonal. A window
-    inside the overlap grown before it would grow to a part of that overlap."""
+    inside the overlap grown before it would grow to a part of that overlap. A
+    diagonal shorter than a window is that of a short item, found whole."""
+    if len(same) < SPAN:
+        if same.all():
+            yield 0, len(same)
+        return
     done = (0, 0)
     for at in sorted(seeds):
         if at >= done[0] and at + SPAN <= done[1]:
@@ -271,10 +312,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     test = tests.select("iid", F.explode("hits").alias("h")).select(
         "iid", "h.mask", "h.hash", F.col("h.pos").alias("item_pos"))
     bits = spark.sparkContext.broadcast(bitmap(test))
+    n_words = (F.octet_length("words") / 8).cast("int")
+    lengths = sorted(r["n"] for r in tests.select(n_words.alias("n")).where(
+        (F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect())
     regions = store.save(
         docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"),
                     F.lower(text_col).alias("text"))
-            .mapInArrow(tidied(_regions(bits)), f"id {dict(docs.dtypes)[id_col]}, text_key long, "
+            .mapInArrow(tidied(_regions(bits, lengths)), f"id {dict(docs.dtypes)[id_col]}, text_key long, "
                                         f"start int, words binary, hits {_HITS}")
             .withColumn("rid", F.monotonically_increasing_id()), "regions")
     train = regions.select("rid", F.explode("hits").alias("h")).select(

@@ -121,12 +121,42 @@ def separators(raw: np.ndarray, plain_words: bool) -> np.ndarray:
     return sep
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray, plain_words: bool = False
-                ) -> tuple[np.ndarray, np.ndarray]:
+#: Scripts written without blanks: Thai and Lao, Tibetan, Myanmar, Khmer, kana, Han.
+BLANK_FREE = np.array([(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF),
+                       (0x3005, 0x3007), (0x3041, 0x30FA), (0x30FC, 0x30FF), (0x3400, 0x4DBF),
+                       (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F)], np.int32)
+#: Ideographic and full-width signs.
+WIDE_SIGNS = np.array([(0x3000, 0x3004), (0x3008, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F),
+                       (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)], np.int32)
+
+
+def _within(points: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    k = np.searchsorted(ranges[:, 0], points, side="right") - 1
+    return (k >= 0) & (points <= ranges[np.maximum(k, 0), 1])
+
+
+def wide_characters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, bytes) of each character of a script without blanks, and the
+    first byte of each wide sign (three bytes long)."""
+    lead = np.flatnonzero(raw >= 0xE0)
+    three = lead[(raw[lead] < 0xF0) & (lead + 2 < len(raw))]
+    points = ((raw[three] & 15).astype(np.int32) << 12 | (raw[three + 1] & 63).astype(np.int32) << 6
+              | raw[three + 2] & 63)
+    own, signs = three[_within(points, BLANK_FREE)], three[_within(points, WIDE_SIGNS)]
+    # Han beyond U+20000.
+    four = lead[(raw[lead] == 0xF0) & (lead + 3 < len(raw))]
+    four = four[raw[four + 1] >= 0xA0]
+    return (np.concatenate((own, four)),
+            np.concatenate((np.full(len(own), 3), np.full(len(four), 4))), signs)
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray, plain_words: bool = False,
+                characters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row), ASCII letters in either case alike.
 
     ``off`` gives the rows within ``raw``; the second result has one more entry
-    than rows.
+    than rows. With ``characters``, each character of a script without blanks is a
+    word, and wide signs separate.
     """
     base = int(off[0])
     raw = raw[base:int(off[-1])]
@@ -135,11 +165,17 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, plain_words: bool = False
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     inside = ~separators(raw, plain_words)
+    alone = length = np.zeros(0, np.int64)
+    if characters:
+        alone, length, signs = wide_characters(raw)
+        for i in range(3):
+            inside[signs + i] = False
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:]
     cut = rel[1:-1]
+    cut = np.concatenate((cut, alone, alone + length))
     cut = cut[(cut > 0) & (cut < n)]
     starts[cut] = inside[cut]
     ends[cut - 1] = inside[cut - 1]

@@ -106,6 +106,30 @@ def test_case_and_punctuation_do_not_hide_an_item(spark):
     assert [(r["doc_id"], r["item_id"], r["matched"]) for r in found] == [(1, 2, 14)]
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Who wrote it?"), (2, "who wrote"), (3, " ".join(f"w{i}" for i in range(11))),
+             (4, "never there"), (5, "Ja"), (6, "...")]
+    docs = [(1, "they asked: who WROTE it, then; who wrote it"), (2, "who, wrote this"),
+            (3, " ".join(f"w{i}" for i in range(40))), (4, " ".join(f"w{i}" for i in range(10))),
+            (5, "there never wrote who"), (6, "ja"), (7, "who"), (8, "wrote it")]
+    found = contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                          spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in found) == [
+        (1, 1, 2, 3, 3), (1, 2, 2, 2, 2), (2, 2, 0, 2, 2), (3, 3, 0, 11, 11), (6, 5, 0, 1, 1)]
+
+
+def test_scripts_without_blanks(spark):
+    items = [(1, "光合作用是植物把光能转化为化学能的过程吗？"), (2, "日本の首都はどこですか"),
+             (3, "เมืองหลวงของประเทศไทยคือที่ไหน"), (4, "𠀀𠀁𠀂")]
+    docs = [(1, "前面有别的字，光合作用是植物把光能转化为化学能的过程吗。后面也有。"),
+            (2, "質問：「日本の首都はどこですか」と聞いた"), (3, "ก่อนเมืองหลวงของประเทศไทยคือที่ไหนหลัง"),
+            (4, "x𠀀𠀁𠀂y"), (5, "光合作用"), (6, "日本の首都")]
+    found = contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                          spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(1, 5)}
+    assert all(r["matched"] == r["overlap"] for r in found)
+
+
 def test_grow_takes_the_best_extension():
     same = np.array([0, 1, 1, 0, 1] + [1] * SPAN + [1, 0, 1, 1, 1, 0, 0, 0, 0, 1], bool)
     a, b = grow(same, 5)
