@@ -4,7 +4,7 @@ Folding (one character to one): lower case, look-alike letters of other scripts
 to Latin ones, digits to the letters they stand in for, and l to i (both are
 written 1). The lexicon is learned from labelled rows: beginnings of words that
 stand far more often in toxic rows than in others, each weighted by the log
-ratio of the two rates. One automaton holds lexicon and exceptions; a match
+ratio of the two rates. Copies of one text count as one row for that. One automaton holds lexicon and exceptions; a match
 counts only at the start of a word, and not inside an exception (given phrases,
 and words learned to be harmless although they begin like a lexicon entry). The
 summed weight per hundred words goes through a logistic curve fitted to the same
@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ LEAST_Z = 5.0
 #: Places to which densities are rounded for fitting the curve.
 DENSITY_DIGITS = 3
 #: Different surroundings (the words before and after) that an entry has in toxic
-#: rows, relative to their number: copies of one text tell only once.
+#: texts, relative to the number of different texts.
 LEAST_VARIETY = 0.7
 
 # Characters drawn like Latin letters, and the letters meant.
@@ -263,12 +264,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # About fit_rows rows of twelve bytes at most, one per id and label: a bounded side.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .join(F.broadcast(chosen), "id").select("text", "toxic")
-    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    # Copies of a text tell once: rows and uses are counted over different texts.
+    texts = rows.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["digest", "toxic"]) \
+        .select("text", "toxic").persist(StorageLevel.DISK_ONLY)
+    size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     plain = Model({fold(k): w for k, w in PLAIN_LEXICON.items()})
     if not n1 or not n0:
+        texts.unpersist()
         return plain
-    counts = rows.mapInArrow(tidied(_count_entries), _COUNTS).groupBy("entry").agg(
+    counts = texts.mapInArrow(tidied(_count_entries), _COUNTS).groupBy("entry").agg(
         *[F.sum(c).alias(c) for c in ("t_rows", "t_uses", "c_rows", "c_uses")]).persist()
     # A toxic row holds a bounded number of entries on average, so entries in a
     # fixed share of the toxic rows are at most that number over the share.
@@ -281,9 +286,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = counts.where("entry not like '% ' and entry <> ''").where(
         (F.col("t_rows") >= least) & (p < 1) & (z >= LEAST_Z)).withColumn("weight", weight) \
         .where(F.col("weight") >= LEAST_WEIGHT).select("entry", "t_rows", "weight").collect()
-    around = {r["entry"]: r["n"] for r in rows.where("toxic = 1").mapInArrow(
+    around = {r["entry"]: r["n"] for r in texts.where("toxic = 1").mapInArrow(
         _surroundings(frozenset(r["entry"] for r in good)), "entry string, around long")
         .groupBy("entry").agg(F.countDistinct("around").alias("n")).collect()}
+    texts.unpersist()
     lexicon = choose_lexicon({r["entry"]: (r["t_rows"], r["weight"]) for r in good
                               if around.get(r["entry"], 0) >= max(least, LEAST_VARIETY * r["t_rows"])})
     if not lexicon:

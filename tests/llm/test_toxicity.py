@@ -69,6 +69,16 @@ def test_copies_of_one_text_do_not_make_entries(spark):
     assert not any("frobnication".startswith(e) for e in model.lexicon)
 
 
+def test_a_hot_group_of_copies_does_not_hide_a_word(spark):
+    toxic = [(i, "thing0 you grampus of word0") for i in range(1000)]
+    toxic += [(2000 + i, f"word{i} you grampus{i % 5} thing{i}") for i in range(100)]
+    clean = [(5000 + i, f"word{i} you fine thing{i} of text") for i in range(600)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string")
+    model = X.fit(docs, docs.selectExpr("doc_id", "int(doc_id < 5000) as toxic"))
+    assert any("grampus".startswith(e) for e in model.lexicon)
+    assert model.weigh("a grampus3 there")[1] == 1
+
+
 def test_harmless_words_are_learned(spark):
     """A word that begins like a lexicon entry but stands in other rows."""
     clean = [(i, f"the grammar of word{i} is fine" if i % 3 else f"word{i} is here") for i in range(400)]
