@@ -3,11 +3,13 @@
 Base spans per kind, leftmost and without overlap: ``assign`` (a value given to a
 name like password or token), ``access`` (access key ids), ``hex`` (long
 hexadecimal runs). The test adds ``random``: runs of at least ``RANDOM_LENGTH``
-letters, digits and ``+/_=-`` that mix letters and digits and get few characters
-per token under a byte-level BPE vocabulary, as text that the vocabulary has
-never seen does. Left out of it: digests (hexadecimal runs of a digest's length),
-UUIDs, words joined by signs (identifiers: every part letters or digits only and
-short), and runs that a base span touches.
+letters, digits and ``+/_=-`` that get few characters per token under a byte-level
+BPE vocabulary, as text that the vocabulary has never seen does. Measured are the
+whole run, its long parts between signs, and stretches of ``WINDOW`` characters;
+of identifiers (short words and numbers joined by signs) and runs without a digit
+only the parts with letters, without the signs. Left out of it: digests
+(hexadecimal runs of a digest's length), UUIDs, numbers, and runs that a base span
+touches.
 
 Spans are code points, end exclusive, of whole texts. Defined results: null and
 empty texts have none. Repeated rows are scanned each. Other columns are ignored.
@@ -44,27 +46,78 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % RANDOM_LENGTH)
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+HEXADECIMAL_PART = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-PART = re.compile(r"[A-Za-z]*|[0-9]{1,8}|[A-Za-z]+[0-9]{1,4}")
+SIGNS = re.compile(r"[+/_=-]+")
+#: An identifier's parts: short words and numbers, or a word and a short number.
+PART = re.compile(r"[A-Za-z]{0,16}|[0-9]{1,8}|[A-Za-z]{1,16}[0-9]{1,4}")
+#: Of an identifier, parts of so many characters at least are measured, if they
+#: have so many together.
+LEAST_PART, LEAST_PARTS = 3, 16
+#: A stretch of a readable run is so long, begins every few characters, and is
+#: random below its own ratios (letters only: the lower one).
+WINDOW, STEP, WINDOW_RATIO, LETTERS_RATIO = 24, 4, 1.85, 1.7
 
 
-def _identifier(run: str) -> bool:
-    if UUID.fullmatch(run):
-        return True
-    if len(run) in DIGEST_LENGTHS and HEXADECIMAL.fullmatch(run):
-        return True
-    return all(PART.fullmatch(p) for p in re.split(r"[+/_=-]+", run))
+def _digest(part: str) -> bool:
+    return len(part) in DIGEST_LENGTHS and HEXADECIMAL.fullmatch(part) is not None
+
+
+def _parts_ratio(text: str, enc, least: int = 1) -> tuple[float, int]:
+    """Characters per token of the parts between signs, and their characters."""
+    parts = [p for p in SIGNS.split(text) if len(p) >= least and not p.isdigit()]
+    n = sum(map(len, parts))
+    return n / max(1, sum(len(enc.encode_ordinary(p)) for p in parts)), n
 
 
 def _is_random(run: str, enc, ratio: float) -> bool:
-    if not any(c.isdigit() for c in run) or run.isdigit() or _identifier(run):
-        return False
-    if len(set(run)) < 8:
+    """Of a run, or one part of it, as a whole."""
+    if run.isdigit() or UUID.fullmatch(run) or _digest(run) or len(set(run)) < 8:
         return False
+    parts = SIGNS.split(run)
+    if all(PART.fullmatch(p) for p in parts) or not any(c.isdigit() for c in run):
+        if max(map(len, parts)) > STRETCH:
+            parts = [p[i:i + STRETCH] for p in parts for i in range(0, len(p), STRETCH)]
+        got, n = _parts_ratio("/".join(parts), enc, LEAST_PART)
+        return n >= LEAST_PARTS and got < ratio
     tokens = sum(len(enc.encode_ordinary(run[i:i + STRETCH])) for i in range(0, len(run), STRETCH))
     return len(run) < ratio * tokens
 
 
+def _random_stretches(run: str, enc, ratio: float) -> list[tuple[int, int]]:
+    """The random parts of a run: the whole, or long parts, or the parts that a
+    random stretch of it touches. UUIDs and digests are none."""
+    if UUID.fullmatch(run) or _digest(run):
+        return []
+    # What is left out must not dilute or fill a stretch either.
+    plain = UUID.sub(lambda m: "=" * len(m[0]), run)
+    plain = HEXADECIMAL_PART.sub(lambda m: "=" * len(m[0]) if _digest(m[0]) else m[0], plain)
+    if plain == run and _is_random(run, enc, ratio):
+        return [(0, len(run))]
+    parts = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+", plain)]
+    found = [(a, b) for a, b in parts
+             if b - a >= RANDOM_LENGTH and b - a < len(run) and _is_random(plain[a:b], enc, ratio)]
+    last = len(plain) - WINDOW
+    for at in sorted({*range(0, last + 1, STEP), last}) if last > 0 else ():
+        piece = plain[at:at + WINDOW]
+        if len(set(piece)) < 8:
+            continue
+        got, n = _parts_ratio(piece, enc)
+        if n >= LEAST_PARTS and got < (WINDOW_RATIO if any(map(str.isdigit, piece)) else LETTERS_RATIO):
+            # The parts that its middle touches, whole.
+            lo, hi = at + STEP, at + WINDOW - STEP
+            touched = [p for p in parts if p[0] < hi and p[1] > lo]
+            if touched:
+                found.append((touched[0][0], touched[-1][1]))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_secrets(text: str | None, enc, ratio: float = RATIO) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed."""
     if not text:
@@ -89,8 +142,7 @@ def find_secrets(text: str | None, enc, ratio: float = RATIO) -> list[tuple[int,
                 at += 1
             if any(s < b and e > a for s, e in base[at:at + 4]):
                 continue
-            if _is_random(text[a:b], enc, ratio):
-                spans.append((a, b, "random"))
+            spans += [(a + s, a + e, "random") for s, e in _random_stretches(text[a:b], enc, ratio)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

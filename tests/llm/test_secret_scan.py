@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from shopflow.llm import secret_scan as S
 from shopflow.llm.queries import QUERIES
@@ -57,6 +59,33 @@ def test_random_runs_and_exclusions():
     assert kinds("token = Zk3vQ9pXr7Lm2Tn8Wb5Yc1Hd") == ["assign"]
 
 
+def test_readable_parts_do_not_dilute_a_random_string():
+    rng = random.Random(11)
+    mixed, letters = string.ascii_letters + string.digits, string.ascii_letters
+    for before, after in (("", ""), ("com/company/service/internal/download/", ""),
+                          ("company/service/internal/documents/download/session/", "/index/page")):
+        for alphabet in (mixed, letters, string.ascii_uppercase):
+            seen = 0
+            for _ in range(200):
+                key = "".join(rng.choices(alphabet, k=24))
+                text = f"see {before}{key}{after} now"
+                at = 4 + len(before)
+                seen += any(s <= at and e >= at + 24 for s, e, k in S.find_secrets(text, ENC) if k == "random")
+            assert seen >= 196, (before, alphabet, seen)
+
+
+def test_letter_only_keys_and_readable_runs():
+    kinds = lambda t: [k for _, _, k in S.find_secrets(t, ENC)]
+    assert kinds("key EZZB-KRSN-KWRD-ISDX-TSBQ see") == ["random"]
+    assert kinds("key qXvZkRwJpLmTgHsBnDcFyWqK7 see") == ["random"]
+    for plain in ("THE_QUICK_BROWN_FOX", "getUserAccountSettingsById", "org/apache/spark/sql/catalyst",
+                  "Rindfleischetikettierungsueberwachung", "anticonstitutionnellement",
+                  "com/company/service/internal/download/session", "2024-01-01/2024-12-31",
+                  "x86_64-unknown-linux-gnu", "api/v1/users/123e4567-e89b-12d3-a456-426614174000/settings",
+                  "MAX_CONNECTION_TIMEOUT_SECONDS", "objects/D41D8CD98F00B204E9800998ECF8427E/file"):
+        assert kinds(f"see {plain} now") == [], plain
+
+
 def test_no_random_spans_in_plain_documents(spark):
     texts = [r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("text").collect()]
     odd = [t[s:e] for t in texts for s, e, k in S.find_secrets(t, ENC) if k == "random"]
