@@ -1,6 +1,6 @@
 """Surrogate generation: personal data gets keyed replacements of its own kind.
 
-Detected kinds: ``email``, ``phone``, ``card``, ``ip`` (IPv4), ``ssn`` and ``name``
+Detected kinds: ``email``, ``phone``, ``card``, ``ip`` (IPv4 and IPv6), ``ssn`` and ``name``
 (after a title that tells the gender). A value is reduced to its normal form
 (digits, lower case, title cut off); the keyed surrogate of the normal form is
 poured back into the occurrence's own format: separators, brackets, letter case
@@ -22,6 +22,7 @@ are, repeated rows are treated alike, other columns are carried unchanged.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -57,13 +58,27 @@ ENDINGS = {
     "greek": {"m": ("ος", "ης", "ας"), "f": ("να", "ρα", "λη"), "n": ("ν", "λ", "μ")},
 }
 
+# Country calling codes, those of one and two digits listed.
+_CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d{2})"
+_COUNTRY = re.compile(r"\+" + _CODE)
 _WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][\w'’-]+"
 PATTERNS = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
-    r"|(?P<card>(?<![\w.-])[3-6]\d{3}(?:(?P<sep>[ -]?)\d{4})(?:(?P=sep)\d{4})(?:(?P=sep)\d{1,4})(?![\w]|-\d))"
+    r"|(?P<ip6>(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![\w:]))"
+    r"|(?P<card>(?<![\w.-])(?:[3-6]\d{3}|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)"
+    r"(?=(?:[ -]?\d{4}){3}(?!\d)))"
+    r"(?:(?P<sep>[ -]?)\d{4})(?:(?P=sep)\d{4})(?:(?P=sep)\d{1,4})(?![\w]|-\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}(?![\w]))"
+    r"|(?P<phone>(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{4}"
+    # International: ten digits after +1, nine after +33 and +34, else six to twelve.
+    r"|\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
+    r"|\+3[34](?:[ .-]?\(0\))?(?:[ .-]?\d){9}"
+    r"|\+(?!1|3[34])" + _CODE + r"(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d){6,12}"
+    # National: North American without signs; after a 0 in pairs, two groups or none.
+    r"|(?<!\d[.,-])(?:[2-9]\d{2}[2-9]\d{6}|0[1-9](?:(?P<pair>[ .-])\d{2})(?:(?P=pair)\d{2}){3}"
+    r"|0[1-9]\d{1,3}[ /-]\d{5,8}|0[1-9]\d{8,9})(?![.,]\d))(?![\w]))"
     r"|(?P<name>\b(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
     + r")\b\.?[ ](?P<who>" + _WORD + r"(?:[ ]" + _WORD + r")?))")
 _DIGIT = re.compile(r"\d")
@@ -109,6 +124,19 @@ def _digits(digits: str, key: bytes, tweak: str) -> str:
     return str(permute(int(digits), n, key, tweak)).zfill(len(digits))
 
 
+def _national(digits: str, key: bytes, tweak: str) -> str:
+    """A phone number without a country code, within the numbers that are found."""
+    n = len(digits)
+    if digits[0] == "0" and n > 2 and digits[1] != "0":
+        low = 10 ** (n - 2)
+        return "0" + str(permute(int(digits) - low, 9 * low, key, f"{tweak}0{n}") + low)
+    if n == 10 and digits[0] >= "2" and digits[3] >= "2":
+        area, rest = int(digits[:3]) - 200, int(digits[3:]) - 2_000_000
+        area, rest = divmod(permute(area * 8_000_000 + rest, 6_400_000_000, key, tweak + "10"), 8_000_000)
+        return f"{area + 200}{rest + 2_000_000}"
+    return _digits(digits, key, tweak)
+
+
 def _check_digit(body: str) -> int:
     total = 0
     for i, c in enumerate(reversed(body)):
@@ -185,9 +213,13 @@ def normal(kind: str, found: str, gender: str = "") -> str:
     if kind == "name":
         return f"{gender}:{found.lower()}"
     if kind == "ip":
+        if ":" in found:
+            return str(ipaddress.IPv6Address(found))
         return ".".join(str(int(p)) for p in found.split("."))
     if kind == "phone" and found.startswith("+"):
-        code = re.match(r"\+(\d{1,3})", found).group(1)
+        # The code as set off, if it is; else by the list.
+        code = (re.match(r"\+(\d{1,3})(?!\d)", found) or _COUNTRY.match(found) or
+                re.match(r"\+(\d)", found)).group().removeprefix("+")
         return f"+{code}:" + re.sub(r"\D", "", found[len(code) + 1:])
     return re.sub(r"\D", "", found)
 
@@ -199,10 +231,19 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         local, domain = value.split("@")
         host, _, top = domain.rpartition(".")
         return f"{_label(local, key, tweak)}@{_label(host, key, 'host' + str(attempt))}.{top}"
+    if kind == "ip" and ":" in value:
+        # The first group tells the kind of network and stays.
+        first, rest = divmod(int(ipaddress.IPv6Address(value)), 1 << 112)
+        return str(ipaddress.IPv6Address(first << 112 | permute(rest, 1 << 112, key, f"{tweak}:{first}")))
     if kind == "ip":
         return _address(value, key, tweak)
     if kind == "card":
         body = value[1:-1]
+        if value[0] == "2":   # 2221 to 2720
+            low = 221 * 10 ** (len(body) - 3)
+            new = "2" + str(permute(int(body) - low, 500 * 10 ** (len(body) - 3), key, tweak + "2") + low)
+            off = int(value[-1]) - _check_digit(value[:-1])
+            return new + str((_check_digit(new) + off) % 10)
         new = value[0] + str(permute(int(body), 10 ** len(body), key, tweak + value[0])
                              ).zfill(len(body))
         off = int(value[-1]) - _check_digit(value[:-1])
@@ -213,6 +254,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "phone" and value.startswith("+"):
         code, digits = value.split(":")
         return f"{code}:{_digits(digits, key, tweak + code)}"
+    if kind == "phone":
+        return _national(value, key, tweak)
     return _digits(value, key, tweak)
 
 
@@ -221,7 +264,7 @@ def poured(kind: str, found: str, new: str) -> str:
     if kind == "email":
         return "".join(c.upper() if o.isupper() else c for o, c in zip(found, new, strict=True))
     if kind == "ip":
-        return new
+        return new.upper() if any(map(str.isupper, found)) else new
     if kind == "name":
         out = []
         for old, w in zip(found.split(" "), new.split(":", 1)[1].split(" "), strict=True):
@@ -241,12 +284,24 @@ def may_hold_entities(text: str) -> bool:
             or next(_TITLED.iter(text), None) is not None)
 
 
+def _is_address(found: str) -> bool:
+    """Whether this is an IPv6 address, and no two words joined by colons."""
+    try:
+        ipaddress.IPv6Address(found)
+    except ValueError:
+        return False
+    return len([g for g in found.split(":") if g]) > 2 or re.match(
+        r"[23][0-9a-f]{3}:|fe[89ab][0-9a-f]:|f[cd][0-9a-f]{2}:", found.lower()) is not None
+
+
 def entities(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, kind, as found, normal form) from left to right."""
     if not may_hold_entities(text):
         return
     for m in PATTERNS.finditer(text):
-        kind = next(k for k in KINDS if m.group(k))
+        kind = "ip" if m.group("ip6") else next(k for k in KINDS if m.group(k))
+        if m.group("ip6") and not _is_address(m.group()):
+            continue
         if kind == "name":
             title = m.group().split(" ", 1)[0].rstrip(".")
             yield (*m.span("who"), kind, m.group("who"),

@@ -43,6 +43,28 @@ def test_one_value_has_one_surrogate():
     assert puts[7] == puts[10] and puts[7] != puts[8]
 
 
+def test_phone_forms_cards_and_ipv6():
+    phones = ("+14155552671", "4155552671", "06 12 34 56 78", "06.12.34.56.78", "0612345678",
+              "+33 6 12 34 56 78", "+33612345678", "030 1234567", "+49 30 1234567", "+34 612 345 678",
+              "+44 20 7946 0958", "+1 (743) 555-3824", "415-555-2671")
+    cards = ("2221000000000009", "2720 9900 0000 0007", "5555-5555-5555-4444")
+    ips = ("2001:db8::ff00:42:8329", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "fe80::1", "42.1.2.3")
+    for kind, olds in (("phone", phones), ("card", cards), ("ip", ips)):
+        for old in olds:
+            text = f"Call ({old}), or {old} now."
+            assert _found(text) == [(kind, old)] * 2, old
+            new, spans = S.replace(text, {})
+            put = new[spans[0]["start"]:spans[0]["end"]]
+            assert put != old and _found(new) == [(kind, put)] * 2, (old, put)
+            if kind != "ip":
+                assert re.sub(r"\d", "0", put) == re.sub(r"\d", "0", old)
+    one = {e[4] for x in ("+14155552671", "+1 415 555 2671", "+1 (415) 555-2671") for e in S.entities(x)}
+    assert len(one) == 1
+    for plain in ("12:34:56", "std::vector", "abc::def", "1700000000", "1999-2003", "0.1234567890",
+                  "1,234,567", "a 2024 01 02 b", "2719 items", "+5 and +12"):
+        assert _found(f"see {plain} now") == [], plain
+
+
 def test_check_digits_and_networks():
     good = S.surrogate("card", "4111111111111111", 0)
     assert S._check_digit(good[:-1]) == int(good[-1]) and good[0] == "4"
