@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm import chat, language, toxicity
+from shopflow.llm import chat, filter_audit, language, merkle, toxicity
 from shopflow.llm.decontaminate import contamination
+from shopflow.llm.exact_dedup import exact_duplicates
 from shopflow.llm.fingerprints import as_text, likeness, order_minhash, with_next
 from shopflow.llm.fitting import remainder
 from shopflow.llm.ngram_join import ngram_components
@@ -201,3 +202,132 @@ def op10(spark, sf_dir):
         as_text(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+
+
+# ---------------------------------------------------------------------- 11 --
+
+DEDUP_SQL = r"""
+WITH normal AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+groups AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM normal GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+FROM normal JOIN groups USING (t)
+"""
+
+
+@query("op11_exact_dedup", DEDUP_SQL)
+def op11(spark, sf_dir):
+    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------------- 12 --
+
+AUDIT_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM texts GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+          FROM labels GROUP BY doc_id),
+split AS (
+  SELECT texts.*, doc_id > least AS copy, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS capitals
+  FROM texts JOIN firsts USING (t)),
+masked AS (
+  SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+         + 4 * (100 * capitals > 10 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * copy::INT AS mask
+  FROM split),
+cells AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM masked LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+walks(filter_order, before, active, letter, step) AS (
+  SELECT '', 0, 0, '', 0
+  UNION ALL
+  SELECT filter_order || l.letter, active, active | bit, l.letter, step + 1
+  FROM walks JOIN letters l ON active & bit = 0),
+steps AS (
+  SELECT o.filter_order, w.step, w.before, w.active, w.active - w.before AS bit
+  FROM walks o JOIN walks w ON o.step = 5 AND w.step > 0 AND starts_with(o.filter_order, w.filter_order)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & active = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM steps CROSS JOIN cells GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark, sf_dir):
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+# ---------------------------------------------------------------------- 13 --
+
+def _leaf_sql(text: str) -> str:
+    framed = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Bitwise CRC-32 of a decimal id (reflected polynomial 0xEDB88320).
+CRC_SQL = """xor(4294967295::BIGINT, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                        lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))))"""
+
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql('text')} AS leaf,
+         CASE WHEN {CRC_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")}
+              ELSE {_leaf_sql('text')} END AS given
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf, given) - 1 AS idx FROM leaves),
+sources(tree, level, idx, hash, n) AS (
+  SELECT tree, 0, idx, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL
+  SELECT tree, any_value(level) + 1, idx // 3, sha256(string_agg(hash, '' ORDER BY idx)),
+         any_value((n + 2) // 3) FROM sources WHERE n > 1 GROUP BY tree, idx // 3),
+subroots AS (SELECT tree, level, hash, row_number() OVER (ORDER BY tree) - 1 AS idx FROM sources WHERE n = 1),
+top(tree, level, idx, hash, n) AS (
+  SELECT 'top', 0, idx, hash, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT 'top', any_value(level) + 1, idx // 3, sha256(string_agg(hash, '' ORDER BY idx)),
+         any_value((n + 2) // 3) FROM top WHERE n > 1 GROUP BY idx // 3),
+nodes AS (SELECT * FROM sources WHERE n > 1 UNION ALL SELECT * FROM top WHERE n > 1),
+links AS (
+  SELECT a.tree, a.level, a.idx,
+         coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3
+  GROUP BY a.tree, a.level, a.idx),
+climb(doc_id, leaf, home, folded, proof, tree, level, idx) AS (
+  SELECT doc_id, leaf, tree, given, '', tree, 0, idx FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.home,
+         CASE WHEN k.tree IS NULL THEN c.folded ELSE sha256(k.l || c.folded || k.r) END,
+         CASE WHEN k.tree IS NULL THEN c.proof ELSE c.proof || k.l || k.r END,
+         CASE WHEN k.tree IS NULL THEN 'top' ELSE c.tree END,
+         CASE WHEN k.tree IS NULL THEN 0 ELSE c.level + 1 END,
+         CASE WHEN k.tree IS NULL THEN s.idx ELSE c.idx // 3 END
+  FROM climb c LEFT JOIN links k ON k.tree = c.tree AND k.level = c.level AND k.idx = c.idx
+  LEFT JOIN subroots s ON s.tree = c.tree
+  WHERE k.tree IS NOT NULL OR c.tree <> 'top'),
+root AS (SELECT hash, level FROM top WHERE n = 1)
+SELECT c.doc_id, c.leaf, s.hash AS subroot, root.hash AS root, sha256(c.proof) AS proof_sha256,
+       c.folded AS folded_root, c.folded = root.hash AS verified
+FROM climb c JOIN subroots s ON s.tree = c.home JOIN root ON c.tree = 'top' AND c.level = root.level
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark, sf_dir):
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), tampered={
+        "text": F.when(tampers, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
