@@ -8,7 +8,7 @@ never multiply orders.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopflow.functions import constants as C
@@ -59,6 +59,37 @@ def with_stock_flag(requests: DataFrame, inventory: DataFrame) -> DataFrame:
             .withColumn("in_stock", F.coalesce(F.col("_held"), F.lit(False))).drop("_held"))
 
 
+def stock_intervals(history: DataFrame) -> DataFrame:
+    """(sku_code, quantity, held_from, held_to): when each pair was held, from whole
+    snapshots (snapshot, valid_from, sku_code, quantity). A pair is held from a snapshot that
+    has it to the next snapshot that lacks it; ``held_to`` is null while it still is.
+    Snapshots that follow each other make one interval, so rows count changes of stock."""
+    times = history.groupBy("snapshot").agg(F.min("valid_from").alias("valid_from"))
+    # One row per snapshot: a window over them all is a window over few rows.
+    order = Window.orderBy("valid_from", "snapshot")
+    times = times.select("snapshot", F.row_number().over(order).alias("place"), "valid_from",
+                         F.lead("valid_from").over(order).alias("valid_to"))
+    pairs = history.where(F.col("sku_code").isNotNull() & F.col("quantity").isNotNull()) \
+        .select("snapshot", *STOCK_KEYS).distinct().join(counted_broadcast(times), "snapshot")
+    # Consecutive places have the same distance to their rank within the pair.
+    rank = F.row_number().over(Window.partitionBy(*STOCK_KEYS).orderBy("place"))
+    return pairs.withColumn("_run", F.col("place") - rank).groupBy(*STOCK_KEYS, "_run").agg(
+        F.min("valid_from").alias("held_from"), F.max_by("valid_to", "place").alias("held_to")).drop("_run")
+
+
+def stock_flag_as_of(requests: DataFrame, history: DataFrame, at: str = "requested_at") -> DataFrame:
+    """``in_stock`` by the stock as it was at each request's time ``at``: an as-of
+    join, written as an equi-join on the stock keys whose condition picks the interval.
+    A pair has disjoint intervals, so a request meets one at most. A request before
+    the first snapshot, or without time, SKU or quantity, is not in stock."""
+    held = counted_broadcast(stock_intervals(history).withColumn("_held", F.lit(True)))
+    r, h = requests.alias("r"), held.alias("h")
+    on = ((F.col("r.sku_code") == F.col("h.sku_code")) & (F.col("r.quantity") == F.col("h.quantity"))
+          & (F.col(f"r.{at}") >= F.col("h.held_from"))
+          & (F.col("h.held_to").isNull() | (F.col(f"r.{at}") < F.col("h.held_to"))))
+    return r.join(h, on, "left").select("r.*", F.coalesce("h._held", F.lit(False)).alias("in_stock"))
+
+
 def stock_fallback(requests: DataFrame, inventory: DataFrame, unanswered: Column) -> DataFrame:
     """P10: a lookup without an answer counts as not in stock, as the client's
     fallback does; ``lookup_failed`` keeps outage apart from out-of-stock. One
@@ -135,16 +166,18 @@ def order_number(request_id: Column) -> Column:
     return uuid_from_key(request_id)
 
 
-def build_orders(accepted: DataFrame, as_of: Column | None = None) -> DataFrame:
+def build_orders(accepted: DataFrame, as_of: Column | None = None,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
     """The order row. ``price`` is the line total; ``order_date`` is
-    one value per batch (default: the local time of the batch)."""
+    one value per batch (default: the local time of the batch). ``keep`` names
+    columns passed through."""
     stamp = as_of if as_of is not None else F.localtimestamp()
     return accepted.select(
         order_number(F.col("request_id")).alias("order_number"),
         "request_id", "sku_code",
         line_total(F.col("price"), F.col("quantity")).alias("price"),
         "quantity",
-        stamp.alias("order_date"))
+        stamp.alias("order_date"), *keep)
 
 
 def build_events(accepted: DataFrame) -> DataFrame:

@@ -68,17 +68,19 @@ def failed_call(error: Column | str, duration_s: Column | str,
 
 def failure_rate(calls: DataFrame, window_calls: int, min_calls: int = C.MIN_CALLS,
                  threshold: float = C.FAILURE_RATE_THRESHOLD, failed: str = "failed",
-                 block_rows: int = 1 << 20, num_partitions: int | None = None) -> DataFrame:
-    """Failure rate over the last ``window_calls`` calls of each instance,
-    flagged at >= threshold once ``min_calls`` calls are in the window.
+                 block_rows: int = 1 << 20, num_partitions: int | None = None,
+                 order: tuple[str, ...] = ("ts", "event_id"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Failure rate over the last ``window_calls`` calls of each instance (in
+    the order of the columns ``order``), flagged at >= threshold once ``min_calls``
+    calls are in the window. ``keep`` names columns passed through.
 
     Calls are numbered per instance (range-partitioned, see plans.ordinal), cut
     into blocks of ``block_rows`` calls, and each block gets a copy of the
     previous block's last ``window_calls - 1`` calls; the window then runs per
     (instance, block), so a hot instance is spread over many tasks.
     """
-    slim = calls.select("instance", "ts", "event_id", F.col(failed).alias("_failed"))
-    pos = position_within(slim, ["instance"], ["ts", "event_id"], num_partitions=num_partitions)
+    slim = calls.select("instance", *order, *keep, F.col(failed).alias("_failed"))
+    pos = position_within(slim, ["instance"], list(order), num_partitions=num_partitions)
     b = blocked(pos, "position", block_rows, window_calls - 1)
     w = (Window.partitionBy("instance", "_block").orderBy("position")
          .rowsBetween(-(window_calls - 1), 0))
@@ -134,6 +136,18 @@ def rollup(samples: DataFrame, interval: str) -> DataFrame:
                     "application", "samples", "total_duration_s", "max_duration_s"))
 
 
+def coarser_rollup(partials: DataFrame, interval: str) -> DataFrame:
+    """A02 at a coarser grain, from the rows of a finer rollup: counts and sums add up
+    and maxima meet, so no sample is read again. The interval must be a multiple of the
+    finer one. Rows of one window (late batches of a stream) may come several times."""
+    return (partials.groupBy(F.window("window_start", interval).alias("w"), "application")
+            .agg(F.sum("samples").alias("samples"),
+                 F.sum("total_duration_s").cast("decimal(38,4)").alias("total_duration_s"),
+                 F.max("max_duration_s").alias("max_duration_s"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "application", "samples", "total_duration_s", "max_duration_s"))
+
+
 def bucket_bound(duration_s: Column, bounds: list[float]) -> Column:
     """The smallest upper bound holding the value (+inf above the last)."""
     expr = None
@@ -155,23 +169,25 @@ DEFAULT_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 def duration_histogram(spans: DataFrame, bounds: list[float] = DEFAULT_BOUNDS) -> DataFrame:
     """Per application and bucket (every bound and +inf, empty ones too):
     count, exact sum, max, an exemplar trace id (of the latest sample), the
-    cumulative count up to the bucket, and the application's total count and sum."""
+    cumulative count up to the bucket, and the application's total count and sum. A
+    span without a duration counts in the +inf bucket, so totals count all spans."""
     agg = (spans.withColumn("le", bucket_bound(F.col("duration_s"), bounds))
            .groupBy("application", "le")
            .agg(F.count(F.lit(1)).alias("samples"),
                 F.sum(F.col("duration_s").cast("decimal(18,4)")).cast("decimal(38,4)").alias("sum_s"),
                 F.max("duration_s").alias("max_s"),
                 F.max_by("trace_id", F.struct("ts", "event_id")).alias("exemplar_trace_id")))
-    # Empty buckets join the others as rows without samples: one more partial
-    # aggregate over at most (applications x buckets) rows, no cross join.
+    # Empty buckets: an application's filled ones (at most one row per bound) become a
+    # map, from which every bucket is looked up. The spans are aggregated once.
+    values = ["samples", "sum_s", "max_s", "exemplar_trace_id"]
+    filled = agg.groupBy("application").agg(F.map_from_entries(F.collect_list(
+        F.struct("le", F.struct(*values)))).alias("filled"))
     every = F.array(*[F.lit(float(x)) for x in [*sorted(bounds), float("inf")]])
-    empty = agg.select("application").distinct().select(
-        "application", F.explode(every).alias("le"), F.lit(0).cast("long").alias("samples"),
-        F.lit(0).cast("decimal(38,4)").alias("sum_s"), F.lit(None).cast("double").alias("max_s"),
-        F.lit(None).cast("string").alias("exemplar_trace_id"))
-    full = agg.unionByName(empty).groupBy("application", "le").agg(
-        F.sum("samples").alias("samples"), F.sum("sum_s").cast("decimal(38,4)").alias("sum_s"),
-        F.max("max_s").alias("max_s"), F.max("exemplar_trace_id").alias("exemplar_trace_id"))
+    full = filled.select("application", "filled", F.explode(every).alias("le")) \
+        .withColumn("b", F.try_element_at("filled", F.col("le"))).select(
+        "application", "le", F.coalesce("b.samples", F.lit(0)).cast("long").alias("samples"),
+        F.coalesce("b.sum_s", F.lit(0)).cast("decimal(38,4)").alias("sum_s"), "b.max_s",
+        "b.exemplar_trace_id")
     whole = Window.partitionBy("application")
     running = whole.orderBy("le").rowsBetween(Window.unboundedPreceding, 0)
     return full.withColumns({

@@ -22,8 +22,10 @@ from shopflow.operators import telemetry as TL
 from shopflow.operators.notify import render_notifications, render_sql
 from shopflow.sources import fixtures as fx
 from shopflow.sources import sinks
+from shopflow.sources.compaction import compact, read_batches
 from shopflow.sources.storage import output_dir
 from shopflow.sources.tables import read_table
+from shopflow.streaming.failure_stream import run_failure_stream
 from shopflow.streaming.notify_stream import publish_events, run_notify_stream, run_source_only
 from shopflow.streaming.orders_stream import run_order_stream
 from shopflow.streaming.rollup_stream import run_rollup_stream
@@ -193,6 +195,15 @@ def q_stock_fallback(spark, sf_dir):
     return answered.select("request_id", "in_stock", "lookup_failed")
 
 
+@query("stock_as_of", _with(f"dated AS ({fx.DATED_REQUESTS_SQL})", f"history AS ({fx.STOCK_HISTORY_SQL})",
+                            "times AS (SELECT DISTINCT snapshot, valid_from FROM history)") + """
+SELECT d.request_id, d.sku_code, d.quantity, d.requested_at, h.sku_code IS NOT NULL AS in_stock
+FROM dated d ASOF LEFT JOIN times t ON d.requested_at >= t.valid_from
+LEFT JOIN history h ON h.snapshot = t.snapshot AND h.sku_code = d.sku_code AND h.quantity = d.quantity""")
+def q_stock_as_of(spark, sf_dir):
+    return O.stock_flag_as_of(fx.dated_requests(spark, sf_dir), fx.stock_history(spark, sf_dir))
+
+
 @query("order_number_unique", _with(W_INV, W_REQ, W_ACC) + f"""
 SELECT order_number, min(request_id) AS request_id, count(*) AS copies
 FROM (SELECT {ORDER_NO} AS order_number, request_id,
@@ -309,6 +320,19 @@ def q_event_decode_quarantine(spark, sf_dir):
     return D.decode_events(fx.events_json(spark, sf_dir))
 
 
+@query("event_avro_decode", _with(W_INV, W_REQ, W_ACC, W_EVENTS, f"avro AS ({fx.EVENTS_AVRO_SQL})") + """
+SELECT value,
+       CASE WHEN quarantined THEN NULL ELSE order_number END AS order_number,
+       CASE WHEN quarantined THEN NULL ELSE email END AS email,
+       CASE WHEN quarantined THEN NULL ELSE first_name END AS first_name,
+       CASE WHEN quarantined THEN NULL ELSE last_name END AS last_name,
+       quarantined
+FROM avro""")
+def q_event_avro_decode(spark, sf_dir):
+    """Written and read; the bytes themselves are compared too (as hex text)."""
+    return D.decode_events_avro(fx.events_avro(spark, sf_dir)).withColumn("value", F.hex("value"))
+
+
 @query("notification_render", _with(W_INV, W_REQ, W_ACC, W_EVENTS) + render_sql("ev"))
 def q_notification_render(spark, sf_dir):
     return render_notifications(O.build_events(O.accepted_requests(spark, sf_dir)))
@@ -344,11 +368,15 @@ def q_notification_dead_letters(spark, sf_dir):
 
 # ------------------------------------------------------------------ streams --
 
-def _ordered(spark, sf_dir):
+#: Deliveries in which the input of some streams arrives.
+DELIVERIES = 4
+
+
+def _ordered(spark, sf_dir, codec="json"):
     """The request bodies of the whole table, published and run through the stream."""
     topic = output_dir(spark, "request-topic")
     sinks.append(fx.requests_json(spark, sf_dir), topic)
-    return run_order_stream(spark, topic, lambda: fx.inventory(spark, sf_dir))
+    return run_order_stream(spark, topic, lambda: fx.inventory(spark, sf_dir), codec=codec)
 
 
 W_ONCE = "once AS (SELECT DISTINCT * FROM fed)"
@@ -389,6 +417,59 @@ def q_order_to_notification(spark, sf_dir):
     return sinks.read_sink(spark, notified.outbox).drop("batch_id")
 
 
+@query("order_to_notification_avro", ORACLE["order_to_notification"])
+def q_order_to_notification_avro(spark, sf_dir):
+    """The same with Avro events: what the one stream writes the other reads."""
+    notified = run_notify_stream(spark, _ordered(spark, sf_dir, codec="avro").events, codec="avro")
+    return sinks.read_sink(spark, notified.outbox).drop("batch_id")
+
+
+#: A window that is over when the next run begins.
+NO_WINDOW = "0 seconds"
+
+
+ORDER_SCHEMA = ("id long, order_number string, request_id string, sku_code string, "
+                "price decimal(29,2), quantity int, order_date timestamp_ntz")
+
+
+@query("order_compaction", _with(W_INV, W_REQ, W_ACC, W_FED, W_ONCE) + f"""
+SELECT {ORDER_NO} AS order_number, request_id, sku_code,
+       {line_total_sql('price', 'quantity')} AS price, quantity FROM once""")
+def q_order_compaction(spark, sf_dir):
+    """Orders of several batches, packed into spans, the last batch loose."""
+    topic = output_dir(spark, "request-topic")
+    sinks.append(fx.requests_json(spark, sf_dir).repartition(DELIVERIES), topic)
+    paths = run_order_stream(spark, topic, lambda: fx.inventory(spark, sf_dir),
+                             options={"maxFilesPerTrigger": "1"})
+    compact(spark, paths.orders, ORDER_SCHEMA)
+    return read_batches(spark, paths.orders, ORDER_SCHEMA).select(
+        "order_number", "request_id", "sku_code", "price", "quantity")
+
+
+@query("order_redelivery", ORACLE["orders_in_stock_stream"])
+def q_order_redelivery(spark, sf_dir):
+    """All requests delivered again after the window: no number is stored twice."""
+    topic = output_dir(spark, "request-topic")
+    paths = None
+    for _ in range(2):
+        sinks.append(fx.requests_json(spark, sf_dir), topic)
+        paths = run_order_stream(spark, topic, lambda: fx.inventory(spark, sf_dir), paths,
+                                 redelivery_window=NO_WINDOW)
+    return sinks.read_sink(spark, paths.orders).select(
+        "id", "order_number", "request_id", "sku_code", "price", "quantity")
+
+
+@query("notification_redelivery", ORACLE["notification_outbox"])
+def q_notification_redelivery(spark, sf_dir):
+    """All events delivered again after the window: the outbox stays as it is."""
+    topic = output_dir(spark, "notify-topic")
+    paths = None
+    for _ in range(2):
+        publish_events(fx.events_json(spark, sf_dir), topic)
+        paths = run_notify_stream(spark, topic, paths, redelivery_window=NO_WINDOW)
+    return sinks.read_sink(spark, paths.outbox).drop("batch_id")
+
+
 # ---------------------------------------------------------------- telemetry --
 
 W_ACCESS = f"access AS ({fx.ACCESS_LOG_SQL})"
@@ -491,6 +572,24 @@ def q_failure_rate_10(spark, sf_dir):
         "event_id", "instance", "n_calls", "n_failed", "failure_rate", "flagged")
 
 
+@query("failure_rate_stream", ORACLE["failure_rate_5"])
+def q_failure_rate_stream(spark, sf_dir):
+    """The calls arrive in four deliveries, by time; windows reach back over them."""
+    topic, paths = output_dir(spark, "call-topic"), None
+    calls = fx.calls(spark, sf_dir)
+    at = F.col("ts").cast("timestamp").cast("double")
+    cuts = calls.select(F.percentile_approx(at, [k / DELIVERIES for k in range(1, DELIVERIES)])).first()[0] or []
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (at > cut).cast("int")
+    for n in range(DELIVERIES):
+        sinks.append(calls.where(part == n), topic)
+        paths = run_failure_stream(spark, topic, paths, C.INVENTORY_WINDOW, block_rows=BLOCK_CALLS,
+                                   options={"maxFilesPerTrigger": "1000000"})
+    return sinks.read_sink(spark, paths.rates).select(
+        "event_id", "instance", "n_calls", "n_failed", "failure_rate", "flagged")
+
+
 @query("failure_flag_changes", "WITH rated AS (" + _failure_rate_sql(
     C.INVENTORY_WINDOW, "coalesce(error, false)") + "), " + W_CALLS + """,
 placed AS (SELECT c.instance, c.event_id, c.ts, r.flagged,
@@ -529,6 +628,22 @@ def q_interval_rollup(spark, sf_dir):
     return TL.rollup(TL.label_samples(fx.calls(spark, sf_dir), fx.targets(spark)), C.SCRAPE_INTERVAL)
 
 
+#: Coarser grains, each built from the rows of the one before.
+GRAINS = ["1 hour", "1 day"]
+
+
+@query("rollup_grains", "\nUNION ALL\n".join(
+    f"SELECT '{g}' AS grain, * FROM ({_rollup_sql(g)})" for g in GRAINS))
+def q_rollup_grains(spark, sf_dir):
+    partials = TL.rollup(TL.label_samples(fx.calls(spark, sf_dir), fx.targets(spark)), C.SCRAPE_INTERVAL)
+    out = None
+    for grain in GRAINS:
+        partials = TL.coarser_rollup(partials, grain)
+        rows = partials.select(F.lit(grain).alias("grain"), *partials.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 STREAM_DELAY = "10 seconds"
 
 

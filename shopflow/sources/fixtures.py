@@ -71,6 +71,32 @@ SELECT p_partkey AS id, 'sku_' || CAST(p_partkey AS VARCHAR) AS sku_code,
 FROM part"""
 
 
+#: Years at whose start the stock is counted anew (orders run from 1995 to 2001).
+STOCK_YEARS = range(1996, 2001)
+
+
+def stock_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly snapshots of the whole stock: of three parts, one keeps its quantity, one
+    goes up by one every year and one by two (from 50 on, again from 1)."""
+    part = read_table(spark, sf_dir, "part")
+    counted = part.select(
+        F.concat(F.lit("sku_"), F.col("p_partkey").cast("string")).alias("sku_code"), "p_size", "p_partkey",
+        F.explode(F.array(*[F.lit(y) for y in STOCK_YEARS])).alias("year"))
+    first = STOCK_YEARS[0]
+    return counted.select(
+        (F.col("year") - first).cast("int").alias("snapshot"),
+        F.make_timestamp_ntz(F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("valid_from"),
+        "sku_code", ((F.col("p_size") - 1 + (F.col("year") - first) * (F.col("p_partkey") % 3)) % 50 + 1)
+        .cast("int").alias("quantity"))
+
+
+STOCK_HISTORY_SQL = f"""
+SELECT (y - {STOCK_YEARS[0]})::INT AS snapshot, make_timestamp(y, 1, 1, 0, 0, 0) AS valid_from,
+       'sku_' || CAST(p_partkey AS VARCHAR) AS sku_code,
+       ((p_size - 1 + (y - {STOCK_YEARS[0]}) * (p_partkey % 3)) % 50 + 1)::INT AS quantity
+FROM part, range({STOCK_YEARS[0]}, {STOCK_YEARS[-1] + 1}) AS years(y)"""
+
+
 # ----------------------------------------------------------------- requests --
 
 def line_keys(lineitem: DataFrame) -> DataFrame:
@@ -155,6 +181,19 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_users(line_requests(read_table(spark, sf_dir, "lineitem")), spark, sf_dir)
 
 
+def dated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, sku_code, quantity, requested_at) of every request."""
+    orders = counted_broadcast(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    lines = line_requests(read_table(spark, sf_dir, "lineitem"))
+    return lines.join(orders, lines.order_key == orders.o_orderkey, "left").select(
+        "request_id", "sku_code", "quantity", F.col("o_orderdate").alias("requested_at"))
+
+
+DATED_REQUESTS_SQL = f"""
+SELECT request_id, sku_code, quantity, o_orderdate AS requested_at
+FROM ({LINE_REQUESTS_SQL}) l LEFT JOIN orders ON l.order_key = o_orderkey"""
+
+
 def _known_user(column: str) -> str:
     return f"CASE WHEN l.order_key % {NO_USER} <> 0 THEN u.{column} END AS {column}"
 
@@ -381,3 +420,33 @@ def events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.when(F.col("order_number").startswith("0"),
                            F.expr("substring(value, 1, length(value) - 5)"))
                     .otherwise(F.col("value")).alias("value")))
+
+
+def events_avro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as registry-framed Avro values, with three kinds of poison
+    records: numbers that start with 0 lack their last five bytes, with 1 have a byte too
+    many, with 2 another magic byte."""
+    from shopflow.operators.decode import encode_events_avro
+    from shopflow.operators.orders import accepted_requests, build_events
+    first = F.substring("order_number", 1, 1)
+    return encode_events_avro(build_events(accepted_requests(spark, sf_dir))).select(
+        F.when(first == "0", F.expr("substring(value, 1, length(value) - 5)"))
+         .when(first == "1", F.concat(F.col("value"), F.unhex(F.lit("00"))))
+         .when(first == "2", F.concat(F.unhex(F.lit("01")), F.expr("substring(value, 2, length(value))")))
+         .otherwise(F.col("value")).alias("value"))
+
+
+def _avro_field_sql(column: str) -> str:
+    """Hex text of a string field: zig-zag length in one or two groups, UTF-8 bytes."""
+    n = f"strlen({column})"
+    return (f"CASE WHEN {n} < 64 THEN format('{{:02X}}', 2 * {n}) ELSE "
+            f"format('{{:02X}}{{:02X}}', 128 + (2 * {n}) % 128, (2 * {n}) // 128) END || hex(encode({column}))")
+
+
+#: Over a relation ``ev`` of order events: the framed values as hex text.
+EVENTS_AVRO_SQL = f"""
+SELECT *, left(order_number, 1) IN ('0', '1', '2') AS quarantined,
+       CASE left(order_number, 1) WHEN '0' THEN left(h, length(h) - 10) WHEN '1' THEN h || '00'
+            WHEN '2' THEN '01' || substr(h, 3) ELSE h END AS value
+FROM (SELECT *, '0000000001' || {' || '.join(_avro_field_sql(c) for c in (
+    'order_number', 'email', 'first_name', 'last_name'))} AS h FROM ev)"""

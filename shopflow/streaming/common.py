@@ -32,6 +32,14 @@ def topic_reader(spark: SparkSession, path: str, schema: str, fmt: str,
     return reader.load() if fmt == "kafka" else reader.schema(schema).load(path)
 
 
+def once(feed: DataFrame, key: str, arrived: str, window: str | None) -> DataFrame:
+    """The first delivery of each key, across micro-batches. The state forgets a key
+    after ``window``; None keeps all keys (RocksDB, spread by the key's hash)."""
+    if window is None:
+        return feed.dropDuplicates([key]).drop(key, arrived)
+    return feed.withWatermark(arrived, window).dropDuplicatesWithinWatermark([key]).drop(key, arrived)
+
+
 def start(writer: DataStreamWriter, checkpoint: str, trigger: dict | None = None,
           ) -> StreamingQuery:
     """Starts the query; with the default trigger it is waited for, with another

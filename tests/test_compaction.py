@@ -1,0 +1,122 @@
+"""Compaction keeps the rows, bounds the folders, and lets batches be run again."""
+
+from __future__ import annotations
+
+import pytest
+
+from shopflow.sources import compaction as Z
+from shopflow.sources import sinks
+from shopflow.sources.compaction import compact, read_batches
+from shopflow.sources.storage import run_dir
+from shopflow.sources.tables import file_system
+
+SCHEMA = "k string, v int"
+
+
+def _write(spark, path, batch, n=3, value=0):
+    rows = spark.range(n).selectExpr(f"concat('k{batch}-', id) as k", f"cast({value} as int) as v")
+    sinks.write_batch(rows.coalesce(1), path, batch)
+
+
+def _rows(spark, path):
+    return sorted((r.batch_id, r.k, r.v) for r in read_batches(spark, path, SCHEMA).collect())
+
+
+def _names(spark, path):
+    files, target = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(target)
+                  if f.getPath().getName().split("=")[0] in ("span", "batch_id"))
+
+
+def test_rows_stay_and_folders_are_bounded(spark):
+    path = run_dir(spark, "compact")
+    for b in range(60):
+        _write(spark, path, b, 2)
+        if b % 20 == 19:
+            before = _rows(spark, path)
+            assert compact(spark, path, SCHEMA) >= 1
+            assert _rows(spark, path) == before
+    compact(spark, path, SCHEMA)
+    assert len(_rows(spark, path)) == 120
+    assert len([n for n in _names(spark, path)]) <= 4
+    assert compact(spark, path, SCHEMA) == 0
+
+
+def test_a_batch_inside_a_span_is_run_again(spark):
+    path = run_dir(spark, "compact")
+    for b in range(6):
+        _write(spark, path, b)
+    compact(spark, path, SCHEMA)
+    _write(spark, path, 2, 2, value=7)
+    _write(spark, path, 3, 0)                               # now without rows
+    want = sorted([(b, f"k{b}-{i}", 0) for b in (0, 1, 4, 5) for i in range(3)] + [(2, "k2-0", 7), (2, "k2-1", 7)])
+    assert _rows(spark, path) == want
+    for _ in range(3):
+        compact(spark, path, SCHEMA)
+        assert _rows(spark, path) == want
+    assert len(_names(spark, path)) <= 3
+
+
+def test_bins_by_size(spark):
+    path = run_dir(spark, "compact")
+    for b in range(9):
+        _write(spark, path, b, 50)
+    files, target = file_system(spark, f"{path}/batch_id=0")
+    one = files.getContentSummary(target).getLength()
+    assert compact(spark, path, SCHEMA, target_bytes=int(one * 3.5)) == 3
+    spans = [n for n in _names(spark, path) if n.startswith("span=")]
+    assert [n.rsplit("-", 1)[0] for n in spans] == ["span=0-2", "span=3-5", "span=6-7"]
+    assert len(_rows(spark, path)) == 450
+
+
+def test_stopping_anywhere_leaves_the_same_rows(spark, monkeypatch):
+    path = run_dir(spark, "compact")
+    for b in range(5):
+        _write(spark, path, b)
+    compact(spark, path, SCHEMA)
+    _write(spark, path, 1, 1, value=9)
+    _write(spark, path, 5)
+    want = _rows(spark, path)
+
+    for marks in (0, 1, 3):
+        left = [marks]
+        real = Z.file_system
+
+        def failing(session, at):
+            if at.endswith(Z.PACKED):
+                left[0] -= 1
+                if left[0] < 0:
+                    raise OSError("stopped")
+            return real(session, at)
+
+        monkeypatch.setattr(Z, "file_system", failing)
+        with pytest.raises(OSError):
+            compact(spark, path, SCHEMA, keep_last=0)
+        monkeypatch.undo()
+        assert _rows(spark, path) == want
+        _write(spark, path, 4, 3)                            # run again in between
+        assert _rows(spark, path) == want
+    compact(spark, path, SCHEMA)
+    assert _rows(spark, path) == want
+
+
+def test_reader_under_way_finds_its_files(spark):
+    path = run_dir(spark, "compact")
+    for b in range(4):
+        _write(spark, path, b)
+    reader = read_batches(spark, path, SCHEMA)
+    compact(spark, path, SCHEMA)
+    assert reader.count() == 12
+
+
+def test_only_the_asked_batches_are_read(spark):
+    path = run_dir(spark, "compact")
+    for b in range(8):
+        _write(spark, path, b)
+    only = read_batches(spark, path, SCHEMA, [2, 5])
+    assert sorted({f.split("batch_id=")[1].split("/")[0] for f in only.inputFiles()}) == ["2", "5"]
+    compact(spark, path, SCHEMA)
+    _write(spark, path, 2, 1, value=4)
+    got = sorted((r.batch_id, r.v) for r in read_batches(spark, path, SCHEMA, [2, 5]).collect())
+    assert got == [(2, 4), (5, 0), (5, 0), (5, 0)]
+    assert read_batches(spark, run_dir(spark, "nothing"), SCHEMA).count() == 0

@@ -1,0 +1,101 @@
+"""Failure rates over a live feed equal those of the batch; coarser rollups equal direct ones."""
+
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from shopflow.operators import telemetry as TL
+from shopflow.sources import fixtures as fx
+from shopflow.sources import sinks
+from shopflow.sources.storage import run_dir
+from shopflow.streaming.failure_stream import (CALL_SCHEMA, FailurePaths, process_calls, run_failure_stream)
+from tests.conftest import SMALL
+
+START = datetime(2024, 1, 1)
+
+
+def _calls(spark, rows):
+    return spark.createDataFrame(
+        [(i, "svc", e, START + timedelta(seconds=s), bad, 0.1) for i, e, s, bad in rows], CALL_SCHEMA)
+
+
+def _rates(df):
+    return {r.event_id: (r.n_calls, r.n_failed, r.flagged) for r in df.collect()}
+
+
+def _paths(spark):
+    base = run_dir(spark, "failures")
+    return FailurePaths(f"{base}/rates", f"{base}/tails", f"{base}/cp")
+
+
+def brute(batches, n):
+    past, out = {}, {}
+    for batch in batches:
+        for i, e, _, bad in sorted(batch, key=lambda r: (r[2], r[1])):
+            own = past.setdefault(i, [])
+            own.append(bool(bad))
+            last = own[-n:]
+            out[e] = (len(last), sum(last), len(last) >= 5 and sum(last) / len(last) >= 0.5)
+    return out
+
+
+def test_windows_reach_over_batches(spark):
+    rng, e, batches = random.Random(4), 0, []
+    for b in range(3):
+        rows = []
+        for _ in range((40, 0, 30)[b]):
+            e += 1
+            # Some calls are late: older than those of the batch before.
+            rows.append((rng.choice("abc"), e, 100 * b + rng.randrange(-150, 100), rng.choice((True, False, None))))
+        batches.append(rows)
+    batches += [[("a", e + 1, 900, True)], [("d", e + 2, 901, True), ("a", e + 3, 902, True)]]
+    paths = _paths(spark)
+    for n, rows in enumerate(batches):
+        for _ in range(1 + n % 2):              # some batches are run again
+            process_calls(paths, _calls(spark, rows), n, 5, block_rows=16)
+    assert _rates(spark.read.parquet(paths.rates)) == brute(batches, 5)
+    kept = spark.read.parquet(paths.tails).select("batch_id").distinct().count()
+    assert kept == 2
+
+
+def test_stream_equals_batch(spark):
+    calls, topic, paths = fx.calls(spark, SMALL), run_dir(spark, "calls"), None
+    cut = calls.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    middle = F.lit(cut.a + (cut.b - cut.a) / 2)
+    for part in (F.col("ts") <= middle, F.col("ts") > middle):
+        sinks.append(calls.where(part), topic)
+        paths = run_failure_stream(spark, topic, paths, 5, block_rows=64)
+    got = spark.read.parquet(paths.rates)
+    assert got.select("batch_id").distinct().count() > 1
+    batch = TL.failure_rate(calls.withColumn("failed", TL.failed_call("error", "duration_s", None)), 5)
+    columns = ["event_id", "instance", "n_calls", "n_failed", "failure_rate", "flagged"]
+    assert got.count() == calls.count()
+    assert got.select(*columns).exceptAll(batch.select(*columns)).count() == 0
+
+
+def test_rollup_of_a_rollup(spark):
+    samples = TL.label_samples(fx.calls(spark, SMALL), fx.targets(spark))
+    fine = TL.rollup(samples, "2 seconds")
+    for grain in ("1 hour", "1 day"):
+        direct = TL.rollup(samples, grain)
+        built = TL.coarser_rollup(fine, grain)
+        assert built.schema.simpleString() == direct.schema.simpleString()
+        assert built.exceptAll(direct).count() == direct.exceptAll(built).count() == 0
+    day = TL.coarser_rollup(TL.coarser_rollup(fine, "1 hour"), "1 day")
+    assert day.count() * 4 < fine.count()
+    # Partial rows of one window, as a stream's late batches leave them, add up.
+    twice = TL.coarser_rollup(fine.unionByName(fine), "1 day")
+    assert twice.agg(F.sum("samples")).first()[0] == 2 * samples.count()
+    scans = TL.coarser_rollup(fine, "1 day")._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("Relation [") == 1
+
+
+def test_histogram_aggregates_the_spans_once(spark):
+    plan = TL.duration_histogram(fx.spans(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    got = TL.duration_histogram(fx.spans(spark, SMALL).withColumn("duration_s", F.lit(None).cast("double")))
+    rows = got.where("samples > 0").collect()
+    assert {r.le for r in rows} == {float("inf")} and all(r.samples == r.total_samples for r in rows)
