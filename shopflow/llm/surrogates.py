@@ -13,7 +13,15 @@ format by a keyed Feistel network, so different values of one format differ.
 Names are built from syllables, where two may meet. A check over all distinct
 values of the corpus finds surrogates that meet each other or a real value; the
 first keeps its surrogate and the others draw again, until all are distinct. One
-value has one surrogate everywhere, so references stay references.
+value has one surrogate everywhere, so references stay references. A name found after
+a title is one person in its document: titles of that name agree on the gender (the first
+that tells it), and the name, or its last word alone, is replaced without a title too.
+
+A format may have too few values: one only (``_@-.com``), or all in use by the corpus.
+After every ``ROUNDS`` attempts the surrogate is drawn from a wider space, marked as
+such: a longer mail name, an extension ``x123456`` behind digits, a private IPv6 address
+for IPv4, more syllables. Every widening multiplies the space by 4,000 at least, so it
+outgrows any table and the redrawing ends.
 
 Defined results: null texts stay null, texts without personal data stay as they
 are, repeated rows are treated alike, other columns are carried unchanged.
@@ -36,6 +44,8 @@ from shopflow.llm.store import Store, bounded_batches, tidied
 KEY = b"surrogates"
 #: Redrawn values (about so many bytes) are broadcast at most, else joined.
 BROADCAST_BYTES = 8 << 20
+#: Attempts after which a surrogate is drawn from a wider space.
+ROUNDS = 3
 
 # Titles and the gender that each tells.
 TITLES = {
@@ -194,7 +204,7 @@ def _name(words: str, gender: str, key: bytes, attempt: int) -> str:
         h = int.from_bytes(hashlib.blake2b(f"{w}|{attempt}|{gender if given else ''}".encode(),
                                            key=key[:64], digest_size=16).digest(), "big")
         made = ""
-        for _ in range(3):
+        for _ in range(3 + 2 * (attempt // ROUNDS)):
             h, s = divmod(h, len(SYLLABLES[script]))
             made += SYLLABLES[script][s]
         if given:
@@ -224,8 +234,30 @@ def normal(kind: str, found: str, gender: str = "") -> str:
     return re.sub(r"\D", "", found)
 
 
+def _drawn_number(value: str, attempt: int, key: bytes, n: int) -> int:
+    h = hashlib.blake2b(f"{value}|{attempt}".encode(), key=key[:64], digest_size=64).digest()
+    return int.from_bytes(h, "big") % n
+
+
+def _widened(kind: str, value: str, attempt: int, key: bytes) -> str:
+    """The surrogate's normal form in a space wider than the value's format."""
+    wider = attempt // ROUNDS
+    if kind == "email":
+        local, domain = value.split("@")
+        x, more = _drawn_number(value, attempt, key, 26 ** (6 * wider)), ""
+        for _ in range(6 * wider):
+            x, letter = divmod(x, 26)
+            more += chr(97 + letter)
+        return f"{local[:1] if local[:1].isalpha() else 'x'}{more}@{domain}"
+    if kind == "ip":
+        return str(ipaddress.IPv6Address(0xFD << 120 | _drawn_number(value, attempt, key, 1 << 120)))
+    return f"{surrogate(kind, value, 0, key)}x{_drawn_number(value, attempt, key, 10 ** (6 * wider)):0{6 * wider}}"
+
+
 def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     """The normal form of the surrogate of a normal form."""
+    if attempt >= ROUNDS and kind != "name":
+        return _widened(kind, value, attempt, key)
     tweak = f"{kind}{attempt}"
     if kind == "email":
         local, domain = value.split("@")
@@ -261,21 +293,25 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
 
 def poured(kind: str, found: str, new: str) -> str:
     """The surrogate's normal form in the format of an occurrence."""
+    if kind == "email" and len(found) != len(new):      # widened
+        return new
     if kind == "email":
         return "".join(c.upper() if o.isupper() else c for o, c in zip(found, new, strict=True))
     if kind == "ip":
         return new.upper() if any(map(str.isupper, found)) else new
     if kind == "name":
-        out = []
-        for old, w in zip(found.split(" "), new.split(":", 1)[1].split(" "), strict=True):
+        out, words = [], found.split(" ")
+        # The last word alone stands for the whole name.
+        for old, w in zip(words, new.split(":", 1)[1].split(" ")[-len(words):], strict=True):
             out.append(w.upper() if old.isupper() and len(old) > 1 else w[0].upper() + w[1:])
         return " ".join(out)
     head = 0
     if kind == "phone" and found.startswith("+"):
         code, new = new.split(":")
         head = len(code)
+    new, mark, extension = new.partition("x")
     digits = iter(new)
-    return found[:head] + "".join(next(digits) if c.isdigit() else c for c in found[head:])
+    return found[:head] + "".join(next(digits) if c.isdigit() else c for c in found[head:]) + mark + extension
 
 
 def may_hold_entities(text: str) -> bool:
@@ -295,26 +331,58 @@ def _is_address(found: str) -> bool:
 
 
 def entities(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, kind, as found, normal form) from left to right."""
+    """(start, end, kind, as found, normal form) from left to right. The normal form
+    of a name's last word alone is that of the name, with ``#`` behind it."""
     if not may_hold_entities(text):
         return
+    found, genders = [], {}
     for m in PATTERNS.finditer(text):
         kind = "ip" if m.group("ip6") else next(k for k in KINDS if m.group(k))
         if m.group("ip6") and not _is_address(m.group()):
             continue
         if kind == "name":
-            title = m.group().split(" ", 1)[0].rstrip(".")
-            yield (*m.span("who"), kind, m.group("who"),
-                   normal(kind, m.group("who"), TITLES[title]))
+            who, gender = m.group("who"), TITLES[m.group().split(" ", 1)[0].rstrip(".")]
+            found.append((*m.span("who"), kind, who, ""))
+            if genders.get(who.lower(), "n") == "n":
+                genders[who.lower()] = gender
         else:
-            yield (*m.span(), kind, m.group(), normal(kind, m.group()))
+            found.append((*m.span(), kind, m.group(), normal(kind, m.group())))
+    if genders:
+        found = sorted([*found, *_untitled(text, found)])
+    for start, end, kind, shown, value in found:
+        if kind == "name":
+            whole = value or shown
+            value = normal(kind, whole, genders[whole.lower()]) + ("#" if value not in ("", shown) else "")
+        yield start, end, kind, shown, value
+
+
+def _untitled(text: str, found: list) -> Iterator[tuple[int, int, str, str, str]]:
+    """Names of the document, and their last words, where they stand without a title."""
+    names = ahocorasick.Automaton()
+    for _, _, kind, who, _ in found:
+        if kind == "name":
+            for short in (who, who.rsplit(" ", 1)[-1]):
+                if short not in names:           # of two persons of one last name, the first
+                    names.add_word(short, (short, who))
+    names.make_automaton()
+    taken, at = [(start, end) for start, end, *_ in found], 0
+    inside = lambda c: c.isalnum() or c in "_'’-"
+    for last, (short, who) in names.iter_long(text):
+        start, end = last - len(short) + 1, last + 1
+        if inside(text[start - 1:start] or " ") or inside(text[end:end + 1] or " "):
+            continue
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at == len(taken) or end <= taken[at][0]:
+            yield start, end, "name", short, who
 
 
 def replace(text: str, redrawn: dict[tuple[str, str], str], key: bytes = KEY) -> tuple[str, list]:
     """(text with surrogates, spans of them as (kind, start, end))."""
     out, at, size, spans = [], 0, 0, []
     for start, end, kind, found, value in entities(text):
-        new = poured(kind, found, redrawn.get((kind, value)) or surrogate(kind, value, 0, key))
+        whole = value.removesuffix("#")
+        new = poured(kind, found, redrawn.get((kind, whole)) or surrogate(kind, whole, 0, key))
         out += [text[at:start], new]
         size += start - at
         spans.append({"kind": kind, "start": size, "end": size + len(new)})
@@ -327,7 +395,7 @@ def replace(text: str, redrawn: dict[tuple[str, str], str], key: bytes = KEY) ->
 
 def _distinct_rows(batches):
     for batch in batches:
-        seen = sorted({(e[2], e[4]) for t in batch.column(0) for e in entities(t.as_py() or "")})
+        seen = sorted({(e[2], e[4].removesuffix("#")) for t in batch.column(0) for e in entities(t.as_py() or "")})
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string())],
             ["kind", "value"])
@@ -422,7 +490,7 @@ def with_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY,
 
 def _needed_rows(batches):
     for batch in batches:
-        rows = [(k.as_py(), e[2], e[4]) for t, k in zip(batch.column(0), batch.column(1), strict=True)
+        rows = [(k.as_py(), e[2], e[4].removesuffix("#")) for t, k in zip(batch.column(0), batch.column(1), strict=True)
                 for e in entities(t.as_py())]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], pa.string()) for i in range(3)],

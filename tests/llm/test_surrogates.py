@@ -143,3 +143,57 @@ def test_the_quick_look_loses_nothing(spark):
     texts += ["Mr. Smith", "Frau Weber", "a@b.de", "10.1.1.1", "γκαι κυρία Ελένη", "", "Dr Who", "Mr.Smith"]
     skipped = [t for t in texts if not S.may_hold_entities(t)]
     assert len(skipped) > 500 and not any(S.PATTERNS.search(t) for t in skipped)
+
+
+def _put(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in sorted(S.with_surrogates(docs).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_formats_with_one_value_are_widened(spark):
+    """The format of each has itself as its only value; redrawing ends all the same."""
+    olds = ["_@-.com", "__@--.de", "%@-.com"]
+    puts = _put(spark, [f"write to {o} now" for o in olds])
+    assert len(set(puts)) == 3
+    for old, put in zip(olds, puts, strict=True):
+        assert old not in put and re.fullmatch(r"write to \S+@\S+\.(com|de) now", put)
+
+
+def test_a_format_whose_values_are_all_in_use(spark):
+    """All 676 addresses of one letter each, and all of one network's."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    olds = [f"{a}@{b}.com" for a in letters for b in letters]
+    puts = _put(spark, [" and ".join(olds[i:i + 100]) for i in range(0, len(olds), 100)])
+    news = [w for p in puts for w in p.split(" and ")]
+    assert len(set(news)) == 676 and not set(news) & set(olds)
+
+
+def test_widened_forms():
+    for kind, value in (("email", "a@b.com"), ("ssn", "123456789"), ("card", "4111111111111111"),
+                        ("phone", "+1:4155552671"), ("phone", "4155552671"), ("ip", "192.168.0.1")):
+        drawn = {S.surrogate(kind, value, n) for n in range(S.ROUNDS, 4 * S.ROUNDS)}
+        assert len(drawn) == 3 * S.ROUNDS
+    assert S.poured("ssn", "123-45-6789", "987654321x000123") == "987-65-4321x000123"
+    assert len(S.surrogate("name", "m:smith", 9)) > len(S.surrogate("name", "m:smith", 0))
+
+
+def test_a_person_is_one_person_in_a_document():
+    text = ("Dr Mary Jones and Mrs Mary Jones met. Mary Jones spoke; Jones left. Joneses and "
+            "Mary-Ann Jonesy stayed. MR. Brown met Mr. Brown.")
+    new, spans = S.replace(text, {})
+    puts = [new[s["start"]:s["end"]] for s in spans]
+    full = puts[0]
+    assert puts[:4] == [full, full, full, full.split(" ")[1]]
+    assert full.split(" ")[0].endswith(S.ENDINGS["latin"]["f"])       # Mrs tells, Dr does not
+    assert "Mary Jones" not in new and "; Jones" not in new
+    assert "Joneses" in new and "Mary-Ann Jonesy" in new and "Brown" not in new
+    assert [e[4] for e in S.entities("Mr Al Fox, Mr Bo Fox. Fox.")] == ["m:al fox", "m:bo fox", "m:al fox#"]
+
+
+def test_many_names_in_one_long_text_take_linear_time():
+    import time
+    names = [f"{a}{b}son" for a in ("Al", "Bo", "Cy", "Di", "Ed") for b in range(1000)]
+    text = " ".join(f"Mr. X{n} met." for n in names) + " X".join([" ", *names]) * 5
+    began = time.time()
+    assert len(list(S.entities(text))) >= 5000
+    assert time.time() - began < 20
