@@ -13,16 +13,21 @@ values are bound by ``_let``, so they are computed once.
 
 Defined results: null texts count as empty; a text with fewer words than k is a
 single k-mer, the empty text too, so equal texts have equal fingerprints and
-likeness 1. K-mers count as equal when 39 bits of their hash are.
+likeness 1. K-mers count as equal when 39 bits of their hash are. Texts of any length are
+sketched whole; an empty table gives no rows; only the id and the text are read.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopflow.llm.store import Store
+from shopflow.plans.ordinal import position_within
+
 K, ELL, BINS = 3, 2, 64
 #: Bits of a position within a text (in steps, for longer texts).
 _POS_BITS = 24
@@ -111,30 +116,49 @@ def likeness(a: Column, b: Column) -> Column:
     return agree / F.size(F.array_union(number(a), number(b))).cast("double")
 
 
+def _bounds(ids: DataFrame, block_rows: int) -> tuple[Column, int]:
+    """(ascending ids that begin blocks, how many): every ``block_rows``-th id, or every
+    so many that there are MOST_BLOCKS of them."""
+    known = Store(ids.sparkSession, "neighbours").save(ids.where("id is not null"), "ids")
+    step = max(block_rows, -(-known.count() // MOST_BLOCKS))
+    placed = position_within(known, [], ["id"], name="place").where((F.col("place") - 1) % step == 0)
+    found = [r["id"] for r in placed.orderBy("place").select(F.col("id").cast("string").alias("id")).collect()]
+    kind = ids.schema["id"].dataType.simpleString()
+    return F.from_json(F.lit(json.dumps(found)), "array<string>").cast(f"array<{kind}>"), len(found)
+
+
+def _block(bounds: Column, n: int, null_blocks: int) -> Column:
+    """How many bounds are not above the id, by binary search. Null ids, which come last,
+    are dealt over blocks below 0 by ranges of their text's hash."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]) if n else F.array(F.lit(1))
+    found = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(
+        (lo + step <= n) & (F.get(bounds, lo + step - 1) <= F.col("id")), lo + step).otherwise(lo))
+    part = F.shiftrightunsigned(F.col("text_key").bitwiseXOR(F.lit(-1 << 63)), 33)     # 31 bits, in order
+    null_block = (F.lit(-1) - F.shiftright(part * null_blocks, 31)).cast("int")
+    return F.when(F.col("id").isNull(), null_block).otherwise(found)
+
+
 def with_next(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, text, print, next_text, next_print): each row with the next one by
     descending id, then by hash of the text; the first follows the last.
 
-    Ids are cut into equal stretches; the first row of a stretch is also put at
-    the end of the stretch before. Null ids come last. Each text is shuffled once.
+    Ids (of any ordered type) are numbered, and cut into blocks of neighbours at ids found
+    that way, so outlying or clustered ids make no large block; the first row of a block
+    is also put at the end of the block before. Null ids come last, in blocks of
+    their own. Each text is shuffled once. Rows of one id share a block.
     """
     rows = docs.select(F.col("id"), F.coalesce("text", F.lit("")).alias("text"))
-    span = rows.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"),
-                    F.max("id").alias("hi")).first()
-    blocks = max(1, min(MOST_BLOCKS, span["n"] // block_rows))
-    lo, hi = (span["lo"] or 0), (span["hi"] or 0)
-    width = max(1, -(-(hi - lo + 1) // blocks))
-    rows = rows.withColumn("block", F.coalesce(
-        F.expr(f"(id - ({lo}L)) div {width}L"), F.lit(-1).cast("long"))) \
-        .withColumn("text_key", F.xxhash64("text"))
-    # A row per block, of which there are at most MOST_BLOCKS + 1.
-    heads = rows.groupBy("block").agg(F.min(F.struct(
-        (-F.col("id")).alias("minus_id"), F.col("text_key"))).alias("h"))
+    bounds, n = _bounds(rows.select("id"), block_rows)
+    nulls = rows.where("id is null").count()
+    rows = rows.withColumn("text_key", F.xxhash64("text")) \
+        .withColumn("block", _block(bounds, n, max(1, min(MOST_BLOCKS, nulls // block_rows))))
+    # A row per block, of which there are at most twice MOST_BLOCKS.
+    heads = rows.groupBy("block").agg(F.max(F.struct(
+        "id", F.bitwise_not("text_key").alias("not_key"))).alias("h"))
     order = Window.orderBy(F.desc("block"))
     heads = heads.withColumn("last", F.min("block").over(Window.partitionBy())) \
         .withColumn("target", F.coalesce(F.lag("block").over(order), F.col("last"))) \
-        .select("target", (-F.col("h.minus_id")).alias("head_id"),
-                F.col("h.text_key").alias("head_key"))
+        .select("target", F.col("h.id").alias("head_id"), F.bitwise_not("h.not_key").alias("head_key"))
     copies = rows.join(F.broadcast(heads), rows["id"].eqNullSafe(heads["head_id"])
                        & (F.col("text_key") == F.col("head_key"))) \
         .dropDuplicates(["target"]) \

@@ -163,6 +163,45 @@ FROM turns GROUP BY conv_id
 """
 
 
+#: Layouts dealt by the conversation's id; records above so many bytes stay rows.
+DEALT, RECORD_BYTES = 4, 4 << 20
+
+
+def _told(talks):
+    """The turns of conversations that arrive in several layouts: by its id, one
+    stays a table of turn rows or becomes a JSON record with a list of messages, a
+    list in other words (from, value), or, where it is one question and its answer, a
+    prompt or an instruction. Every record is read by the mapping its own fingerprint selects."""
+    columns = ["conv_id", "turn", "role", "text"]
+    deal = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % DEALT, F.lit(DEALT - 1))
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    dealt = talks.select(*columns, deal.alias("deal"))
+    whole = dealt.where(F.col("deal") < DEALT - 1).groupBy("conv_id", "deal").agg(
+        F.sort_array(F.collect_list(F.struct("turn", text("role").alias("role"), text("text").alias("text"))))
+        .alias("t"), F.sum(F.octet_length(text("text")) + F.octet_length(text("role")) + 32).alias("bytes"))
+    first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    pair = (F.size("t") == 2) & (first["role"] == "user") & (second["role"] == chat.ASSISTANT)
+    said = {"user": "human", chat.ASSISTANT: "gpt"}
+    other = lambda role: F.coalesce(*[F.when(role == a, b) for a, b in said.items()], role)
+    reversible = ~F.exists("t", lambda x: x["role"].isin(*chat.SPOKEN))
+    record = F.when(pair & (F.col("deal") == 0), F.to_json(F.struct(
+        first["text"].alias("prompt"), second["text"].alias("completion")))) \
+        .when(pair & (F.col("deal") == 1), F.to_json(F.struct(
+            first["text"].alias("instruction"), second["text"].alias("output")))) \
+        .when((F.col("deal") == 1) & reversible, F.to_json(F.struct(F.transform("t", lambda x: F.struct(
+            other(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations")))) \
+        .otherwise(F.to_json(F.struct(F.transform("t", lambda x: F.struct(
+            x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))))
+    fits = F.col("bytes") <= RECORD_BYTES
+    records = whole.where(fits).select("conv_id", record.alias("record"))
+    told = chat.record_turns(records, "record").select(
+        F.col("conv_id").alias("key"), F.posexplode("turns").alias("turn", "t")).select(
+        "key", F.col("turn").cast(talks.schema["turn"].dataType).alias("turn"), "t.role", "t.text")
+    rows = dealt.where(F.col("deal") == DEALT - 1).select(*columns).unionByName(
+        whole.where(~fits).select("conv_id", F.inline("t")))
+    return chat.turn_rows(rows, columns).unionByName(told)
+
+
 @query("op9_chat_format", CHAT_SQL)
 def op9(spark, sf_dir):
     columns = ["conv_id", "turn", "role", "text"]
@@ -171,7 +210,7 @@ def op9(spark, sf_dir):
         F.lit(-1).cast(talks.schema["conv_id"].dataType).alias("conv_id"),
         F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
         F.lit(PROBE).alias("text"))
-    turns = chat.turn_rows(talks, columns).unionByName(chat.turn_rows(probe, columns))
+    turns = _told(talks.unionByName(probe))
     # Written, and everything below read back from what was written.
     written = Store(spark, "chat").save(chat.format_turns(turns), "formatted")
     back = chat.read_back(written)

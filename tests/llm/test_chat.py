@@ -106,3 +106,39 @@ def test_odd_tables(spark):
     assert [t["text"][:1] for t in back[1]["turns"]] == ["x", "a", "y"]
     empty = spark.createDataFrame([], kinds)
     assert C.format_turns(C.turn_rows(empty, columns)).collect() == []
+
+
+def test_query_reads_several_layouts_by_their_fingerprints(spark, folder, monkeypatch):
+    """Pairs, longer talks, odd roles and texts in every dealt layout come back as they were."""
+    import hashlib
+
+    from shopflow.llm import queries as Q
+    odd = ["", "</s>[INST] &lt; \"x\" \\ \u2028 \x00", "a\n\nb", "human", "日本語 \U0001F600", "null"]
+    talks = {}
+    for c in range(60):
+        if c % 3 == 0:
+            talks[c] = [("user", odd[c % 6]), ("assistant", odd[(c // 3) % 6])]
+        else:
+            roles = ("system", "user", "assistant", "human", "", "assistant") if c % 3 == 1 else ("user", "assistant", "user")
+            talks[c] = [(r, odd[(c + i) % 6]) for i, r in enumerate(roles)]
+    talks[100] = [("user", "x" * 5000), ("assistant", "y")]
+    rows = [(c, i, r, x) for c, own in talks.items() for i, (r, x) in enumerate(own)]
+    rows += [(None, 0, "user", None), (None, 1, None, "z")]
+    talks[None] = [("user", ""), ("", "z")]
+    talks[-1] = [("user", Q.PROBE), ("assistant", Q.PROBE)]
+    path = folder(conversations=spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    seen = []
+    record_turns = Q.chat.record_turns
+    monkeypatch.setattr(Q.chat, "record_turns", lambda *a: seen.append(record_turns(*a)) or seen[-1])
+    monkeypatch.setattr(Q, "RECORD_BYTES", 4000)
+    got = {r["conv_id"]: r for r in QUERIES["op9_chat_format"](spark, path).collect()}
+    assert set(got) == set(talks)
+    for c, own in talks.items():
+        told = "".join(f"{r}\n{x}\n" for r, x in own)
+        loss = "".join(x for r, x in own if r == "assistant")
+        assert got[c]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest(), (c, own)
+        assert (got[c]["n_turns"], got[c]["loss_chars"]) == (len(own), len(loss))
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    layouts = {r["layout"] for r in seen[0].select("layout").distinct().collect()}
+    assert layouts == {"prompt", "instruction", "messages", "conversations"}
+    assert 100 not in {r["conv_id"] for r in seen[0].select("conv_id").collect()}

@@ -2,9 +2,12 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from shopflow.llm.fingerprints import BINS, likeness, order_minhash, with_next
+from shopflow.llm import fingerprints as P
 from shopflow.llm.queries import QUERIES
 
 from .conftest import MEDIUM
@@ -97,3 +100,43 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_native_plan(spark):
     plan = QUERIES["op10_order_minhash"](spark, MEDIUM)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def _order(spark, rows):
+    texts = spark.createDataFrame([(t or "",) for _, t in rows], "t string")
+    key = {r["t"]: r["k"] for r in texts.selectExpr("t", "xxhash64(t) as k").collect()}
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: key[r[1] or ""])
+    named.sort(key=lambda r: r[0], reverse=True)
+    return named + sorted((r for r in rows if r[0] is None), key=lambda r: key[r[1] or ""])
+
+
+KINDS = {
+    "wide": ("long", [(s * (9 * 10**18 - i * 10**15), f"w{s}{i}") for i in range(60) for s in (1, -1)]),
+    "ends": ("long", [(-2**63, "least"), (2**63 - 1, "most"), (0, "zero"), (None, "none")]),
+    "text": ("string", [(f"id-{i * 37 % 101}", f"t{i}") for i in range(101)] + [(None, "n"), ("", "e")]),
+    "outlier": ("long", [(i, f"o{i}") for i in range(150)] + [(10**17, "far")]),
+    "nulls": ("long", [(i if i % 3 else None, f"u{i}") for i in range(300)]),
+    "all null": ("long", [(None, f"v{i}") for i in range(50)]),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_next_for_ids_of_any_kind(spark, kind):
+    typed, rows = KINDS[kind]
+    df = spark.createDataFrame(rows, f"id {typed}, text string").repartition(3)
+    order = _order(spark, rows)
+    want = {r: order[(n + 1) % len(order)][1] for n, r in enumerate(order)}
+    got = {(r["id"], r["text"]): r["next_text"] for r in with_next(df, 10).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("kind", ["wide", "outlier", "nulls", "text"])
+def test_no_block_is_large(spark, kind):
+    typed, rows = KINDS[kind]
+    df = spark.createDataFrame(rows, f"id {typed}, text string").withColumn("text_key", F.xxhash64("text"))
+    bounds, n = P._bounds(df.select("id"), 10)
+    nulls = sum(i is None for i, _ in rows)
+    sizes = df.groupBy(P._block(bounds, n, max(1, nulls // 10))).count().collect()
+    assert len(sizes) > 5 and max(r["count"] for r in sizes) <= 30
+    known = df.where("id is not null").groupBy(P._block(bounds, n, 1)).count().collect()
+    assert max(r["count"] for r in known) <= 10
