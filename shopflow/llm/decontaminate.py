@@ -14,7 +14,9 @@ long (or as long as the item) and ``min_match`` of its words agree.
 The documents' windows pass a bitmap of the test hashes before the join. The
 bitmap has a fixed size whatever the benchmark's; it lets every true hit pass,
 and the join drops the others. Documents are read once; what passes is written
-as regions (the words around neighbouring hits) in the shared folder.
+as regions in the shared folder: the words from the longest item's length before the first of
+neighbouring hits to as many behind the last, so no overlap is cut. (Hits nearer than that
+share a region, so regions hold three times the document's words at most.)
 
 Items shorter than one window are found where their whole word sequence stands,
 by its hash; a row gives the first place. Each character of a script written
@@ -22,7 +24,8 @@ without blanks (Han, kana, Thai and others) counts as a word.
 
 Defined results: null or empty texts, and those without a word, match nothing. Every row of documents is judged by its text; a row per (row's
 id, text, item) found, so repeated rows give one row. Null ids are carried.
-Other columns are ignored and may have any name.
+Other columns are ignored and may have any name. Very long texts are searched whole; an
+empty table of documents or items gives no rows.
 """
 
 from __future__ import annotations
@@ -42,8 +45,6 @@ SPAN, PARTS = 12, 4
 MASKS = tuple(
     tuple(p for p in range(SPAN) if p // (SPAN // PARTS) not in left_out)
     for left_out in itertools.combinations(range(PARTS), 2))
-#: Words kept on each side of a region for growing the overlap.
-CONTEXT = 64
 DROP = 6
 BITMAP_BITS = 24
 #: Word hashes of all items up to so many bytes are broadcast, else shuffled.
@@ -126,7 +127,7 @@ def bitmap(test: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _regions(shared_bits, lengths):
+def _regions(shared_bits, lengths, context):
     def run(batches):
         bits = np.frombuffer(shared_bits.value, np.uint64)
         one, six, low = np.uint64(1), np.uint64(6), np.uint64(63)
@@ -148,7 +149,7 @@ def _regions(shared_bits, lengths):
                     if len(at):
                         found.append((np.full(len(at), m, np.int32), h[at].view(np.int64), at))
                 if found:
-                    _collect(out, found, words, first, a)
+                    _collect(out, found, words, first, a, context)
                 for n in lengths:
                     h = short_hashes(words, n)
                     p, q = _probes(h)
@@ -166,18 +167,19 @@ def _regions(shared_bits, lengths):
     return run
 
 
-def _collect(out, found, words, first, base):
-    """Hits less than a window apart in a row form one region."""
+def _collect(out, found, words, first, base, context):
+    """Hits less than ``context`` words apart in a row form one region, with so
+    many words on each side."""
     mask, value, at = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(at, kind="stable")
     mask, value, at = mask[order], value[order], at[order]
     row = np.searchsorted(first, at, side="right") - 1
-    new = np.concatenate(([True], (np.diff(at) >= SPAN) | (np.diff(row) > 0)))
+    new = np.concatenate(([True], (np.diff(at) >= max(SPAN, context)) | (np.diff(row) > 0)))
     edges = np.append(np.flatnonzero(new), len(at))
     for s, e in zip(edges[:-1], edges[1:], strict=True):
         r = int(row[s])
-        lo = max(int(first[r]), int(at[s]) - CONTEXT)
-        hi = min(int(first[r + 1]), int(at[e - 1]) + SPAN + CONTEXT)
+        lo = max(int(first[r]), int(at[s]) - context)
+        hi = min(int(first[r + 1]), int(at[e - 1]) + SPAN + context)
         out["row"].append(base + r)
         out["start"].append(lo - int(first[r]))
         out["words"].append(words[lo:hi].tobytes())
@@ -315,10 +317,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     n_words = (F.octet_length("words") / 8).cast("int")
     lengths = sorted(r["n"] for r in tests.select(n_words.alias("n")).where(
         (F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect())
+    context = tests.agg(F.max(n_words).alias("n")).first()["n"] or 0
     regions = store.save(
         docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"),
                     F.lower(text_col).alias("text"))
-            .mapInArrow(tidied(_regions(bits, lengths)), f"id {dict(docs.dtypes)[id_col]}, text_key long, "
+            .mapInArrow(tidied(_regions(bits, lengths, context)), f"id {dict(docs.dtypes)[id_col]}, text_key long, "
                                         f"start int, words binary, hits {_HITS}")
             .withColumn("rid", F.monotonically_increasing_id()), "regions")
     train = regions.select("rid", F.explode("hits").alias("h")).select(

@@ -146,3 +146,85 @@ def test_odd_rows(spark, odd_docs, no_docs):
         ("5", None, 100, 20), ("None", None, 100, 20)]
     assert contamination(no_docs, items).collect() == []
     assert contamination(odd_docs, items.where("false")).collect() == []
+
+
+def _reach(steps):
+    score = best = end = 0
+    for n, same in enumerate(steps, 1):
+        score += 1 if same else -2
+        if score > best:
+            best, end = score, n
+        if max(best, 0) - score > DROP:
+            break
+    return end
+
+
+def _best(same, least, share):
+    n = len(same)
+    if n < least:
+        return None
+    if sum(same) >= share * n:
+        a, b = 0, n
+    else:
+        found = []
+        for a in range(n):
+            ends = [b for b in range(a + max(least, 1), n + 1) if sum(same[a:b]) >= share * (b - a) - 1e-9]
+            if ends:
+                found.append((sum(same[a:ends[-1]]), -a, ends[-1]))
+        if not found:
+            return None
+        _, a, b = max(found)
+        a = -a
+    while b - a > least and not same[b - 1]:
+        b -= 1
+    while b - a > least and not same[a]:
+        a += 1
+    return a, b
+
+
+def _brute(doc, item, min_overlap=13, share=0.7):
+    """(first_word, overlap, matched) by laying the item on every diagonal."""
+    best = None
+    for diagonal in range(-len(item), len(doc)):
+        lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
+        same = [doc[i] == item[i - diagonal] for i in range(lo, hi)]
+        done = (0, 0)
+        for at in range(len(same) - SPAN + 1):
+            if not any(all(same[at + p] for p in m) for m in MASKS) or (at >= done[0] and at + SPAN <= done[1]):
+                continue
+            done = a, b = at - _reach(same[:at][::-1]), at + SPAN + _reach(same[at + SPAN:])
+            part = _best(same[a:b], min(min_overlap, len(item)), share)
+            if part:
+                x, y = a + part[0], a + part[1]
+                best = max(best or (0, 0, 0), (sum(same[x:y]), y - x, -(lo + x)))
+    return best and (-best[2], best[1], best[0])
+
+
+def test_overlaps_against_brute_force(spark):
+    """Item, place, length and agreeing words, also of long items and of parts of items."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    items = {i: rng.choices(vocabulary, k=rng.choice((20, 60, 250))) for i in range(10)}
+    docs = {}
+    for i, item in items.items():
+        words = [w if rng.random() > i / 30 else "changed" for w in item]
+        cut = rng.randrange(len(words) // 3)
+        docs[i] = rng.choices(vocabulary, k=70) + words[cut:] + rng.choices(vocabulary, k=90) + words[:15]
+    docs[100] = rng.choices(vocabulary, k=300)
+    rows = contamination(
+        spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["overlap"], r["matched"]) for r in rows}
+    want = {(d, i): b for d, doc in docs.items() for i, item in items.items() if (b := _brute(doc, item))}
+    assert got == want and len(got) >= 9
+
+
+def test_overlaps_far_from_the_last_hit_are_whole(spark):
+    """Every fourth word replaced after the first 14: growth goes on without a hit."""
+    item = [f"w{i}" for i in range(400)]
+    words = [w if i < 14 or i % 4 else "changed" for i, w in enumerate(item)]
+    doc = ["before"] * 30 + words + ["behind"] * 30
+    row, = contamination(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"),
+                         spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert (row["first_word"], row["overlap"], row["matched"]) == _brute(doc, item)
+    assert row["overlap"] > 390
