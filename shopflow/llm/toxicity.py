@@ -122,7 +122,7 @@ class Model:
         if not text:
             return 0.0, 0, 0
         folded = fold(text)
-        n_words = folded.count(" ") + folded.count("\n") + 1
+        n_words = len(folded.split())
         found = self.automaton()
         if not len(found):
             return 0.0, 0, n_words
@@ -136,7 +136,8 @@ class Model:
             if weight is not None:
                 hits.append((start, end, weight))
         if safe:
-            hits = [h for h in hits if not _within(h, safe)]
+            longest = max(end - start for start, end in safe)
+            hits = [h for h in hits if not _within(h, safe, longest)]
         best = {}
         for start, _, weight in hits:
             best[start] = max(weight, best.get(start, 0.0))
@@ -146,8 +147,9 @@ class Model:
         return float(_curve(self.intercept + self.slope * _density(weight, n_words)))
 
 
-def _within(hit, safe) -> bool:
-    """Whether one of the (ordered, by end) harmless spans covers the hit."""
+def _within(hit, safe, longest) -> bool:
+    """Whether one of the (ordered, by end) harmless spans, of ``longest`` characters at
+    most, covers the hit."""
     lo, hi = 0, len(safe)
     while lo < hi:
         mid = (lo + hi) // 2
@@ -155,7 +157,11 @@ def _within(hit, safe) -> bool:
             lo = mid + 1
         else:
             hi = mid
-    return any(s <= hit[0] and e >= hit[1] for s, e in safe[lo:lo + 8])
+    while lo < len(safe) and safe[lo][1] - longest <= hit[0]:
+        if safe[lo][0] <= hit[0]:
+            return True
+        lo += 1
+    return False
 
 
 def _density(weight, n_words):
@@ -186,7 +192,7 @@ def _count_entries(batches):
             for w, n in words.items():
                 if len(w) < STEM_LENGTHS.start or w.isdigit():
                     continue
-                own[w[:40] + " "] += n
+                own[w + " "] += n
                 for size in STEM_LENGTHS:
                     if size <= len(w):
                         own[w[:size]] += n

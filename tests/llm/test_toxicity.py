@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from shopflow.llm import toxicity as X
@@ -98,3 +99,45 @@ def test_odd_rows(spark, odd_docs, no_docs):
         assert rows.count() == 10 and rows.columns.count("toxic_score") == 1
         assert all(0 <= r["toxic_score"] <= 1 for r in rows.collect())
         assert X.toxicity_scores(no_docs, model).collect() == []
+
+
+def test_blanks_do_not_dilute_a_score():
+    for blanks in (" " * 500, "\n" * 300, "\t \n" * 200):
+        for text in ("you idiot" + blanks, blanks + "you" + blanks + "idiot"):
+            assert PLAIN.weigh(text) == PLAIN.weigh("you idiot")
+    assert PLAIN.weigh("you\tidiot here")[2] == 3 and PLAIN.weigh("  \n ")[2] == 0
+
+
+def test_exceptions_of_any_length_and_number():
+    long = "idiot" + "ically" * 20
+    model = X.Model(dict(PLAIN.lexicon), exceptions=(long, "idiot box", *(f"{c} b" for c in "cdefghijkl")))
+    assert model.weigh(f"an {long} word")[1] == 0
+    assert model.weigh("an idiot box " + "c b d b e b f b g b h b i b j b k b l b")[1] == 0
+    assert model.weigh("an idiot bo")[1] == 1
+
+
+def _weighed(model, text):
+    """Summed weights, matches and words by looking at every place of the text."""
+    folded, safe = X.fold(text), [X.fold(e) for e in model.exceptions]
+    at = [i for i, c in enumerate(folded) if i == 0 or not folded[i - 1].isalnum()]
+    spans = [(i, i + len(e)) for i in at for e in safe
+             if folded.startswith(e, i) and not folded[i + len(e):i + len(e) + 1].isalnum()]
+    best = {}
+    for i in at:
+        for entry, weight in model.lexicon.items():
+            end = i + len(entry)
+            if folded.startswith(entry, i) and not any(a <= i and b >= end for a, b in spans):
+                best[i] = max(weight, best.get(i, 0.0))
+    return sum(best.values()), len(best), len(folded.split())
+
+
+def test_scores_against_brute_force(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").limit(150)
+    model = X.fit(spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet"))
+    scored = {r["doc_id"]: r["toxic_score"] for r in X.toxicity_scores(docs.select("doc_id", "text"), model).collect()}
+    for r in docs.collect():
+        weight, matches, words = _weighed(model, r["text"])
+        got = model.weigh(r["text"])
+        assert abs(got[0] - weight) < 1e-9 and got[1:] == (matches, words)
+        x = model.intercept + model.slope * math.log1p(100.0 * weight / (words + 10.0))
+        assert abs(scored[r["doc_id"]] - 1 / (1 + math.exp(-x))) < 1e-6
