@@ -69,8 +69,13 @@ def stock_intervals(history: DataFrame) -> DataFrame:
     order = Window.orderBy("valid_from", "snapshot")
     times = times.select("snapshot", F.row_number().over(order).alias("place"), "valid_from",
                          F.lead("valid_from").over(order).alias("valid_to"))
+    # Spread by pair first: a whole history read from a small file would else be made
+    # distinct by the one task that reads it. All that follows stays in these partitions,
+    # whose number is given, as a few MB of them may be many pairs.
+    parts = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = history.where(F.col("sku_code").isNotNull() & F.col("quantity").isNotNull()) \
-        .select("snapshot", *STOCK_KEYS).distinct().join(counted_broadcast(times), "snapshot")
+        .select("snapshot", *STOCK_KEYS).repartition(parts, *STOCK_KEYS).distinct() \
+        .join(counted_broadcast(times), "snapshot")
     # Consecutive places have the same distance to their rank within the pair.
     rank = F.row_number().over(Window.partitionBy(*STOCK_KEYS).orderBy("place"))
     return pairs.withColumn("_run", F.col("place") - rank).groupBy(*STOCK_KEYS, "_run").agg(
@@ -190,12 +195,12 @@ def build_events(accepted: DataFrame) -> DataFrame:
 
 
 def surrogate_ids(orders: DataFrame, key: str = "order_number", name: str = "id",
-                  after: int = 0) -> DataFrame:
+                  after: int = 0, num_partitions: int | None = None) -> DataFrame:
     """Ids ``after`` + 1, 2, ... in key order, without a single-partition
     window. The orders are materialised first: numbering samples its input, and
     the acceptance join should not run twice for that."""
     shared_dir(orders.sparkSession)
-    return position_within(orders.checkpoint(eager=True), [], [key], name=name) \
+    return position_within(orders.checkpoint(eager=True), [], [key], name=name, num_partitions=num_partitions) \
         .withColumn(name, F.col(name) + after)
 
 

@@ -41,8 +41,12 @@ def side_bytes(side: DataFrame) -> int:
     return side.agg(F.sum(width).alias("b")).first()["b"] or 0
 
 
-def counted_broadcast(side: DataFrame, bound_from: DataFrame | None = None) -> DataFrame:
+def counted_broadcast(side: DataFrame, bound_from: DataFrame | None = None,
+                      at_least: DataFrame | None = None) -> DataFrame:
     """``side`` marked for broadcast when ``bound_from`` (default: ``side``), whose
-    rows are at least the side's, measures at most the limit."""
+    rows are at least the side's, measures at most the limit. ``at_least``: a cheap part
+    of the side; where that is over the limit already, the side itself is not measured."""
+    if at_least is not None and side_bytes(at_least) > broadcast_max_bytes(side):
+        return side
     n = side_bytes(bound_from if bound_from is not None else side)
     return F.broadcast(side) if n <= broadcast_max_bytes(side) else side

@@ -99,18 +99,18 @@ FROM part, range({STOCK_YEARS[0]}, {STOCK_YEARS[-1] + 1}) AS years(y)"""
 
 # ----------------------------------------------------------------- requests --
 
-def line_keys(lineitem: DataFrame) -> DataFrame:
+def line_keys(lineitem: DataFrame, *keep: str) -> DataFrame:
     """The stock-check keys of a line plus the raw columns the request needs;
     the remaining request columns are built by ``finish_line_requests`` (after
     a selective join, so only surviving rows pay for the string building)."""
     return lineitem.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
         F.concat(F.lit("sku_"), F.col("l_partkey").cast("string")).alias("sku_code"),
-        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_quantity").cast("int").alias("quantity"), *keep,
     )
 
 
-def finish_line_requests(keys: DataFrame) -> DataFrame:
+def finish_line_requests(keys: DataFrame, *keep: str) -> DataFrame:
     return keys.select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in
                            ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
@@ -118,13 +118,13 @@ def finish_line_requests(keys: DataFrame) -> DataFrame:
         "sku_code",
         F.col("l_extendedprice").cast(MONEY).alias("price"),
         "quantity",
-        F.col("l_orderkey").alias("order_key"),
+        F.col("l_orderkey").alias("order_key"), *keep,
     )
 
 
-def line_requests(lineitem: DataFrame) -> DataFrame:
-    """The per-line part of an order request (no customer columns)."""
-    return finish_line_requests(line_keys(lineitem))
+def line_requests(lineitem: DataFrame, *keep: str) -> DataFrame:
+    """The per-line part of an order request (no customer columns), and columns passed through."""
+    return finish_line_requests(line_keys(lineitem, *keep), *keep)
 
 
 LINE_REQUESTS_SQL = """
@@ -137,17 +137,27 @@ SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' |
 FROM lineitem"""
 
 
-def _users_of(keyed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customers_of(keyed: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = counted_broadcast(read_table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+    return keyed.join(customer, keyed.o_custkey == customer.c_custkey, "left").drop("o_custkey")
+
+
+def _user_details() -> Column:
+    """The user struct of a row with its customer's columns; null without a customer."""
     first = F.substring_index("c_name", "#", 1)
     last = F.substring_index("c_name", "#", -1)
-    return (keyed.join(customer, keyed.o_custkey == customer.c_custkey, "left")
-            .withColumn("_has_user", F.col("c_custkey").isNotNull())
-            .withColumn("user_details", F.when(F.col("_has_user"), F.struct(
-                F.lower(F.concat(first, F.lit("."), last, F.lit("@example.com"))).alias("email"),
-                first.alias("first_name"), last.alias("last_name"))))
-            .withColumnRenamed("o_orderdate", "requested_at")
-            .drop("o_custkey", "c_custkey", "c_name", "_has_user"))
+    return F.when(F.col("c_custkey").isNotNull(), F.struct(
+        F.lower(F.concat(first, F.lit("."), last, F.lit("@example.com"))).alias("email"),
+        first.alias("first_name"), last.alias("last_name")))
+
+
+def _request_columns(joined: DataFrame, *extra: str) -> DataFrame:
+    """The request record of lines that were joined to their order and customer."""
+    return joined.select(
+        "request_id", "sku_code",
+        F.when(F.col("order_key") % NO_PRICE != 0, F.col("price")).alias("price"), "quantity",
+        F.when(F.col("order_key") % NO_USER != 0, _user_details()).alias("user_details"),
+        F.col("o_orderdate").alias("requested_at"), "order_key", *extra)
 
 
 ORDER_USERS_SQL = """
@@ -170,22 +180,32 @@ def attach_users(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
     keyed = lines.join(orders, lines.order_key == orders.o_orderkey, "left").drop("o_orderkey")
     extra = [c for c in lines.columns if c not in
              ("request_id", "sku_code", "price", "quantity", "order_key")]
-    return _users_of(keyed, spark, sf_dir).select(
-        "request_id", "sku_code",
-        F.when(F.col("order_key") % NO_PRICE != 0, F.col("price")).alias("price"), "quantity",
-        F.when(F.col("order_key") % NO_USER != 0, F.col("user_details")).alias("user_details"),
-        "requested_at", "order_key", *extra)
+    return _request_columns(_customers_of(keyed, spark, sf_dir), *extra)
+
+
+LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity")
+
+
+def _lines_of(orders: DataFrame, spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Every line with the columns ``keep`` of its order. Lines are shuffled once, as the
+    table has them; the request's texts are built behind the join."""
+    lines = read_table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left")
+    return line_requests(joined, *keep)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attach_users(line_requests(read_table(spark, sf_dir, "lineitem")), spark, sf_dir)
+    """The request record of every line. As all lines are asked for, orders meet their
+    customers first: of two shuffles, the one of the many lines is left out."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    users = counted_broadcast(_customers_of(orders, spark, sf_dir), at_least=orders)
+    return _request_columns(_lines_of(users, spark, sf_dir, "o_orderdate", "c_custkey", "c_name"))
 
 
 def dated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, sku_code, quantity, requested_at) of every request."""
     orders = counted_broadcast(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
-    lines = line_requests(read_table(spark, sf_dir, "lineitem"))
-    return lines.join(orders, lines.order_key == orders.o_orderkey, "left").select(
+    return _lines_of(orders, spark, sf_dir, "o_orderdate").select(
         "request_id", "sku_code", "quantity", F.col("o_orderdate").alias("requested_at"))
 
 
