@@ -40,3 +40,49 @@ def test_lines_are_shuffled_as_they_are_and_once(spark, tmp_path):
     assert plan.count("hashpartitioning(o_custkey") == 1
     above = plan[:plan.index("hashpartitioning(l_orderkey")]
     assert "concat(sku_" in above and "concat(sku_" not in plan[len(above):]
+
+
+def test_a_large_batch_is_packed_by_several_tasks(spark):
+    from shopflow.sources import sinks
+    from shopflow.sources.compaction import compact, read_batches
+    path = run_dir(spark, "compact")
+    for b in range(2):
+        sinks.write_batch(spark.range(20_000).selectExpr("cast(id as string) as k"), path, b)
+    files = [f for f in spark.read.parquet(f"{path}/batch_id=0").inputFiles()]
+    size = sum(spark.sparkContext._jvm.java.io.File(f.removeprefix("file://")).length() for f in files)
+    compact(spark, path, "k string", target_bytes=size // 4)
+    compact(spark, path, "k string", target_bytes=size // 4, keep_last=0)
+    span = next(n for n in {f.split("/")[-2] for f in read_batches(spark, path, "k string").inputFiles()}
+                if n.startswith("span=0-0"))
+    rows = [r["count"] for r in spark.read.parquet(f"{path}/{span}").groupBy("_metadata.file_name").count().collect()]
+    assert len(rows) >= 4 and max(rows) < 10_000
+    assert read_batches(spark, path, "k string").count() == 40_000
+
+
+def test_deliveries_are_made_of_many_files(spark):
+    from shopflow.queries import _deliver
+    topic = run_dir(spark, "topic")
+    each = _deliver(spark.range(800).selectExpr("cast(id as string) as request_id", "'{' as value"), topic, 4)
+    assert each == 2 and len(spark.read.parquet(topic).inputFiles()) == 8      # 8 shuffle partitions
+    few = run_dir(spark, "topic")
+    assert _deliver(spark.range(1).selectExpr("cast(id as string) as request_id", "'{' as value"), few, 4) == 1
+    assert spark.read.parquet(few).count() == 1
+
+
+def test_a_batch_holds_only_what_it_decides(spark):
+    from shopflow.operators import decode as D
+    from shopflow.streaming.orders_stream import _decided
+    from tests.test_streaming import REQUEST, _stock
+    rows = [(f"r{i}", REQUEST % (f"s{i}", 1)) for i in range(50)] + [
+        ("cut", '{"skuCode": "s1"'), (None, REQUEST % ("s1", 1)), ("nobody", '{"skuCode": "s1", "quantity": 1}')]
+    batch = spark.createDataFrame(rows, "request_id string, value string")
+    kept = _decided(D.decode_order_requests(batch), _stock(spark, (1, "s1", 1), (2, "s1", 1), (3, "s7", 1)))
+    got = sorted((r.request_id or "", r.rejected, r.value is not None) for r in kept.collect())
+    assert got == [("", False, True), ("cut", True, True), ("r1", False, False), ("r7", False, False)]
+
+
+def test_a_file_batch_is_bounded_by_bytes(spark):
+    from shopflow.streaming.common import bounded
+    assert list(bounded("parquet", None)) == ["maxBytesPerTrigger"]
+    assert bounded("parquet", {"maxFilesPerTrigger": "1"}) == {"maxFilesPerTrigger": "1"}
+    assert "maxOffsetsPerTrigger" in bounded("kafka", None)
