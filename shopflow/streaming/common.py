@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
-# Commits upload what changed; counting all keys on every write is left out.
+# Commits upload what changed; counting all keys on every write is left out. All stores of an
+# executor share one bound: else each keeps up to 64 MB of written keys off the heap, so that
+# an executor's memory grows with its partitions and keys.
 ROCKSDB_CONF = {
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,8 +62,9 @@ def start(writer: DataStreamWriter, checkpoint: str, trigger: dict | None = None
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State off the heap, unless the session chose a store itself."""
-    if spark.conf.get(STATE_STORE_CONF, "").endswith("HDFSBackedStateStoreProvider"):
+    """State off the heap, unless the session chose another store itself. (Asked without a
+    default of ours, a session that names none answers with Spark's, which is on the heap.)"""
+    if spark.conf.get(STATE_STORE_CONF).endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set(STATE_STORE_CONF, ROCKSDB)
     for key, value in ROCKSDB_CONF.items():
         if spark.conf.get(key, None) is None:

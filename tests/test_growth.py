@@ -86,3 +86,19 @@ def test_a_file_batch_is_bounded_by_bytes(spark):
     assert list(bounded("parquet", None)) == ["maxBytesPerTrigger"]
     assert bounded("parquet", {"maxFilesPerTrigger": "1"}) == {"maxFilesPerTrigger": "1"}
     assert "maxOffsetsPerTrigger" in bounded("kafka", None)
+
+
+def test_a_session_that_names_no_state_store_keeps_keys_off_the_heap(spark):
+    from shopflow.streaming.common import ROCKSDB, ROCKSDB_CONF, STATE_STORE_CONF, use_rocksdb
+    other = spark.newSession()
+    other.conf.unset(STATE_STORE_CONF)
+    for key in ROCKSDB_CONF:
+        other.conf.unset(key)
+    use_rocksdb(other)
+    assert other.conf.get(STATE_STORE_CONF) == ROCKSDB
+    assert other.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
+    assert int(other.conf.get("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB")) <= 500
+    chosen = "org.example.OwnProvider"
+    other.conf.set(STATE_STORE_CONF, chosen)
+    use_rocksdb(other)
+    assert other.conf.get(STATE_STORE_CONF) == chosen
