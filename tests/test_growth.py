@@ -102,3 +102,37 @@ def test_a_session_that_names_no_state_store_keeps_keys_off_the_heap(spark):
     other.conf.set(STATE_STORE_CONF, chosen)
     use_rocksdb(other)
     assert other.conf.get(STATE_STORE_CONF) == chosen
+
+
+def test_a_large_stock_is_asked_through_a_filter_first(spark):
+    from pyspark.sql import functions as F
+    from shopflow.operators import decode as D
+    from shopflow.plans.joins import MAX_BYTES_CONF
+    from shopflow.streaming.orders_stream import _decided
+    from tests.test_streaming import REQUEST
+    asked = [(f"r{i}", REQUEST % (f"s{i}", i % 7)) for i in range(4000)] + [
+        ("twice", REQUEST % ("s7", 0)), ("cut", '{"skuCode": "s1"'), ("cut too", '{"skuCode": "s1"'),
+        (None, REQUEST % ("s7", 0)), ("no sku", '{"quantity": 1}'), ("no quantity", '{"skuCode": "s7"}')]
+    stock = [(i, f"s{i}", i % 7) for i in range(0, 4000, 20)] + [
+        (1, "s1", 5), (7, "s7", 0), (7, "s7", 0), (8, None, 1), (9, "s9", None)]
+    stock = spark.createDataFrame(stock, "id long, sku_code string, quantity int")
+    decoded = D.decode_order_requests(spark.createDataFrame(asked, "request_id string, value string"))
+    want = sorted(map(str, _decided(decoded, lambda: stock).collect()))
+    held = O.with_stock_flag(decoded, stock).where("in_stock and not rejected")
+    spark.conf.set(MAX_BYTES_CONF, "5000")                   # below the stock, above the filter
+    try:
+        few = O.maybe_in_stock(decoded, stock, F.col("rejected"))
+        assert held.select("request_id").exceptAll(few.select("request_id")).isEmpty()
+        assert held.count() + 2 <= few.count() < 800
+        got = _decided(decoded, lambda: stock)
+        assert "BroadcastHashJoin" in _executed(got)
+        assert sorted(map(str, got.collect())) == want and len(want) == 205
+        # A stock of other types is not told apart by hashes, and a filter has its limit too.
+        wide = stock.withColumn("quantity", F.col("quantity").cast("long"))
+        assert O.maybe_in_stock(decoded, wide, F.col("rejected")) is decoded
+        assert sorted(map(str, _decided(decoded, lambda: wide).collect())) == want
+        spark.conf.set(MAX_BYTES_CONF, "500")
+        assert O.maybe_in_stock(decoded, stock, F.col("rejected")) is decoded
+        assert sorted(map(str, _decided(decoded, lambda: stock).collect())) == want
+    finally:
+        spark.conf.unset(MAX_BYTES_CONF)
